@@ -15,6 +15,10 @@ CAP = 3
 PRECISION = 1e-9
 #: Bins of the rounding histogram, in each of its two passes.
 BINS = 1024
+#: Rounding passes at most, and the relative gap to a target below which a source needs no more of them.
+PASSES, NEAR = 4, 5e-4
+
+GRANTS = "array<struct<theta:double,most:double>>"
 
 
 def n_words(text: str = "text") -> F.Column:
@@ -75,7 +79,7 @@ def tilt(sized: DataFrame, goal: DataFrame, cap: float = CAP, precision: float =
         off = F.col("got") - F.col("target")
         lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - off / F.col("slope")
+        newton = F.col("lam") - F.try_divide(off, F.col("slope"))
         away = F.lit(1.0) + F.abs("lam")
         lower, upper = F.coalesce("lo2", F.col("lam") - away), F.coalesce("hi2", F.col("lam") + away)
         inside = (F.col("slope") > 0) & (newton > lower) & (newton < upper)
@@ -110,45 +114,53 @@ def _parts(rows: DataFrame, cap: float) -> DataFrame:
     return rated.withColumns({"_floor": whole, "_u": chance - (F.col("_r") - whole)})
 
 
-def _cut(rows: DataFrame, state: DataFrame, cap: float, bins: int = BINS) -> DataFrame:
-    """state with ``theta``: documents with u at or below it get one more copy, so that each source meets its target.
+def _cut(rows: DataFrame, state: DataFrame, cap: float, bins: int = BINS, passes: int = PASSES) -> DataFrame:
+    """state with ``grants``, an array of (theta, most): a document gets one more copy if for one of them its u is below
+    theta and its size at most ``most``.
 
-    The weight over u is counted in ``bins`` bins, then again within the bin where each source reaches its target.
+    Each pass counts the weight over u in ``bins`` bins, then again within the bin where a source would pass its target,
+    and grants all below that. A long document may stand there, so the next pass goes on among those that still fit.
     """
     side = state.select(F.col("source").alias("_s"), "full", "mean", "lam")
     parts = _parts(rows.join(side, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), cap)
-    base = parts.groupBy("source").agg(F.sum(F.col("size") * F.col("_floor")).alias("sure"))
-    now = state.join(base.withColumnRenamed("source", "_b"), state["source"].eqNullSafe(F.col("_b")), "left").drop("_b")
-    now = materialize(now.withColumns({"from": F.lit(-1.0), "wide": F.lit(2.0), "have": F.coalesce("sure", F.lit(0)).cast("double")}))
-    for _ in range(2):
-        edge = now.select(F.col("source").alias("_b"), "from", "wide")
-        at = parts.where((F.col("_floor") < cap) & (F.col("size") > 0)).join(edge, F.col("source").eqNullSafe(F.col("_b")))
-        bin_ = F.floor((F.col("_u") - F.col("from")) / F.col("wide") * bins)
-        hist = at.withColumn("bin", bin_).where((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy("_b", "bin").agg(F.sum("size").alias("w"))
-        run = Window.partitionBy("_b").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("upto", F.sum("w").over(run)).join(
-            now.select(F.col("source").alias("_c"), "target", "have"), F.col("_b").eqNullSafe(F.col("_c"))
-        )
-        under = F.col("have") + F.col("upto") <= F.col("target")
-        reach = hist.groupBy("_b").agg(
-            F.coalesce(F.max(F.when(under, F.col("bin"))), F.lit(-1)).alias("last"),
-            F.coalesce(F.max(F.when(under, F.col("upto"))), F.lit(0)).alias("got"),
-            F.min(F.when(~under, F.col("bin"))).alias("over"),
-        )
-        step = F.col("wide") / bins
-        left = F.coalesce("over", F.lit(bins))
-        joined = now.join(reach, F.col("source").eqNullSafe(F.col("_b")), "left")
-        nxt = materialize(
-            joined.select(
-                *[c for c in now.columns if c not in ("from", "wide", "have")],
-                (F.col("from") + step * F.coalesce(left, F.lit(0))).alias("from"),
-                step.alias("wide"),
-                (F.col("have") + F.coalesce("got", F.lit(0))).alias("have"),
+    base = parts.groupBy("source").agg(F.sum(F.col("size") * F.col("_floor")).cast("double").alias("have"))
+    base = base.withColumnRenamed("source", "_b")
+    now = state.join(base, state["source"].eqNullSafe(F.col("_b")), "left").drop("_b")
+    start = {"have": F.coalesce("have", F.lit(0.0)), "from": F.lit(-1.0), "grants": F.lit(None).cast(GRANTS)}
+    now = materialize(now.withColumns(start))
+    spare = parts.where((F.col("_floor") < cap) & (F.col("size") > 0)).select(F.col("source").alias("_p"), "size", "_u")
+    for _ in range(passes):
+        gap = F.col("target") - F.col("have")
+        if now.where(gap > F.col("target") * NEAR).isEmpty():
+            break
+        now = now.withColumns({"most": gap, "wide": 1.0 - F.col("from")})
+        for _ in range(2):
+            edge = now.select(F.col("source").alias("_b"), "from", "wide", "most")
+            at = spare.join(edge, F.col("_p").eqNullSafe(F.col("_b"))).where(F.col("size") <= F.col("most"))
+            bin_ = F.floor(F.try_divide(F.col("_u") - F.col("from"), F.col("wide")) * bins)
+            at = at.withColumn("bin", bin_).where((F.col("bin") >= 0) & (F.col("bin") < bins))
+            hist = at.groupBy("_b", "bin").agg(F.sum("size").alias("w"))
+            run = Window.partitionBy("_b").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+            left = now.select(F.col("source").alias("_c"), (F.col("target") - F.col("have")).alias("left"))
+            hist = hist.withColumn("upto", F.sum("w").over(run)).join(left, F.col("_b").eqNullSafe(F.col("_c")))
+            under = F.col("upto") <= F.col("left")
+            reach = hist.groupBy("_b").agg(
+                F.coalesce(F.max(F.when(under, F.col("upto"))), F.lit(0)).alias("got"),
+                F.coalesce(F.min(F.when(~under, F.col("bin"))), F.lit(bins)).alias("over"),
             )
-        )
-        release(now)
-        now = nxt
-    return now.withColumn("theta", F.col("from")).drop("from", "wide", "have", "sure")
+            step = F.col("wide") / bins
+            moved = {
+                "from": F.col("from") + step * F.coalesce("over", F.lit(0)),
+                "wide": step,
+                "have": F.col("have") + F.coalesce("got", F.lit(0)),
+            }
+            joined = now.join(reach, F.col("source").eqNullSafe(F.col("_b")), "left")
+            nxt = materialize(joined.withColumns(moved).select(now.columns))
+            release(now)
+            now = nxt
+        grant = F.array(F.struct(F.col("from").alias("theta"), "most"))
+        now = now.withColumn("grants", F.concat(F.coalesce("grants", F.array().cast(GRANTS)), grant)).drop("most", "wide")
+    return now.drop("from", "have")
 
 
 def copies(
@@ -175,10 +187,11 @@ def copies(
     slim = materialize(docs.select(*[c.alias(n) for n, c in made.items()]))
     goal = materialize(targets(slim, weights, cap))
     state = materialize(_cut(slim, tilt(slim, goal, cap), cap))
-    side = state.select(F.col("source").alias("_s"), "source_size", "target", "full", "mean", "lam", "theta")
+    side = state.select(F.col("source").alias("_s"), "source_size", "target", "full", "mean", "lam", "grants")
     rows = packed(docs, new, **made)
     got = _parts(rows.join(side, F.col("source").eqNullSafe(F.col("_s"))), cap)
-    more = ((F.col("_floor") < cap) & (F.col("_u") < F.col("theta")) & (F.col("size") > 0)).cast("long")
+    granted = F.exists("grants", lambda g: (F.col("_u") < g["theta"]) & (F.col("size") <= g["most"]))
+    more = F.coalesce((F.col("_floor") < cap) & (F.col("size") > 0) & granted, F.lit(False)).cast("long")
     return got.select("_row.*", "size", "source_size", "target", (F.col("_floor") + more).alias("copies"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, mix, shard, simhash
+from quarry.llm import decontaminate, language, mix, quality, shard, simhash
 from quarry.llm.common import arrow_rows, materialize
 from quarry.session import table
 
@@ -50,6 +50,32 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with arrow_rows(spark, 500):
+        field = quality.train(docs, table(spark, sf_dir, "labels"))
+        found = materialize(quality.scored(docs, field).select("doc_id", "quality_score"))
+    return found.select(
+        "doc_id",
+        F.coalesce(quality.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    with arrow_rows(spark, 500):
+        model = language.train(docs)
+        found = materialize(language.identified(docs.select("doc_id", "text"), model).drop("text"))
+    return found.select(
+        "doc_id",
+        F.coalesce(quality.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix.copies(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -59,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_shard": op4_shard,
+    "op7_quality": op7_quality,
+    "op9_language": op9_language,
     "op10_mix": op10_mix,
 }
 
