@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language, mix, quality, shard, simhash
+from quarry.llm import decontaminate, language, lm, mix, quality, shard, simhash
 from quarry.llm.common import arrow_rows, materialize
 from quarry.session import table
 
@@ -63,6 +63,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with arrow_rows(spark, 500):
+        return materialize(lm.score(table(spark, sf_dir, "documents")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     with arrow_rows(spark, 500):
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_shard": op4_shard,
     "op7_quality": op7_quality,
+    "op8_lm": op8_lm,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
 }
