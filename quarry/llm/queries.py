@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language, lm, mix, quality, shard, simhash
+from quarry.llm import decontaminate, embeddings, language, lm, mix, quality, shard, simhash
 from quarry.llm.common import arrow_rows, materialize
 from quarry.session import table
 
@@ -50,6 +50,10 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with arrow_rows(spark, 500):
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_shard": op4_shard,
+    "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
     "op9_language": op9_language,
