@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, embeddings, language, lm, mix, quality, shard, simhash
+from quarry.llm import decontaminate, embeddings, html, language, linededup, lm, mix, quality, shard, simhash
 from quarry.llm.common import arrow_rows, materialize
 from quarry.session import table
 
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with arrow_rows(spark, 500):
@@ -50,6 +55,11 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with arrow_rows(spark, 500):
+        return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -92,8 +102,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_shard": op4_shard,
+    "op5_html": op5_html,
     "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
