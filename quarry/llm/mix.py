@@ -12,7 +12,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more often than this, and no source beyond this many times its size.
 CAP = 3
 #: Newton stops when every source's tokens are this near to its target, relatively.
-PRECISION = 1e-9
+PRECISION = 1e-6
 #: Bins of the rounding histogram, in each of its two passes.
 BINS = 1024
 #: Rounding passes at most, and the relative gap to a target below which a source needs no more of them.
