@@ -1,14 +1,15 @@
-"""All queries of the library proper, with their oracle SQL side by side."""
+"""All queries of the library proper, with their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quarry.plans import scalar, search, tables  # noqa: F401  (they register their queries)
+from quarry.plans.base import ORACLES, QUERIES, Tables
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid search with re-ranking."""
+    return search.hybrid(Tables(spark, sf_dir))
