@@ -82,10 +82,10 @@ def anonymise(c: Column) -> Column:
 
 def citations(c: Column) -> Column:
     """Distinct article, resolution and ordinance references, by kind and first place."""
-    found = [
-        F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), lambda x, p=prefix: F.concat(F.lit(p), F.lower(x)))
-        for pattern, prefix in ((ARTICLE, "art. "), (RESOLUTION, "res. "), (ORDINANCE, "port. "))
-    ]
+    def kind(pattern: str, prefix: str) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), lambda x: F.concat(F.lit(prefix), F.lower(x)))
+
+    found = [kind(ARTICLE, "art. "), kind(RESOLUTION, "res. "), kind(ORDINANCE, "port. ")]
     return F.array_distinct(F.concat(*found))
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 MAX_BYTES = 100 << 20
 
+# What Windows-1252 has in the places of the Latin-1 controls.
+_C1 = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_CP1252 = _C1.encode("latin-1").decode("cp1252")
+
 
 def kind(content: Column) -> Column:
     """pdf, gzip, docx, doc or text, by the first bytes rather than the name."""
@@ -23,7 +27,7 @@ def decoded(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 2))
     utf8 = F.try_validate_utf8(content.cast("string"))
     return F.when(head.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).otherwise(
-        F.coalesce(F.regexp_replace(utf8, "^﻿", ""), F.decode(content, "windows-1252"))
+        F.coalesce(F.regexp_replace(utf8, "^\\uFEFF", ""), F.translate(F.decode(content, "ISO-8859-1"), _C1, _CP1252))
     )
 
 
