@@ -84,5 +84,5 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes("ação".encode())
     (tmp_path / "d.txt").write_bytes(b"")
     got = {r.path[-5:]: r for r in files.read_files(spark, str(tmp_path)).collect()}
-    assert got["a.bin"].kind == "pdf" and got["d.txt"].problem == "empty"
+    assert got["a.bin"].kind == "pdf" and "d.txt" not in got
     assert got["b.txt"].text == got["c.txt"].text == "ação"
