@@ -72,6 +72,12 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
+    """As arrow_rows(), for frames that run after the caller has them: the session's batches stay that small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
+
+
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """Connected components of an undirected edge list: (node, root), root the smallest node, for every node with an edge.
 
