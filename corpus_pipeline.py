@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mix, quality, shard, simhash
-from quarry.llm.common import arrow_rows, checkpoint_dir
+from quarry.llm.common import checkpoint_dir, small_batches
 from quarry.session import table
 
 N_SHARDS = 40
@@ -15,20 +15,20 @@ N_SHARDS = 40
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    with arrow_rows(spark, 500):
-        return quality.good_only(docs, table(spark, sf_dir, "labels"))
+    small_batches(spark)
+    return quality.good_only(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    with arrow_rows(spark, 500):
-        return simhash.keep_one(docs)
+    small_batches(spark)
+    return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages contaminate go."""
-    with arrow_rows(spark, 500):
-        return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    small_batches(spark)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
