@@ -67,3 +67,15 @@ def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def breaker(calls: DataFrame, key: str, us: str, call: str, failed: str, threshold: int = 2, recovery_us: int = 120_000_000) -> DataFrame:
+    """calls with streak (failures in a row up to the row) and blocked_until (null while fewer than the threshold).
+
+    calls are ordered by instant, then by the id of the call.
+    """
+    w = Window.partitionBy(key).orderBy(us, call).rowsBetween(Window.unboundedPreceding, 0)
+    run = calls.withColumn("_g", F.count_if(~F.col(failed)).over(w))
+    inside = Window.partitionBy(key, "_g").orderBy(us, call).rowsBetween(Window.unboundedPreceding, 0)
+    run = run.withColumn("streak", F.count_if(F.col(failed)).over(inside)).drop("_g")
+    return run.withColumn("blocked_until", F.when(F.col(failed) & (F.col("streak") >= threshold), F.col(us) + recovery_us))
