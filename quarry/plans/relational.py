@@ -280,3 +280,64 @@ def k25(t: Tables) -> DataFrame:
     q = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 nations
     q = q.select(F.col("c_custkey").alias("qid"), F.left("n_name", F.lit(4)).alias("text"))
     return M.suggest(q, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).select("qid", "id")
+
+
+@query(
+    "q13_keywords",
+    "WITH w AS (SELECT conv_id, turn, text, regexp_split_to_array(lower(text), '[^a-zà-ú0-9]+') AS w FROM conversations), f AS (SELECT conv_id, turn, list_filter(w,"
+    f" lambda x: len(x) >= 4 AND x NOT IN ({', '.join(repr(w) for w in Q.EMPTY_WORDS)})) AS w FROM w)"
+    " SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:6], ' ') AS words FROM f WHERE w IS NOT NULL",
+)
+def q13(t: Tables) -> DataFrame:
+    return t.conversations.where("text is not null").select("conv_id", "turn", F.array_join(Q.keywords(F.col("text")), " ").alias("words"))
+
+
+@query(
+    "q14_follow_up",
+    "SELECT conv_id, turn, md5(concat_ws(' ', lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text), text)) AS context FROM conversations WHERE role = 'user'",
+)
+def q14(t: Tables) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    asked = t.conversations.where("role = 'user'")
+    return asked.select("conv_id", "turn", F.md5(F.concat_ws(" ", F.lag("text").over(w), "text")).alias("context"))
+
+
+@query(
+    "s23_newest_version",
+    "SELECT source, lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) = 1",
+)
+def s23(t: Tables) -> DataFrame:
+    return usage.latest(t.documents.select("source", "lang", "doc_id"), ["source", "lang"], F.col("doc_id").desc())
+
+
+@query("s22_delete", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def s22(t: Tables) -> DataFrame:
+    gone = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return t.orders.join(gone, "o_custkey", "left_anti").select("o_orderkey")
+
+
+@query("j01_inner", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def j01(t: Tables) -> DataFrame:
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+@query(
+    "j04_lateral_first",
+    "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1) ON c_custkey = o_custkey",
+)
+def j04(t: Tables) -> DataFrame:
+    one = usage.latest(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], F.col("o_orderdate").desc(), F.col("o_orderkey"))
+    return t.customer.join(one, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("u02_distinct", "SELECT DISTINCT lang, source FROM documents")
+def u02(t: Tables) -> DataFrame:
+    return t.documents.select("lang", "source").distinct()
+
+
+@query(
+    "c19_dossier_key",
+    "SELECT o_orderkey, concat_ws(':', o_orderpriority, CASE WHEN o_orderstatus < 'b' THEN o_orderstatus || '+b' ELSE 'b+' || o_orderstatus END, 'v1') AS k FROM orders",
+)
+def c19(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", rules.dossier_key(F.col("o_orderpriority"), F.array("o_orderstatus", F.lit("b")), F.lit("v1")).alias("k"))

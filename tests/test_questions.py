@@ -85,3 +85,11 @@ def test_inspection_with_axles(spark):
     got = spark.range(1).select(rules.inspection(F.lit(20000.0), F.lit("balanca"), none, none, none, F.lit(22000.0), none, ax, F.lit(1)).alias("o")).first().o
     assert (got.status, got.codes, got.excess, got.axle_excess, got.responsible) == ("autuavel", ["683-13"], 1000.0, 1750.0, "Transportador")
     assert got.cents == 13016 + 5 * 2128 + 9 * 3192
+
+
+def test_smaller_ones(spark):
+    assert one(spark, Q.anonymise_evaluation, "Ana Souza CPF 123.456.789-00 placa ABC1D23") == "[PESSOA] CPF [CPF] placa [PLACA]"
+    assert one(spark, Q.focus, "Posso fazer Busca Pessoal?") == "busca pessoal" and one(spark, Q.focus, "bom dia") == "bom dia"
+    assert [one(spark, Q.enough_said, q) for q in ("516-91", "sem cinto", "bom dia")] == [True, True, False]
+    got = spark.range(1).select(rules.axle_gaps(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))).alias("g")).first().g
+    assert (got.missing, got.unknown) == (["a"], ["c"])
