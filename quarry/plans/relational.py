@@ -341,3 +341,82 @@ def u02(t: Tables) -> DataFrame:
 )
 def c19(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", rules.dossier_key(F.col("o_orderpriority"), F.array("o_orderstatus", F.lit("b")), F.lit("v1")).alias("k"))
+
+
+@query(
+    "s04_inline_table",
+    "SELECT n_nationkey, n_name AS country, array_to_string(list_filter(string_split(CASE n_nationkey % 3 WHEN 0 THEN 'A,R' WHEN 1 THEN 'V' ELSE '' END, ','), lambda x: x <> ''), '+') AS instruments FROM nation",
+)
+def s04(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    line = F.concat_ws("|", "n_name", F.when(k % 3 == 0, "A,R").when(k % 3 == 1, "V").otherwise(""), k.cast("string"))
+    cells = F.split(line, r"\|", -1)
+    signs = F.filter(F.split(cells[1], ","), lambda x: x != "")
+    return t.nation.select("n_nationkey", cells[0].alias("country"), F.array_join(signs, "+").alias("instruments"))
+
+
+@query("p12_array_overlap", "SELECT p_partkey FROM part WHERE list_has_any(string_split(lower(p_type), ' '), ['steel', 'tin', 'brass'])")
+def p12(t: Tables) -> DataFrame:
+    wanted = F.array(*map(F.lit, ("steel", "tin", "brass")))
+    return t.part.where(F.arrays_overlap(F.split(F.lower("p_type"), " "), wanted)).select("p_partkey")
+
+
+@query("p14_in_force", "SELECT doc_id, lang IS NULL AS in_force FROM documents")
+def p14(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.col("lang").isNull().alias("in_force"))
+
+
+@query(
+    "k03_prior",
+    "WITH s AS (SELECT o_custkey AS qid, o_orderkey AS id, round(o_totalprice * CASE WHEN o_orderkey % 300 BETWEEN 161 AND 255 THEN 1.04::DOUBLE ELSE 1 END, 6) AS score FROM orders)"
+    " SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s",
+)
+def k03(t: Tables) -> DataFrame:
+    prior = F.when((F.col("o_orderkey") % 300).between(161, 255), 1.04).otherwise(1.0)
+    s = t.orders.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") * prior, 6).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    return s.select("qid", "id", F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query("a08_exact_counts", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM documents WHERE text IS NULL) AS pending")
+def a08(t: Tables) -> DataFrame:
+    counts = (("orders", t.orders), ("customers", t.customer), ("pending", t.documents.where("text is null")))
+    one = [d.agg(F.count("*").alias(n)) for n, d in counts]
+    return one[0].crossJoin(one[1]).crossJoin(one[2])  # one row each
+
+
+@query("a23_pending_per_document", "SELECT source, count(*) FILTER (lang IS NULL) AS pending, count(*) AS n FROM documents GROUP BY source")
+def a23(t: Tables) -> DataFrame:
+    return t.documents.groupBy("source").agg(F.count_if(F.col("lang").isNull()).alias("pending"), F.count("*").alias("n"))
+
+
+@query("o01_mixed_order", "SELECT doc_id, lang FROM documents ORDER BY lang ASC NULLS LAST, n_chars DESC NULLS LAST, doc_id LIMIT 25")
+def o01(t: Tables) -> DataFrame:
+    top = t.documents.orderBy(F.col("lang").asc_nulls_last(), F.col("n_chars").desc_nulls_last(), "doc_id").limit(25)
+    return top.select("doc_id", "lang")
+
+
+@query("u01_union_all", "SELECT c_name AS name, 'c' AS kind FROM customer UNION ALL SELECT s_name, 's' FROM supplier")
+def u01(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_name").alias("name"), F.lit("c").alias("kind")).unionByName(
+        t.supplier.select(F.col("s_name").alias("name"), F.lit("s").alias("kind"))
+    )
+
+
+@query("j14_folded_name", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON lower(a.n_name) = lower(upper(b.n_name))")
+def j14(t: Tables) -> DataFrame:
+    left = t.nation.select(F.col("n_nationkey").alias("a"), T.fold(F.col("n_name")).alias("k"))
+    right = t.nation.select(F.col("n_nationkey").alias("b"), T.fold(F.upper("n_name")).alias("k"))
+    return left.join(right, "k").select("a", "b")
+
+
+@query("f16_embedding_input", "SELECT doc_id, md5(concat_ws(' · ', source, lang) || chr(10) || coalesce(text, '')) AS input FROM documents")
+def f16(t: Tables) -> DataFrame:
+    whole = F.concat(F.concat_ws(" · ", "source", "lang"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return t.documents.select("doc_id", F.md5(whole).alias("input"))
+
+
+@query("f22_clamp", "SELECT o_orderkey, greatest(1, least(coalesce(nullif(o_orderkey % 200, 0), 10), 100)) AS n FROM orders")
+def f22(t: Tables) -> DataFrame:
+    n = F.coalesce(F.nullif(F.col("o_orderkey") % 200, F.lit(0)), F.lit(10))
+    return t.orders.select("o_orderkey", F.greatest(F.lit(1), F.least(n, F.lit(100))).cast("long").alias("n"))
