@@ -47,6 +47,41 @@ def lexical_topk(queries: DataFrame, docs_posts: DataFrame, k: int = 10, share:
     return rank_by(hits, "qid", F.col("coverage").desc(), F.col("id"), k=k)
 
 
+def all_words_topk(queries: DataFrame, docs_posts: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, id, coverage, rank): documents that have every word of a question."""
+    size = queries.groupBy("qid").agg(F.count("*").alias("n"))
+    hits = queries.join(docs_posts, "term").groupBy("qid", "id").agg(F.count("*").alias("coverage"))
+    return rank_by(hits.join(size, "qid").where("coverage = n").drop("n"), "qid", F.col("id"), k=k)
+
+
+def cover_density(queries: DataFrame, positions: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, id, coverage, score, rank): covered words first, then how dense they stand in a document.
+
+    positions(id, term, n, w, size): occurrences of a term in a field of weight w, and the document's words. The density
+    is the weighted occurrences over the logarithm of the length, taken to d / (1 + d), so it never outweighs a word.
+    """
+    hits = queries.join(positions, "term").groupBy("qid", "id").agg(
+        F.countDistinct("term").alias("coverage"), F.sum(F.col("n") * F.col("w")).alias("d"), F.max("size").alias("size")
+    )
+    d = F.col("d") / F.log(1 + F.greatest(F.col("size"), F.lit(1)))
+    scored = hits.withColumn("score", F.col("coverage") + d / (1 + d)).select("qid", "id", "coverage", "score")
+    return rank_by(scored, "qid", F.round("score", 9).desc(), F.col("id"), k=k)
+
+
+def in_search_order(ranked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """rows that a ranked list names, with its rank: a lookup keeps the search's order."""
+    return ranked.select("qid", F.col("id").alias(key), "rank").join(rows, key)
+
+
+def either(lexical: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, id, lexical_rank, vector_rank, score, rank) of two ranked lists, either of which may be empty."""
+    both = lexical.select("qid", "id", F.col("rank").alias("lexical_rank")).join(
+        vector.select("qid", "id", F.col("rank").alias("vector_rank")), ["qid", "id"], "full_outer"
+    )
+    score = F.coalesce(1.0 / (60 + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(1.0 / (60 + F.col("vector_rank")), F.lit(0.0))
+    return rank_by(both.withColumn("score", score), "qid", F.round("score", 12).desc(), F.col("id"), k=k)
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.35) -> DataFrame:
     """(qid, id, similarity, rank): cosine top-k of queries(qid, v) over vectors(id, v), in blocks of queries.
 
@@ -169,12 +204,17 @@ def fuzzy_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def fuzzy_search(queries: DataFrame, title: DataFrame, body: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
+    """fielded_search() over the postings of titles, which weigh 3, and bodies, which weigh 1."""
+    fields = title.withColumn("w", F.lit(3.0)).unionByName(body.withColumn("w", F.lit(1.0)))
+    return fielded_search(queries, fields, n_docs, k)
+
+
+def fielded_search(queries: DataFrame, fields: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
     """(qid, id, coverage, score, rank): fielded inverse-frequency search with typo tolerance.
 
-    queries(qid, term); title and body are postings. A term scores its best field weight x quality x idf in a document;
+    queries(qid, term), fields(id, term, w). A term scores its best field weight x quality x idf in a document;
     documents must cover half of the terms, as many as any other, and reach 45 % of the best score.
     """
-    fields = title.withColumn("w", F.lit(3.0)).unionByName(body.withColumn("w", F.lit(1.0)))
     fields = fields.groupBy("id", "term").agg(F.max("w").alias("w"))
     vocab = fields.groupBy("term").agg(F.count("*").alias("df"))
     idf = 1 + F.log(1 + F.lit(float(n_docs)) / (1 + F.col("df")))
