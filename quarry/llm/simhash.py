@@ -14,6 +14,8 @@ from quarry.llm.common import components, materialize
 
 #: A posting list of up to so many fingerprints is paired; longer ones are linked through shared one-bit neighbours.
 PAIRED = 24
+#: A fingerprint of more than one in so many rows gets its group by broadcast, so that none fills a task of the last join.
+HEAVY = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -95,13 +97,17 @@ def near_duplicates(
     no id at all get a null component_id. Repeated rows stay. An empty table gives no rows. Other columns are not read.
     """
     sig = materialize(with_fingerprint(docs, id_col, text_col, shingle))
-    fps = materialize(sig.groupBy("fp").agg(F.min("id").alias("rep")))
+    fps = materialize(sig.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     comp = components(links(fps, paired), "a", "b").withColumnRenamed("node", "fp")
     named = comp.join(fps, "fp")
     roots = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(roots, "root").select("fp", "least")
-    whole = fps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return sig.join(whole, "fp").select("id", "fp", "component_id")
+    whole = materialize(fps.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
+    rows = whole.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY > rows
+    hot = F.broadcast(whole.where(heavy).select("fp", "component_id"))  # fewer than HEAVY rows
+    cold = sig.join(hot.select("fp"), "fp", "left_anti").join(whole.where(~heavy).select("fp", "component_id"), "fp")
+    return cold.unionByName(sig.join(hot, "fp")).select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
