@@ -21,8 +21,6 @@ DIVISOR = 4
 LONG = 50
 #: A chunk of several lines has so many words at least.
 LEAST = 20
-#: Lines of a run at most (chunks have no such bound).
-RUN_LINES = 16
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -40,12 +38,17 @@ def _units(docs: DataFrame) -> DataFrame:
     base = base.withColumn("cut", cut).withColumn("at", F.expr("sequence(0, size(h) - 1)"))
     chunks = "transform(cut, (s, j) -> struct(s, coalesce(get(cut, j + 1), size(h)) - s as n))"
     long_enough = f"aggregate(slice(w, c.s + 1, c.n), 0, (a, x) -> a + x) >= if(c.n > 1, {LEAST}, {LONG} + 1)"
-    grown = f"(a, x) -> if(a.words > {LONG}, a, struct(a.n + 1 as n, a.words + x as words))"
-    ahead = f"aggregate(slice(w, i + 1, {RUN_LINES}), struct(0 as n, 0 as words), {grown})"
-    back = f"aggregate(reverse(slice(w, greatest(i + 2 - {RUN_LINES}, 1), least(i + 1, {RUN_LINES}))), struct(0 as n, 0 as words), {grown})"
+    # of[k] is the line of word k, before[i] the words ahead of line i (marks holds line i once more than it has words)
+    base = base.withColumns(
+        {
+            "of": F.expr("flatten(transform(at, i -> array_repeat(i, w[i])))"),
+            "marks": F.expr("flatten(transform(at, i -> array_repeat(i, w[i] + 1)))"),
+        }
+    )
+    base = base.withColumn("before", F.expr("filter(transform(marks, (i, k) -> if(k = 0 or marks[k - 1] != i, k - i, null)), x -> x is not null)"))
     runs = f"""concat(
-        transform(filter(transform(at, i -> struct(i, {ahead} as r)), x -> x.r.words > {LONG}), x -> struct(x.i as s, x.r.n as n)),
-        transform(filter(transform(at, i -> struct(i, {back} as r)), x -> x.r.words > {LONG}), x -> struct(x.i + 1 - x.r.n as s, x.r.n as n)))"""
+        filter(transform(at, i -> struct(i as s, get(of, before[i] + {LONG}) - i + 1 as n)), r -> r.n is not null),
+        filter(transform(at, i -> struct(get(of, before[i] + w[i] - {LONG} - 1) as s, i + 1 - get(of, before[i] + w[i] - {LONG} - 1) as n)), r -> r.n is not null))"""
     units = F.expr(f"array_distinct(concat(filter({chunks}, c -> {long_enough}), {runs}))")
     flat = base.select("doc", "h", F.explode(units).alias("u"))
     return flat.select("doc", F.col("u.s").alias("start"), F.expr("slice(h, u.s + 1, u.n)").alias("key"))

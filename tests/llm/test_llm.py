@@ -330,6 +330,31 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    rare = iter(range(10**6))
+    fresh = lambda n: " ".join(f"w{next(rare)}" for _ in range(n))
+    triples, doubled, single = [fresh(3) for _ in range(30)], [x for _ in range(12) for x in (fresh(6), "")], [fresh(1) for _ in range(70)]
+    spaced = [x for _ in range(3) for x in (fresh(20), *[""] * 40)]
+    rows = [(i, "\n".join([fresh(30), *passage, fresh(30)])) for passage in (triples, doubled, single, spaced) for i in (next(rare), next(rare), next(rare))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, text) in enumerate(rows):
+        lines = text.split("\n")
+        assert got[i].text.split("\n") == (lines if k % 3 == 0 else [lines[0], lines[-1]]), k
+
+
+def test_line_dedup_runs(spark):
+    sizes = [[rng.choice((0, 0, 1, 2, 3, 7, 60)) for _ in range(rng.randrange(1, 120))] for _ in range(25)]
+    rows = [(i, "\n".join(" ".join(["w"] * n) for n in w)) for i, w in enumerate(sizes)]
+    units = linededup._units(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc.doc_id, r.start, len(r.key)) for r in units.collect()}
+    for i, w in enumerate(sizes):
+        for a in range(len(w)):
+            ahead = next((b for b in range(a + 1, len(w) + 1) if sum(w[a:b]) > linededup.LONG), None)
+            back = next((b for b in range(a, -1, -1) if sum(w[b : a + 1]) > linededup.LONG), None)
+            assert ahead is None or (i, a, ahead - a) in got
+            assert back is None or (i, back, a + 1 - back) in got
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
