@@ -223,6 +223,11 @@ def c01(t: Tables) -> DataFrame:
     return chunk.chunks(t.documents, "doc_id", "text")
 
 
+@query("c01_sections")
+def c01_sections(t: Tables) -> DataFrame:
+    return chunk.chunks(t.documents, "doc_id", "text", mode="secoes")
+
+
 @query("t02_stream_daily", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
 def t02(t: Tables) -> DataFrame:
     return _stream(t, "daily_counts", "complete")

@@ -71,6 +71,60 @@ def test_chunks():
     assert chunk.chunk_text(None) == [] and chunk.pack([5, 5, 5], 10) == [0, 0, 1]
 
 
+def test_chunks_keep_other_articles():
+    """Annexes that number anew and a wrapped reference take nothing from the body."""
+    text = "Art. 1º Regra do corpo da norma.\n\nArt. 2º Outra regra, nos termos do\nart. 1º desta norma aqui.\n\nANEXO I\n\nArt. 1º Regra do primeiro anexo.\n\nANEXO II\n\nArt. 1º Regra do segundo anexo."
+    got = [(c["label"], c["section"], c["text"]) for c in chunk.chunk_text(text)]
+    assert got == [
+        ("art. 1", None, "Art. 1º Regra do corpo da norma."),
+        ("art. 2", None, "Art. 2º Outra regra, nos termos do art. 1º desta norma aqui."),
+        ("art. 1", "ANEXO I", "Art. 1º Regra do primeiro anexo."),
+        ("art. 1", "ANEXO II", "Art. 1º Regra do segundo anexo."),
+    ]
+
+
+def test_old_wordings():
+    """Against a brute-force version: as long as two openings of a level in a row are the same, the first block goes."""
+    import random
+
+    depth = {"article": 0, "paragraph": 1, "clause": 2}
+
+    def naive(units):
+        for j, u in enumerate(units):
+            d = depth.get(u["kind"])
+            if d is None:
+                continue
+            for i in range(j - 1, -1, -1):
+                e = -1 if units[i]["kind"] == "heading" else depth.get(units[i]["kind"], 9)
+                if e < d:
+                    break
+                if e == d:
+                    inside = d == 0 or "article" in [x["kind"] for x in units[max([k for k in range(i) if units[k]["kind"] == "heading"], default=0) : i]]
+                    if inside and units[i]["text"] == u["text"]:
+                        return naive(units[:i] + units[j:])
+                    break
+        return units
+
+    rng = random.Random(5)
+    lines = [("heading", "ANEXO I")] + [("article", f"Art. {k}.") for k in (1, 2)] + [("paragraph", f"§ {k}º") for k in (1, 2)] + [("clause", f"{k} - x") for k in ("I", "II")] + [("text", "y")]
+    for _ in range(300):
+        units = [{"kind": k, "text": t, "n": n} for n, (k, t) in enumerate(rng.choice(lines) for _ in range(rng.randrange(30)))]
+        assert chunk.without_old_wordings(units) == naive(units)
+
+
+def test_chunk_levels_and_sections():
+    text = "\n\n".join(["Art. 162. Dirigir veículo:", "V - com validade vencida;", "V - com carteira cassada;", "§ 1º Texto antigo.", "I - inciso antigo;", "§ 1º Texto atual."])
+    assert chunk.chunk_text(text)[0]["text"].split("\n") == ["Art. 162. Dirigir veículo:", "V - com carteira cassada;", "§ 1º Texto atual."]
+    long = "Art. 181. Estacionar o veículo:\n" + "\n".join(f"{k} - em local e horário proibidos pela sinalização;" for k in ("I", "II", "III"))
+    assert [c["label"] for c in chunk.chunk_text(long, cap=90)] == ["art. 181", "art. 181 II", "art. 181 III"]
+    pop = "[[pagina:1]]\nPOP 1.01 - ABORDAGEM\n\n1. FINALIDADE\nPadronizar a abordagem em via pública.\n\n[[pagina:2]]\n3. SEQUÊNCIA DAS AÇÕES\n1. Informar à central o local.\n\n3.1 Da busca pessoal\nO segurança mantém a cobertura."
+    assert [(c["section"], c["page"]) for c in chunk.chunk_text(pop, mode="secoes")] == [
+        ("POP 1.01 - ABORDAGEM › 1. FINALIDADE", 1),
+        ("POP 1.01 - ABORDAGEM › 3. SEQUÊNCIA DAS AÇÕES", 2),
+        ("3. SEQUÊNCIA DAS AÇÕES › 3.1 Da busca pessoal", 2),
+    ]
+
+
 def test_running_headers(spark):
     rows = [("d", p, f"Diário nº {p}\ncorpo {'abcd'[p]}\nfim {p * 0 + (p if p == 3 else 1)}") for p in range(4)]
     df = spark.createDataFrame(rows, "doc string, page int, text string")
