@@ -303,6 +303,21 @@ def test_html(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_html_hot_host(spark, monkeypatch):
+    """A host too large for a task gives what one suffix array over it gives."""
+    shared = [" ".join(f"s{k}x{i}" for i in range(10)) for k in range(6)]
+    rows = []
+    for i in range(40):
+        body = [sentence(12), *[s for k, s in enumerate(shared) if i % 8 == k], sentence(9)]
+        rows.append((i, "http://hot.org/%d" % i, "".join(f"<div>{x}</div>" for x in body)))
+    rows += [(40 + i, "http://cold.org/%d" % i, f"<div>{shared[0]}</div>") for i in range(2)] + [rows[0]]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r.page_id, r.text) for r in html.extract(d).collect())
+    assert not any(s in text for n, text in want if n < 40 for s in shared)
+    monkeypatch.setattr(html, "BUNDLE_BYTES", 400)
+    assert sorted((r.page_id, r.text) for r in html.extract(d).collect()) == want
+
+
 def test_line_dedup(spark):
     passage = [sentence(n) for n in (14, 9, 20, 3, 18)]
     single = sentence(60)
