@@ -155,7 +155,7 @@ def k06(t: Tables) -> DataFrame:
 @query("k10_fuzzy_search")
 def k10(t: Tables) -> DataFrame:
     head = t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
-    asked = questions(t).where("length(term) >= 9")
+    asked = R.postings(t.benchmark, "item_id", "text").withColumnRenamed("id", "qid")  # every word of three letters or more
     n = t.documents.count()
     out = R.fuzzy_search(asked, R.postings(head, "doc_id", "text"), doc_posts(t), n)
     return out.select("qid", "id", "coverage", F.round("score", 6).alias("score"), "rank")

@@ -125,6 +125,17 @@ def test_chunk_levels_and_sections():
     ]
 
 
+def test_fuzzy_search_asks_every_word(spark):
+    from types import SimpleNamespace
+
+    from quarry.plans import search
+
+    docs = spark.createDataFrame([(7, "placo\nresto do texto"), (8, "outra coisa\ncom sol")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "placa"), (2, "sol")], "item_id long, text string")
+    got = search.k10(SimpleNamespace(documents=docs, benchmark=asked)).collect()
+    assert {(r.qid, r.id, r.rank) for r in got} == {(1, 7, 1), (2, 8, 1)}
+
+
 def test_running_headers(spark):
     rows = [("d", p, f"Diário nº {p}\ncorpo {'abcd'[p]}\nfim {p * 0 + (p if p == 3 else 1)}") for p in range(4)]
     df = spark.createDataFrame(rows, "doc string, page int, text string")
