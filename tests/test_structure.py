@@ -80,6 +80,14 @@ def test_search_sheets(spark):
     assert [x for x, _ in got[6]] == ["757-90"] and [x for x, _ in got[7]] == ["516-91"]
 
 
+def test_sheets_asks_every_part(spark):
+    from quarry.plans import structure
+    from quarry.plans.base import Tables
+
+    got = structure.k17(Tables(spark, "/root/testdata/sf0.001")).select("qid").distinct().collect()
+    assert {r.qid % 50 for r in got} - {1, 2, 3}
+
+
 def test_facts(spark):
     facts = spark.createDataFrame([("Suicídio", "Suicídio", "g"), ("Vias de fato", "Vias de fato", "g")], "id string, label string, body string")
     asked = spark.createDataFrame([(1, "ele quer se matar"), (2, "briga no bar"), (3, "lista")], "qid long, text string")
