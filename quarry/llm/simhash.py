@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import components, materialize
 
-#: A posting list of up to so many fingerprints is paired; longer ones are linked through shared one-bit neighbours.
-PAIRED = 24
+#: Fingerprints link at so many differing bits or fewer; each bit spoils one of eight positional bytes at most.
+NEAR = 2
+#: For each choice of six byte positions, the bits of a fingerprint that lie there (as Spark's signed long).
+MASKS = [
+    sum(0xFF << 8 * p for p in kept) - (1 << 64 if 7 in kept else 0) for kept in combinations(range(8), 8 - NEAR)
+]
 #: A fingerprint of more than one in so many rows gets its group by broadcast, so that none fills a task of the last join.
 HEAVY = 1000
 
@@ -40,69 +45,78 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(out[0])
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) per row. Whole texts are read; null counts as no words."""
+def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(id, fp) per row of docs(id, text). Whole texts are read; null counts as no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp bigint")
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp bigint")
 
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b) between distinct fingerprints ``fp`` that links of at most two bits join, enough to join up all of them.
 
-def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that differ in at most two bits, enough to join up all of them.
-
-    Two differing bits touch at most two of the eight byte positions, so at least six bytes agree in place, and of the
-    four byte pairs at least two. The index posts each fingerprint under the six choices of two byte pairs. Within a
-    posting list, the shared positional bytes of each pair are tallied, pairs with six or more stay, and their bits are
-    compared. A list longer than ``paired`` is not paired: its fingerprints are posted under themselves and their 64
-    one-bit neighbours. Two share such a key exactly if they differ in at most two bits, and each key links its members
-    to the smallest, at most 65 of them. So no list is dropped or capped and no group makes all its pairs.
+    Two differing bits touch at most two of the eight byte positions, so six positional bytes at least are shared: the
+    count that the index filters by. A posting list is named by six positions and the bytes there. A pair that shares m
+    positional bytes is on C(m, 6) lists together, so the tally is taken by the lists: pairs short of six meet on none,
+    and no pair is made before it has reached six. Members of a list differ in two bytes, so it holds 65,536 distinct
+    fingerprints at most, whatever the input; their bits are compared in blocks, and a star per linked group comes out.
     """
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    choices = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = [
-        F.struct(F.lit(k).alias("c"), (F.shiftleft(block[i], 16).bitwiseOR(block[j])).alias("k"))
-        for k, (i, j) in enumerate(choices)
-    ]
-    posts = fps.select("fp", F.explode(F.array(*keys)).alias("p")).select("fp", "p.c", "p.k")
-    counts = posts.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    lists = materialize(posts.join(counts, ["c", "k"]))
-    few = lists.where(F.col("n") <= paired)
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(8))
-    pairs = (
-        few.select("c", "k", F.col("fp").alias("a"))
-        .join(few.select("c", "k", F.col("fp").alias("b")), ["c", "k"])
-        .where((F.col("a") < F.col("b")) & (tally >= 6) & (F.bit_count(x) <= 2))
-        .select("a", "b")
-    )
-    many = lists.where(F.col("n") > paired).select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    posted = many.select("fp", F.explode(near).alias("key"))
-    least = posted.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = posted.join(least, "key").select(F.col("fp").alias("a"), "b").where("a != b")
-    return pairs.union(stars)
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, paired: int = PAIRED
-) -> DataFrame:
+    keys = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for c, m in enumerate(MASKS)])
+    posts = fps.select("fp", F.explode(keys).alias("p")).select("fp", "p.c", "p.k")
+    lists = materialize(posts.groupBy("c", "k").agg(F.min("fp").alias("b"), F.max("fp").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    pairs = lists.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= NEAR)).select("a", "b")
+    longer = posts.join(lists.where("n > 2").select("c", "k"), ["c", "k"]).groupBy("c", "k").agg(F.collect_list("fp").alias("fps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for members in b.column(0):
+                found = star(members.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+
+    return pairs.union(longer.select("fps").mapInArrow(run, "a bigint, b bigint")).distinct()
+
+
+def star(members: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): every linked member of a list with the smallest member that links of this list reach from it."""
+    x = np.sort(members)
+    bits = x.view(np.uint64)
+    root = np.arange(len(x))
+    while True:
+        low = root.copy()
+        for s in range(0, len(x), block):
+            for t in range(0, len(x), block):
+                near = np.bitwise_count(bits[s : s + block, None] ^ bits[None, t : t + block]) <= NEAR
+                least = np.where(near, root[None, t : t + block], len(x)).min(1)
+                np.minimum(low[s : s + block], least, out=low[s : s + block])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    on = root != np.arange(len(x))
+    return x[on], x[root[on]]
+
+
+def _classes(sig: DataFrame, best: DataFrame) -> DataFrame:
+    """(fp, n, best): each distinct fingerprint, its rows, and the least ``best`` of its component; best(fp, n, best)."""
+    comp = components(links(best.select("fp")), "a", "b").withColumnRenamed("node", "fp")
+    named = comp.join(best, "fp")
+    roots = named.groupBy("root").agg(F.min("best").alias("least"))
+    named = named.join(roots, "root").select("fp", "least")
+    return materialize(best.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "best").alias("best")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp, component_id) per row of docs: groups of fingerprints within two bits, named by their smallest id.
 
     Null or empty texts have fingerprint 0 and link like any other. A null id never names a group; rows whose group has
     no id at all get a null component_id. Repeated rows stay. An empty table gives no rows. Other columns are not read.
     """
-    sig = materialize(with_fingerprint(docs, id_col, text_col, shingle))
-    fps = materialize(sig.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    comp = components(links(fps, paired), "a", "b").withColumnRenamed("node", "fp")
-    named = comp.join(fps, "fp")
-    roots = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(roots, "root").select("fp", "least")
-    whole = materialize(fps.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
+    sig = materialize(with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), shingle))
+    best = materialize(sig.groupBy("fp").agg(F.min("id").alias("best"), F.count("*").alias("n")))
+    whole = _classes(sig, best).withColumnRenamed("best", "component_id")
     rows = whole.agg(F.sum("n")).first()[0] or 0
     heavy = F.col("n") * HEAVY > rows
     hot = F.broadcast(whole.where(heavy).select("fp", "component_id"))  # fewer than HEAVY rows
@@ -111,22 +125,22 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of docs without near duplicates: of each group the row with the smallest id, and one of its repeats.
+    """The rows of docs without near duplicates: one row of each group, in docs's columns.
 
-    Rows of a group that has no id keep one row. Columns and their order are those of docs.
+    It is the row with the smallest id, ids before null; of several texts under that id, the one of least hash; of rows
+    that repeat both, the one of least hash over all columns. Unlike texts under one id are documents of their own: each
+    stays unless its own group keeps another. An empty table stays empty.
     """
-    cols = docs.columns
-    groups = near_duplicates(docs, id_col, text_col, shingle)
-    stay = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
-    first = docs.join(stay, docs[id_col] == stay["id"], "left_semi")
-    repeats = first.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_rep"))
-    once = first.join(repeats, first[id_col] == repeats["_rep"], "left_anti")
-    again = first.join(repeats, first[id_col] == repeats["_rep"], "left_semi").dropDuplicates([id_col])
-    nameless = groups.where(F.col("component_id").isNull()).select("fp").distinct()
-    kept = once.unionByName(again).select(*cols)
-    if nameless.isEmpty():
-        return kept
-    lone = docs.where(F.col(id_col).isNull())
-    marks = with_fingerprint(lone.select(F.struct(*cols).alias("row"), text_col), "row", text_col, shingle)
-    lone = marks.join(nameless, "fp", "left_semi").dropDuplicates(["fp"]).select("id.*")
-    return kept.unionByName(lone.select(*cols))
+    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    key = {"k1": F.xxhash64(F.lit(1), ident, text), "k2": F.xxhash64(F.lit(2), text, ident)}
+    slim = docs.select(F.struct(ident.isNull().alias("no"), ident.alias("id"), *[c.alias(n) for n, c in key.items()]).alias("id"), text.alias("text"))
+    sig = materialize(with_fingerprint(slim, shingle))
+    best = materialize(sig.groupBy("fp").agg(F.min("id").alias("best"), F.count("*").alias("n")))
+    winners = _classes(sig, best).select("best.k1", "best.k2").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in key.items()])
+    repeats = sig.groupBy("id.k1", "id.k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    stay = materialize(winners.join(repeats.withColumn("more", F.lit(True)), ["k1", "k2"], "left"))
+    kept = rows.join(stay.where("more is null").select("k1", "k2"), ["k1", "k2"], "left_semi").select("_row")
+    again = rows.join(stay.where("more").select("k1", "k2"), ["k1", "k2"], "left_semi")
+    once = again.groupBy("k1", "k2").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+    return kept.unionByName(once).select("_row.*")

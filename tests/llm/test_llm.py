@@ -70,15 +70,33 @@ def test_fingerprint():
         assert simhash.fingerprint(t) % 2**64 == naive_fingerprint(t)
 
 
-@pytest.mark.parametrize("paired", [24, 2])
-def test_simhash_links(spark, paired):
+def signed(xs):
+    return [x - 2**64 if x >= 2**63 else x for x in xs]
+
+
+def test_simhash_links(spark):
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(12)} | set(base) | {0, 1, 3, 2**63, 2**64 - 1}
-    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), paired).collect()
-    assert all((r.a % 2**64 ^ r.b % 2**64).bit_count() <= 2 for r in got)
-    all_links = [(a, b) for a in signed for b in signed if a < b and (a % 2**64 ^ b % 2**64).bit_count() <= 2]
-    assert roots(signed, [(r.a, r.b) for r in got]) == roots(signed, all_links)
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed(fps)], "fp long")).collect()
+    all_links = [(a, b) for a in signed(fps) for b in signed(fps) if a < b and (a % 2**64 ^ b % 2**64).bit_count() <= 2]
+    assert roots(signed(fps), [(r.a, r.b) for r in got]) == roots(signed(fps), all_links)
+
+
+def test_simhash_tally():
+    """Pairs meet on C(m, 6) lists for m shared positional bytes: on none below six, where the bits are never looked at."""
+    x = rng.getrandbits(64)
+    for spoilt, lists in ((0, 28), (1, 7), (2, 1), (3, 0), (8, 0)):
+        y = x ^ sum(1 << 8 * p + rng.randrange(8) for p in rng.sample(range(8), spoilt))
+        assert sum((x & m % 2**64) == (y & m % 2**64) for m in simhash.MASKS) == lists
+    near, far = np.array([x, x ^ 3 << 8, x ^ 7 << 16], np.uint64).view(np.int64), np.array([x, x ^ 7], np.uint64).view(np.int64)
+    assert len(simhash.star(near)[0]) == 1 and len(simhash.star(far)[0]) == 0  # on one list, but three bits apart
+
+
+def test_simhash_long_list():
+    x = np.unique(np.array([rng.getrandbits(16) for _ in range(3000)], np.int64))
+    a, b = simhash.star(x, 256)
+    near = np.bitwise_count((x[:, None] ^ x).view(np.uint64)) <= 2
+    assert roots(x.tolist(), zip(a.tolist(), b.tolist())) == roots(x.tolist(), [(int(x[i]), int(x[j])) for i, j in zip(*np.nonzero(near)) if i < j])
 
 
 def test_simhash_docs(spark, docs):
@@ -96,6 +114,15 @@ def test_simhash_docs(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_unlike_texts_under_one_id(spark):
+    a, b, c = (sentence(80) for _ in range(3))
+    rows = [(7, a, 1), (7, b, 2), (3, c, 3), (7, c, 4), (None, c, 5), (None, sentence(80), 6), (9, b + " x", 7), (7, a, 1), (7, a, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(7, a), (7, b), (3, c), (0, rows[5][1])])
+
+
 def test_contamination(spark):
     w = [sentence(1) + str(i) for i in range(200)]
     items = [(1, " ".join(w[:20])), (2, "Short ITEM"), (3, None), (4, "..."), (None, "skip me"), (5, " ".join(w[:13])), (2, "short item")]
