@@ -173,6 +173,21 @@ def test_shard(spark, docs):
     assert shard.shard(docs.limit(0), 4).count() == 0
 
 
+@pytest.mark.parametrize("same,other", [(2000, 2000), (300, 0), (3, 40)])
+def test_shard_repeated_rows(spark, same, other):
+    rows = [(5, "again and again", k) for k in range(same)] + [(10 + k, sentence(rng.randrange(1, 8)), k) for k in range(other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    got = shard.shard(d, 40, range_bytes=500).collect()
+    assert Counter((r.doc_id, r.text, r["a.b"]) for r in got) == Counter(rows)
+    held, slots = Counter(), defaultdict(list)
+    for r in got:
+        held[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    biggest = max(r["size"] for r in got)
+    assert max(held[k] for k in range(40)) - min(held[k] for k in range(40)) <= 2 * biggest
+
+
 def test_mix(spark, docs):
     rows = [(i, sentence(rng.randrange(1, 60)), [None, "a", "b", "é", "z"][i % 5] if i % 2 else "hot") for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("Size", F.lit(1)).withColumn("mean", F.lit(2))
