@@ -1,10 +1,17 @@
-"""Benchmark decontamination: an Aho-Corasick automaton over benchmark windows, run over whole normalised texts."""
+"""Benchmark decontamination: an Aho-Corasick automaton over pieces of benchmark items, run over whole normalised texts.
+
+A window is 13 consecutive words of an item. Any occurrence of one holds a run of seven words that begins at a multiple of
+seven in the item; so the automaton has these runs only, each word of the benchmark once, and a match is followed to both
+sides as far as document and item agree. It counts from 13 words on. Shorter items are patterns as a whole.
+"""
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -12,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import materialize, packed, release
+
 #: Words of a contamination window.
 WINDOW = 13
-#: Bytes of benchmark text that one automaton may hold; larger benchmarks are scanned in blocks of about this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark words in one automaton; larger benchmarks are scanned in blocks of about this size, one pass each.
+BLOCK_BYTES = 4 << 20
+#: Words of an item that stay together; longer items are cut into pieces that overlap by a window less one word.
+PIECE = 8192
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Patterns] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -26,41 +37,61 @@ def words(text: str | None) -> list[bytes]:
     return _TOKEN.findall((text or "").encode("utf-8", "replace").lower())
 
 
-def windows(text: str | None, size: int = WINDOW) -> set[str]:
-    """The item's windows as automaton keys: words in single spaces, each byte one character."""
-    w = words(text)
-    runs = [w[i : i + size] for i in range(len(w) - size + 1)] if len(w) > size else [w] if w else []
-    return {f" {b' '.join(r).decode('latin-1')} " for r in runs}
-
-
-def _automaton(key: str, patterns: dict[str, tuple[int, ...]]) -> ahocorasick.Automaton:
-    """Built once in each Python worker and scan."""
-    if key not in _built:
-        _built.clear()
-        a = ahocorasick.Automaton()
-        for p, items in patterns.items():
-            a.add_word(p, (p.count(" ") - 1, items))
-        a.make_automaton()
-        _built[key] = a
-    return _built[key]
-
-
-def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Words of the text, hit runs as half-open word ranges, and the items that occur."""
-    found = words(text)
-    if not found:
-        return 0, [], set()
-    line = b" " + b" ".join(found) + b" "
-    items: set[int] = set()
-    hits: list[tuple[int, int]] = []
-    spaces = None
-    for end, (n, who) in automaton.iter(line.decode("latin-1")):
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        last = int(np.searchsorted(spaces, end))
-        hits.append((last - n, last))
-        items.update(who)
-    return len(found), merge(hits), items
+@dataclass
+class Patterns:
+    """Benchmark items in one automaton: each word sequence with the ids that have it."""
+
+    items: list[list[bytes]] = field(default_factory=list)
+    names: list[list[str]] = field(default_factory=list)
+    window: int = WINDOW
+    automaton: ahocorasick.Automaton = field(default_factory=ahocorasick.Automaton)
+
+    @classmethod
+    def of(cls, rows: list[tuple[str | None, bytes]], window: int = WINDOW) -> Patterns:
+        """From (id, words in single spaces); ids may be null."""
+        texts: dict[bytes, set[str]] = defaultdict(set)
+        for name, line in rows:
+            texts[line].update([] if name is None else [name])
+        out, step = cls(window=window), (window + 1) // 2
+        spots: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for line, names in texts.items():
+            w = line.split(b" ")
+            n = len(w) if len(w) < window else step
+            for at in range(0, len(w) - n + 1, n):
+                spots[b" %s " % b" ".join(w[at : at + n])].append((len(out.items), at))
+            out.items.append(w)
+            out.names.append(sorted(names))
+        for key, found in spots.items():
+            out.automaton.add_word(key.decode("latin-1"), (key.count(b" ") - 1, found))
+        if spots:
+            out.automaton.make_automaton()
+        return out
+
+    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit runs as half-open word ranges, and the ids of the items that occur."""
+        if not found or not self.items:
+            return [], set()
+        line = b" %s " % b" ".join(found)
+        hits, who, spaces = [], set(), None
+        reached: dict[tuple[int, int], int] = {}
+        for end, (n, spots) in self.automaton.iter(line.decode("latin-1")):
+            if spaces is None:
+                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+            last = int(np.searchsorted(spaces, end))
+            for item, at in spots:
+                s, w = last - n, self.items[item]
+                if reached.get((item, s - at), 0) >= last:
+                    continue  # within a run of the same item that has been followed to its end
+                e, lo, hi = last, at, at + n
+                while s and lo and found[s - 1] == w[lo - 1]:
+                    s, lo = s - 1, lo - 1
+                while e < len(found) and hi < len(w) and found[e] == w[hi]:
+                    e, hi = e + 1, hi + 1
+                reached[item, s - lo] = e
+                if e - s >= min(self.window, len(w)):
+                    hits.append((s, e))
+                    who.update(self.names[item])
+        return merge(hits), who
 
 
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -76,18 +107,29 @@ def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Code point offsets in the original text of runs of words."""
+    if not runs:
+        return []
     raw = text.encode("utf-8", "replace")
     at = [m.span() for m in _TOKEN.finditer(raw.lower())]
-    return [tuple(len(raw[:x].decode("utf-8", "ignore")) for x in (at[s][0], at[e - 1][1])) for s, e in runs]
+    points = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)])
+    return [(int(points[at[s][0]]), int(points[at[e - 1][1]])) for s, e in runs]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
-    b = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    b = b.where("id is not null and text is not null")
-    total = b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        yield b.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect() if n > 1 else b.collect()
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(id, line): the words of the items in single spaces; long items in overlapping pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lines = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words(t)
+                size = max(PIECE, 2 * window)
+                for at in range(0, max(1, len(w) - window + 1), size - window + 1) if w else ():
+                    ids.append(i)
+                    lines.append(b" ".join(w[at : at + size]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.binary())], names=["id", "line"])
+
+    return benchmark.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).mapInArrow(run, "id string, line binary").distinct()
 
 
 def contamination(
@@ -100,65 +142,54 @@ def contamination(
 ) -> DataFrame:
     """docs with one more column ``contamination``: n_words, n_hit, spans (code point offsets of hit runs), items.
 
-    A word inside any occurrence of a window is hit. Null and empty texts have no words; benchmark items without id or
-    words never occur; several items with one id count once. Every row of docs stays, repeated or not, with all its
-    columns (a column that is itself called ``contamination`` is replaced). An empty benchmark hits nothing.
+    A word inside any occurrence of a window is hit. Null and empty texts have no words; benchmark items without words
+    never occur, items without id hit but can't be listed; several items with one id count once. Every row of docs stays,
+    repeated or not, with all its columns (a column that is itself called ``contamination``, in any case, is replaced).
+    An empty benchmark hits nothing.
 
-    The benchmark is read in blocks of ``block_bytes``, one automaton each, so no more than a block is ever sent out; a
-    small benchmark is one block. Each block is one pass over the text that adds to what earlier ones found.
+    The benchmark is read in blocks of ``block_bytes``, one automaton each, so no more than a block is ever sent out or
+    held by a worker; a small benchmark is one block. Each block is one pass over the text that adds to what earlier ones
+    found, and is written before the next begins.
     """
-    plain = docs.drop("contamination")
-    kind = "struct<n_words:bigint,runs:array<array<int>>,items:array<string>>"
-    out = plain.withColumn("contamination", F.lit(None).cast(kind))
-    for rows in [*_blocks(benchmark, id_col, text_col, block_bytes)] or [[]]:
-        ids: dict[str, int] = {}
-        patterns: dict[str, set[int]] = {}
-        for r in rows:
-            for w in windows(r.text, window):
-                patterns.setdefault(w, set()).add(ids.setdefault(r.id, len(ids)))
-        out = _pass(out, [*ids], {p: tuple(who) for p, who in patterns.items()})
-    return _finish(out, plain.columns)
-
-
-def _pass(df: DataFrame, names: list[str], patterns: dict[str, tuple[int, ...]]) -> DataFrame:
+    pieces = materialize(_pieces(benchmark, id_col, text_col, window))
+    n = max(1, -(-(pieces.agg(F.sum(F.octet_length("line"))).first()[0] or 0) // block_bytes))
+    out = packed(docs, ("contamination",), text=F.col("text"), found=F.lit(None).cast(_FOUND))
+    for k in range(n):
+        rows = pieces.where(F.pmod(F.xxhash64("id", "line"), F.lit(n)) == k).collect()
+        before, out = out, _pass(out, [(r.id, bytes(r.line)) for r in rows], window, k + 1 == n)
+        if k + 1 < n:
+            out = materialize(out)
+            release(before)
+    return out.select("_row.*", F.col("found").alias("contamination"))
+
+
+_FOUND = "struct<n_words:bigint,n_hit:bigint,spans:array<array<int>>,items:array<string>>"
+_KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
+
+
+def _pass(df: DataFrame, rows: list[tuple[str | None, bytes]], window: int, last: bool) -> DataFrame:
+    """One block over all texts. Until the last block, spans are ranges of words."""
     key, schema = uuid.uuid4().hex, df.schema
-    kind = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, patterns) if patterns else None
+        if key not in _built:  # built once in each Python worker and pass
+            _built.clear()
+            _built[key] = Patterns.of(rows, window)
         for b in batches:
             made = []
-            for text, old in zip(b.column("text"), b.column("contamination").to_pylist()):
+            for text, old in zip(b.column("text"), b.column("found").to_pylist()):
                 text = text.as_py()
-                n, runs, who = scan(text, automaton) if automaton else (len(words(text)), [], set())
-                items = {names[i] for i in who}
+                found = words(text)
+                runs, who = _built[key].scan(found)
                 if old:
-                    runs, items = merge(runs + [tuple(x) for x in old["runs"]]), items | set(old["items"])
-                made.append({"n_words": n, "runs": [list(x) for x in runs], "items": sorted(items)})
-            at = b.schema.get_field_index("contamination")
-            yield b.set_column(at, "contamination", pa.array(made, kind))
+                    runs, who = merge(runs + [tuple(x) for x in old["spans"]]), who | set(old["items"])
+                hit = sum(e - s for s, e in runs)
+                made.append({"n_words": len(found), "n_hit": hit, "spans": spans(text, runs) if last else runs, "items": sorted(who)})
+            yield b.set_column(b.schema.get_field_index("found"), "found", pa.array(made, _KIND))
 
     return df.mapInArrow(run, schema)
 
 
-def _finish(df: DataFrame, cols: list[str]) -> DataFrame:
-    @F.udf("array<array<int>>")
-    def offsets(text, runs):
-        return [list(x) for x in spans(text, runs)] if runs else []
-
-    c = F.col("contamination")
-    n_hit = F.aggregate(c["runs"], F.lit(0).cast("long"), lambda acc, r: acc + (r[1] - r[0]))
-    return df.select(
-        *cols,
-        F.struct(
-            c["n_words"].alias("n_words"),
-            n_hit.alias("n_hit"),
-            F.when(F.size(c["runs"]) > 0, offsets("text", c["runs"])).otherwise(F.array().cast("array<array<int>>")).alias("spans"),
-            c["items"].alias("items"),
-        ).alias("contamination"),
-    )
-
-
 def contaminated() -> F.Column:
     """The contract's rule over the column that contamination() adds."""
     c = F.col("contamination")
@@ -167,4 +198,5 @@ def contaminated() -> F.Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not contaminated, in docs's columns. Needs a column ``text``."""
-    return contamination(docs, benchmark, **options).where(~contaminated()).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return contamination(rows, benchmark, **options).where(~contaminated()).select("row.*")

@@ -123,12 +123,12 @@ def test_keep_one_unlike_texts_under_one_id(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(7, a), (7, b), (3, c), (0, rows[5][1])])
 
 
-def test_contamination(spark):
+def test_contamination(spark, monkeypatch):
     w = [sentence(1) + str(i) for i in range(200)]
-    items = [(1, " ".join(w[:20])), (2, "Short ITEM"), (3, None), (4, "..."), (None, "skip me"), (5, " ".join(w[:13])), (2, "short item")]
+    items = [(1, " ".join(w[:20])), (2, "Short ITEM"), (3, None), (4, "..."), (None, "skip me"), (5, " ".join(w[:13])), (2, "short item"), (None, " ".join(w[50:64])), (9, " ".join(w[20:45])), (10, " ".join(w[150:162])), (11, " ".join(["la"] * 40))]
     texts = [
         "x " + ", ".join(w[:20]).upper() + " y", " ".join(w[2:14]), "a short item b", None, "", "shortitem", " ".join(w[5:19]) + " é " * 400,
-        "it is short ITEM " * 3, " ".join(w[:13]) + " " + sentence(259), " ".join(w[:13]) + " " + sentence(247),
+        "it is short ITEM " * 3, " ".join(w[49:70]), " ".join(w[21:33]) + " x " + " ".join(w[30:46]) + " " + " ".join(w[20:34]), " ".join(w[145:165]), "la " * 12, "la " * 90, " ".join(w[:13]) + " " + sentence(259), " ".join(w[:13]) + " " + sentence(247),
     ]
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, contamination int")
@@ -138,16 +138,15 @@ def test_contamination(spark):
         words, hit, who = token(t), set(), set()
         for i, x in items:
             x = token(x)
-            if i is None or not x:
-                continue
-            for k in range(max(1, len(x) - 12)):
+            for k in range(max(1, len(x) - 12) if x else 0):
                 win = x[k : k + 13]
                 for at in range(len(words) - len(win) + 1):
                     if words[at : at + len(win)] == win:
                         hit |= set(range(at, at + len(win)))
-                        who.add(str(i))
+                        who |= {str(i)} if i is not None else set()
         return len(words), len(hit), sorted(who)
 
+    monkeypatch.setattr(decontaminate, "PIECE", 30)
     for size in (decontaminate.BLOCK_BYTES, 150):
         for r in decontaminate.contamination(d, b, block_bytes=size).collect():
             c = r.contamination
@@ -157,6 +156,8 @@ def test_contamination(spark):
     kept = {r.doc_id for r in decontaminate.clean(d, b).collect()}
     assert kept == {i for i, t in enumerate(texts) if not (naive(t)[1] and 20 * naive(t)[1] >= naive(t)[0])}
     assert decontaminate.clean(d, b.limit(0)).count() == len(texts)
+    dotted = d.withColumn("a.b", F.lit(1))
+    assert decontaminate.clean(dotted, b).columns == dotted.columns and decontaminate.clean(dotted.limit(0), b).count() == 0
 
 
 def test_shard(spark, docs):
