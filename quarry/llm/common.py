@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word separators of the contracts: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,11 @@ def packed(docs: DataFrame, new: tuple[str, ...], **made) -> DataFrame:
     return docs.select(F.struct(*keep).alias("_row"), *[c.alias(n) for n, c in made.items()])
 
 
+def schema_of(df: DataFrame, keep: str, made: str) -> StructType:
+    """Columns of df called ``keep`` (names by commas), then those of the DDL ``made``, for functions over Arrow batches."""
+    return StructType([*(df.schema[n] for n in keep.split(",")), *StructType.fromDDL(made)])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

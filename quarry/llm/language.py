@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import packed
+from quarry.llm.common import packed, schema_of
 from quarry.llm.quality import remainder
 
 #: Training documents at most (least xxhash64 of the id), and landmarks among them, dealt evenly over the languages.
@@ -121,5 +121,4 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             )
 
     rows = packed(docs, ("lang_pred", "lang_score"), _text=F.col(text))
-    out = f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, lang_score double"
-    return rows.mapInArrow(run, out).select("_row.*", "lang_pred", "lang_score")
+    return rows.mapInArrow(run, schema_of(rows, "_row", "lang_pred string, lang_score double")).select("_row.*", "lang_pred", "lang_score")

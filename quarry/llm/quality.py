@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import packed
+from quarry.llm.common import packed, schema_of
 
 #: Labelled documents that the field is fitted on, at most: those of least xxhash64(doc_id).
 MAX_TRAIN = 4000
@@ -213,9 +213,7 @@ def scored(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(s, pa.float64())], names=["_row", "quality_score"])
 
     rows = packed(docs, ("quality_score",), _text=F.col(text))
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, quality_score double").select(
-        "_row.*", "quality_score"
-    )
+    return rows.mapInArrow(run, schema_of(rows, "_row", "quality_score double")).select("_row.*", "quality_score")
 
 
 def good_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, materialize
+from quarry.llm.common import components, materialize, schema_of
 
 #: Fingerprints link at so many differing bits or fewer; each bit spoils one of eight positional bytes at most.
 NEAR = 2
@@ -53,7 +53,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp bigint")
+    return docs.select("id", "text").mapInArrow(run, schema_of(docs, "id", "fp bigint"))
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) between distinct fingerprints ``fp`` that links of at most two bits join, enough to join up all of them.

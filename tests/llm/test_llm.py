@@ -332,33 +332,76 @@ PAGE = (
 )
 
 
+def test_html_blocks():
+    assert html.blocks(PAGE) == (["Head & line", "One two three four five", "Six <7>", "a", "b"], [True] * 5)
+    assert html.blocks(None) == html.blocks("") == ([], [])
+    inside = lambda body: [t for t, g in zip(*html.blocks(f"<article>{body}</article>")) if g]
+    assert inside('<h2 id="search-results">Search</h2><p>x</p>') == ["Search", "x"]
+    assert inside('<div class="article-header"><h1>Title</h1></div><p>y') == ["Title", "y"]
+    assert inside('<p class="notice-period">n</p><p id="related">r</p>') == ["n", "r"]
+    assert inside('<div class="wide ad">buy</div><p>z</p><div class="ad-hoc">w</div>') == ["z", "w"]
+    assert html.blocks("<main>m<article> </article></main><div>o</div>") == (["m", "o"], [True, False])
+
+
+def naive_extract(rows):
+    """Texts by brute force: every run of RUN tokens of a host's unguarded stretches, and the pages that have it."""
+    runs, parsed = defaultdict(set), []
+    for k, (_, url, page) in enumerate(rows):
+        host = (re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)", url or "") or [0, ""])[1].lower()
+        b, g = html.blocks(page)
+        parsed.append((host, b, g, html.stretches(b, g)))
+        for s in parsed[-1][3]:
+            for i in range(len(s) - html.RUN + 1):
+                runs[host, *s[i : i + html.RUN]].add(k)
+    out = []
+    for host, b, g, streams in parsed:
+        gone = []
+        for s in streams:
+            hit = [False] * len(s)
+            for i in range(len(s) - html.RUN + 1):
+                if len(runs[host, *s[i : i + html.RUN]]) >= html.PAGES:
+                    hit[i : i + html.RUN] = [True] * html.RUN
+            gone += hit
+        left, at = [], 0
+        for t, guard in zip(b, g):
+            w = t.split(" ")
+            if not guard:
+                t, at = " ".join(x for x, h in zip(w, gone[at:]) if not h), at + len(w)
+            left.append((t, guard))
+        more = sum(len(t.split()) for t, x in left if not x) > sum(len(t.split()) for t, x in left if x)
+        out.append("\n".join(t for t, x in left if t and (x or more)))
+    return out
+
+
 def test_html(spark):
-    assert html.blocks(PAGE) == (["Head & line", "One two three four five", "Six <7>", "a", "b"], True)
-    assert html.blocks(None) == html.blocks("") == ([], False)
     boiler = "welcome to our lovely site please enjoy all the many pages here"
-    rows = [(1, "http://a.b/1", PAGE), (2, None, None), (3, "x", "")]
+    rows = [(1, "http://a.b/1", PAGE), (2, None, None), (3, "x", ""), (1, "http://a.b/1", PAGE)]
     rows += [(10 + i, "http://h.c/%d" % i, f"<div>{boiler}</div><div>{i} unique {sentence(12)}</div>") for i in range(4)]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old"))
-    got = {r.page_id: r for r in html.extract(d).collect()}
-    assert len(got) == len(rows) and got[2].text == got[3].text == "" and got[2].n_chars == 0
-    assert got[1].text.split("\n")[-1] == "b" and got[1].n_chars == len(got[1].text)
-    assert all("welcome" not in got[10 + i].text and got[10 + i].text.startswith(f"{i} unique") for i in range(4))
+    rows += [(20, "http://h.c/t", f"<article>A teaser</article><div>{boiler}</div><p>{sentence(30)}</p>")]
+    rows += [(21, "http://h.c/u", f"<article>{boiler} and more</article><div>{boiler}</div>"), (22, "http://h.c/v", "<p>" + sentence(20000))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("old"), "a.b": F.lit(1)})
+    got = html.extract(d).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter((i, t) for (i, *_), t in zip(rows, naive_extract(rows)))
+    assert all(r.n_chars == len(r.text) for r in got)
+    text = {r.page_id: r.text for r in got}
+    assert text[2] == text[3] == "" and text[1].split("\n")[-1] == "b" and text[21] == f"{boiler} and more"
+    assert all("welcome" not in text[10 + i] and text[10 + i].startswith(f"{i} unique") for i in range(4))
+    assert text[20].startswith("A teaser\n") and len(text[20].split()) == 32
     assert html.extract(d.limit(0)).count() == 0
 
 
-def test_html_hot_host(spark, monkeypatch):
-    """A host too large for a task gives what one suffix array over it gives."""
-    shared = [" ".join(f"s{k}x{i}" for i in range(10)) for k in range(6)]
+def test_html_hot_host(spark):
+    """Most pages on one host, read in many parts, give what brute force gives; long shared substrings go in whole."""
+    shared = [" ".join(f"s{k}x{i}" for i in range(10 + 20 * k)) for k in range(6)]
     rows = []
-    for i in range(40):
-        body = [sentence(12), *[s for k, s in enumerate(shared) if i % 8 == k], sentence(9)]
-        rows.append((i, "http://hot.org/%d" % i, "".join(f"<div>{x}</div>" for x in body)))
-    rows += [(40 + i, "http://cold.org/%d" % i, f"<div>{shared[0]}</div>") for i in range(2)] + [rows[0]]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = sorted((r.page_id, r.text) for r in html.extract(d).collect())
-    assert not any(s in text for n, text in want if n < 40 for s in shared)
-    monkeypatch.setattr(html, "BUNDLE_BYTES", 400)
-    assert sorted((r.page_id, r.text) for r in html.extract(d).collect()) == want
+    for i in range(60):
+        body = [sentence(12), *[s for k, s in enumerate(shared) if i % 8 == k or i % 11 == k], sentence(9), shared[3][: 40 + i]]
+        rows.append((i, "http://hot.org/%d" % i if i % 7 else "http://cold.org/%d" % i, "".join(f"<div>{x}</div>" for x in body)))
+    d = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string").repartition(9)
+    got = Counter((r.page_id, r.text) for r in html.extract(d).collect())
+    want = naive_extract([*rows, rows[0]])
+    assert got == Counter((i, t) for (i, *_), t in zip([*rows, rows[0]], want))
+    assert not any(shared[0] in t for (i, u, _), t in zip(rows, want) if "hot" in u)
 
 
 def test_line_dedup(spark):
