@@ -13,6 +13,9 @@ from pyspark.sql.types import StructType
 #: Word separators of the contracts: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key of more than one in so many rows is hot.
+HEAVY = 1000
+
 
 def packed(docs: DataFrame, new: tuple[str, ...], **made) -> DataFrame:
     """(_row, made...): the columns of docs in one struct, without those that clash with new ones in any case.
@@ -84,6 +87,19 @@ def small_batches(spark: SparkSession, rows: int = 250) -> None:
     spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], heavy: int = HEAVY) -> DataFrame:
+    """Inner join of left with right, whose keys ``on`` are unique and whose ``n`` counts the rows of left that have them.
+
+    Keys with more than one in ``heavy`` of those rows, fewer than ``heavy`` keys, come by broadcast, so that no key fills a
+    task; the rest is exchanged. left is read for both. ``n`` isn't returned.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    much = F.col("n") * heavy > total
+    hot = F.broadcast(right.where(much).drop("n"))
+    cold = left.join(hot.select(*on), on, "left_anti").join(right.where(~much).drop("n"), on)
+    return left.join(hot, on).unionByName(cold)
+
+
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """Connected components of an undirected edge list: (node, root), root the smallest node, for every node with an edge.
 

@@ -445,9 +445,9 @@ def test_line_dedup_short_lines(spark):
 
 def test_line_dedup_runs(spark):
     sizes = [[rng.choice((0, 0, 1, 2, 3, 7, 60)) for _ in range(rng.randrange(1, 120))] for _ in range(25)]
-    rows = [(i, "\n".join(" ".join(["w"] * n) for n in w)) for i, w in enumerate(sizes)]
-    units = linededup._units(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {(r.doc.doc_id, r.start, len(r.key)) for r in units.collect()}
+    rows = [(i, list(range(len(w))), w) for i, w in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "id long, h array<long>, w array<int>").withColumn("doc", F.struct("id")).withColumn("first", F.lit(7))
+    got = {(r.doc.id, r.start - 7, r.n_lines) for r in linededup._units(d).collect()}
     for i, w in enumerate(sizes):
         for a in range(len(w)):
             ahead = next((b for b in range(a + 1, len(w) + 1) if sum(w[a:b]) > linededup.LONG), None)
@@ -456,6 +456,45 @@ def test_line_dedup_runs(spark):
             assert back is None or (i, back, a + 1 - back) in got
 
 
+def test_line_dedup_brute_force(spark):
+    """Every run of lines of over LONG words that another document has too goes, but for the first document's."""
+    pool = [sentence(rng.choice((1, 3, 8, 20, 70))) for _ in range(30)] + [""] * 4
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.9 else sentence(5) for _ in range(rng.randrange(1, 60)))) for i in range(40)]
+    rows += [(100 + k, "\n".join([sentence(4), *rows[k][1].split("\n")[3:30], sentence(4)])) for k in range(12)]
+    rows += [(200, "\n".join(f"w{k}" for k in range(4000))), (201, "\n".join(f"w{k}" for k in range(1000, 5000)))]
+    texts = dict(rows)
+    first = {}
+    for i, t in sorted(texts.items()):
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            n, b = 0, a
+            while b < len(lines) and n <= 50:
+                n, b = n + len(lines[b].split()), b + 1
+            if n > 50:
+                first.setdefault(tuple(lines[a:b]), i)
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for i, t in texts.items():
+        lines = t.split("\n")
+        gone = set()
+        for run, lo in first.items():
+            if lo < i:
+                gone |= {k for a in range(len(lines) - len(run) + 1) if lines[a : a + len(run)] == [*run] for k in range(a, a + len(run))} if run[0] in lines else set()
+        left = got[i].text.split("\n") if got[i].text else []
+        assert got[i].n_lines == len(lines) and got[i].n_removed >= len(gone)
+        want = iter([x for k, x in enumerate(lines) if k not in gone])
+        assert got[i].n_removed == len(lines) or all(any(x == y for y in want) for x in left), i
+    assert got[201].text.split("\n") == [f"w{k}" for k in range(4000, 5000)]
+
+
+def test_line_dedup_collision(spark, monkeypatch):
+    """Unlike lines of one hash stay: here every line of over 60 words has the same hash."""
+    texts = [(1, "x " * 70), (2, "y " * 70), (3, "z " * 70)]
+    d = spark.createDataFrame([(i, t.strip()) for i, t in texts], "doc_id long, text string")
+    monkeypatch.setattr(linededup, "line_hash", lambda line: F.length(line).cast("long"))
+    got = linededup.dedup_lines(d).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(i, t.strip()) for i, t in texts]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
