@@ -87,13 +87,13 @@ def small_batches(spark: SparkSession, rows: int = 250) -> None:
     spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], heavy: int = HEAVY) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], heavy: int = HEAVY, total: int | None = None) -> DataFrame:
     """Inner join of left with right, whose keys ``on`` are unique and whose ``n`` counts the rows of left that have them.
 
     Keys with more than one in ``heavy`` of those rows, fewer than ``heavy`` keys, come by broadcast, so that no key fills a
-    task; the rest is exchanged. left is read for both. ``n`` isn't returned.
+    task; the rest is exchanged. left is read for both. ``n`` isn't returned. ``total`` is at least the sum of n, if known.
     """
-    total = right.agg(F.sum("n")).first()[0] or 0
+    total = (right.agg(F.sum("n")).first()[0] or 0) if total is None else total
     much = F.col("n") * heavy > total
     hot = F.broadcast(right.where(much).drop("n"))
     cold = left.join(hot.select(*on), on, "left_anti").join(right.where(~much).drop("n"), on)
@@ -104,17 +104,20 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """Connected components of an undirected edge list: (node, root), root the smallest node, for every node with an edge.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) as joins and aggregates: a hub is never
-    collected, the edge list never grows, and each round is cut from its lineage. Loops and null ends are ignored.
+    collected or joined in one task, the edge list never grows, and each round is cut from its lineage. Loops and null ends
+    are ignored.
     """
     e = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
     e = materialize(e.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct())
     mark = _mark(e)
     while mark[0]:
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select("b", "a"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least)
+        low = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        large = join_counted(both.where("y > x"), low, ["x"], total=2 * mark[0]).select(F.col("y").alias("a"), F.col("m").alias("b"))
+        large = large.where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, least, ["a"], total=2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.where("a != b").union(least.drop("n"))
         nxt = materialize(small.distinct())
         now = _mark(nxt)
         release(e)

@@ -8,13 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quarry.llm.common import arrow_rows, components, materialize
+from quarry.llm.common import arrow_rows, components, join_counted, materialize
 
 #: Links are pairs of at least this cosine.
 THRESHOLD = 0.98
 #: Vectors of a tile, and bytes of one at most, so that a task holds two tiles whatever the group's size.
-TILE, TILE_BYTES = 1024, 2 << 20
+TILE, TILE_BYTES = 8192, 8 << 20
+#: Rows of the blocks in which two tiles are compared.
+BLOCK = 512
 #: Dimensions, in PCA order, after which the bound is tried again.
 STEPS = (8, 16, 32)
 #: Room for rounding in bounds; pairs that pass are decided on the original vectors.
@@ -29,9 +32,12 @@ def _usable() -> F.Column:
     return F.coalesce(able, F.lit(False))
 
 
-def _unit(blobs: list[bytes]) -> np.ndarray:
+def _matrix(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     """Unit rows; each is scaled by its largest part first, so that neither huge nor tiny vectors lose their length."""
-    x = np.stack([np.frombuffer(b, np.float64) for b in blobs])
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -46,7 +52,7 @@ def principal(nodes: DataFrame) -> dict[int, np.ndarray]:
             for x in b.column(0).to_pylist():
                 by.setdefault(len(x) // 8, []).append(x)
             for d, blobs in by.items():
-                u = _unit(blobs)
+                u = _unit(_matrix(blobs))
                 u = np.concatenate([u, np.ones((len(u), 1))], 1)
                 sums[d] = sums.get(d, 0) + u.T @ u
         yield pa.RecordBatch.from_arrays(
@@ -69,7 +75,7 @@ def _tiles(nodes: DataFrame, bases: dict[int, np.ndarray]) -> DataFrame:
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = [float(_unit([x])[0] @ bases[len(x) // 8][:, 0]) for x in b.column("v").to_pylist()]
+            first = [float(_unit(_matrix([x]))[0] @ bases[len(x) // 8][:, 0]) for x in b.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.float64())], names=[*b.schema.names, "p"])
 
     schema = "nid bigint, grp string, n bigint, v binary"
@@ -81,7 +87,7 @@ def _tiles(nodes: DataFrame, bases: dict[int, np.ndarray]) -> DataFrame:
         grp, held = None, []
 
         def tile() -> pa.RecordBatch:
-            u = _unit([x[2] for x in held]) @ bases[len(held[0][2]) // 8]
+            u = _unit(_matrix([x[2] for x in held])) @ bases[len(held[0][2]) // 8]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([grp], pa.string()),
@@ -109,35 +115,63 @@ def _tiles(nodes: DataFrame, bases: dict[int, np.ndarray]) -> DataFrame:
     return ordered.select("nid", "grp", "n", "v").mapInArrow(cut, kind)
 
 
-def compare(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of unit vectors a and b whose cosine reaches the threshold.
-
-    Products are accumulated over the leading dimensions; by Cauchy-Schwarz the rest adds at most the product of the
-    suffix norms. Rows and columns that can reach the threshold with nothing fall away after each step, and nothing is
-    left to do once none can.
-    """
-    rows, cols = np.arange(len(a)), np.arange(len(b))
-    x, y = a @ basis, b @ basis
-    for k in [s for s in STEPS if s < basis.shape[1]]:
-        rest = np.sqrt(np.maximum((x[:, k:] ** 2).sum(1), 0))[:, None] * np.sqrt(np.maximum((y[:, k:] ** 2).sum(1), 0))
-        able = x[:, :k] @ y[:, :k].T + rest >= threshold - ROOM
+class Side:
+    """Unit vectors of a tile with their coordinates in PCA order, norms of the suffixes after each step, and blocks' boxes."""
+
+    def __init__(self, unit: np.ndarray, basis: np.ndarray) -> None:
+        self.unit, self.x = unit, unit @ basis
+        self.steps = [s for s in STEPS if s < basis.shape[1]]
+        self.rest = [np.sqrt((self.x[:, k:] ** 2).sum(1)) for k in self.steps]
+        self.blocks = [(s, min(s + BLOCK, len(unit))) for s in range(0, len(unit), BLOCK)]
+        self.low = np.array([self.x[s:e].min(0) for s, e in self.blocks])
+        self.high = np.array([self.x[s:e].max(0) for s, e in self.blocks])
+
+
+def compare(a: Side, b: Side, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of two tiles whose cosine reaches the threshold."""
+    reach = 2 - 2 * threshold + ROOM
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for p, (s, e) in enumerate(a.blocks):
+        gap = np.maximum(0, np.maximum(a.low[p] - b.high, b.low - a.high[p]))
+        for q in np.flatnonzero((gap * gap).sum(1) <= reach):
+            t, f = b.blocks[q]
+            i, j = _pairs(a, slice(s, e), b, slice(t, f), threshold)
+            found.append((i + s, j + t))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _pairs(a: Side, at: slice, b: Side, to: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Products accumulate over the leading dimensions, from one step to the next; by Cauchy-Schwarz the rest adds at most
+    the product of the suffix norms. Rows and columns that can reach the threshold with nothing fall away after each step,
+    and nothing is left to do once none can. Pairs that come through are decided on the original vectors."""
+    x, y = a.x[at], b.x[to]
+    rows, cols, done = np.arange(len(x)), np.arange(len(y)), 0
+    total = np.zeros((len(x), len(y)))
+    for n, k in enumerate(a.steps):
+        total += x[rows, done:k] @ y[cols, done:k].T
+        done = k
+        able = total + a.rest[n][at][rows, None] * b.rest[n][to][cols] >= threshold - ROOM
         r, c = able.any(1), able.any(0)
-        rows, cols, x, y = rows[r], cols[c], x[r], y[c]
+        rows, cols, total = rows[r], cols[c], total[np.ix_(r, c)]
         if not len(rows):
             return rows, cols
-    i, j = np.nonzero(a[rows] @ b[cols].T >= threshold)
-    return rows[i], cols[j]
+    total += x[rows, done:] @ y[cols, done:].T
+    i, j = np.nonzero(total >= threshold - ROOM)
+    i, j = rows[i], cols[j]
+    sure = np.concatenate([np.empty(0, bool)] + [
+        np.einsum("ij,ij->i", a.unit[at][i[k : k + 65536]], b.unit[to][j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)
+    ])
+    return i[sure], j[sure]
 
 
-def _block(r: dict, bases: dict[int, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _block(r: dict, bases: dict[int, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, weighted link counts, root ids) of one pair of tiles: a star for each group that links join here."""
     ids = [np.frombuffer(r[k], np.int64) for k in ("ids_a", "ids_b")]
     ns = [np.frombuffer(r[k], np.int64) for k in ("ns_a", "ns_b")]
     d = len(r["vs_a"]) // 8 // len(ids[0])
-    raw = [np.frombuffer(r[k], np.float64).reshape(-1, d) for k in ("vs_a", "vs_b")]
-    unit = [_unit([row.tobytes() for row in x]) for x in raw]
     same = r["tile_a"] == r["tile_b"]
-    i, j = compare(unit[0], unit[1], bases[d], threshold)
+    a, b = (Side(_unit(np.frombuffer(r[k], np.float64).reshape(-1, d)), bases[d]) for k in ("vs_a", "vs_b"))
+    i, j = compare(a, b, threshold)
     if same:
         i, j = i[i < j], j[i < j]
     nodes = ids[0] if same else np.concatenate(ids)
@@ -180,7 +214,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             blobs = [np.array(x, np.float64).tobytes() for x in b.column("embedding").to_pylist()]
             yield b.set_column(at, "v", pa.array(blobs, pa.binary()))
 
-    kind = "label string, v binary, rep bigint, n bigint, nid bigint, grp string".replace("rep bigint", f"rep {rows.schema['vec_id'].dataType.simpleString()}")
+    nodes = nodes.select("label", "embedding", "rep", "n", "nid", "grp")
+    kind = StructType([nodes.schema["label"], StructField("v", BinaryType()), *(nodes.schema[c] for c in ("rep", "n", "nid", "grp"))])
     with arrow_rows(spark, 2000):
         nodes = materialize(nodes.mapInArrow(pack, kind))
         bases = principal(nodes)
@@ -197,8 +232,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         lambda x, y: (x + y) * (x + y),
     )
     near = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x) <= reach * reach
+    # tiles meet in the stripes of the leading coordinate that both reach, and in the first of those only
+    stripe = lambda c: F.floor(F.col(c) / reach)
+    left = side("a", False).withColumns({"first_a": stripe("low_a"), "at": F.explode(F.sequence(stripe("low_a"), stripe("high_a")))})
+    right = side("b", False).withColumn("first_b", stripe("low_b") - 1)
+    right = right.withColumn("at", F.explode(F.sequence("first_b", stripe("high_b") + 1)))
     pairs = (
-        side("a", False).join(side("b", False), "grp")
+        left.join(right, ["grp", "at"]).where(F.col("at") == F.greatest("first_a", "first_b"))
         .where((F.col("tile_a") <= F.col("tile_b")) & (F.col("low_a") <= F.col("high_b") + reach))
         .where((F.col("low_b") <= F.col("high_a") + reach) & near)
         .select("grp", "tile_a", "tile_b")
@@ -212,25 +252,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     blocks = pairs.join(side("a", True), ["grp", "tile_a"]).join(side("b", True), ["grp", "tile_b"])
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    with arrow_rows(spark, 4):
+    with arrow_rows(spark, 1):
         blocks = blocks.repartition(parts, F.xxhash64("tile_a", "tile_b"))
         links = materialize(blocks.mapInArrow(run, "nid bigint, n_links bigint, root bigint"))
     comp = components(links, "nid", "root").withColumnRenamed("node", "nid")
     least = comp.join(nodes.select("nid", "rep"), "nid")
-    least = least.join(least.groupBy("root").agg(F.min("rep").alias("least")), "root").select("nid", "least")
+    roots = least.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    least = join_counted(least, roots, ["root"]).select("nid", "least")
     totals = links.groupBy("nid").agg(F.sum("n_links").alias("others"))
     whole = (
         nodes.join(least, "nid", "left").join(totals, "nid", "left")
         .select(
-            F.col("label").alias("_l"), F.col("v").alias("_v"),
+            "label", "v", "n",
             (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
             F.coalesce("least", "rep").alias("component_id"),
         )
     )
     with arrow_rows(spark, 2000):
-        kind = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, v binary, label string"
+        kind = StructType([usable.schema["vec_id"], StructField("v", BinaryType()), usable.schema["label"]])
         keyed = materialize(usable.select("vec_id", "embedding", "label").mapInArrow(pack, kind))
-    linked = keyed.join(whole, (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v"))).select("vec_id", "n_links", "component_id")
+    linked = join_counted(keyed, materialize(whole), ["label", "v"]).select("vec_id", "n_links", "component_id")
     bad = rows.where(~_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(bad)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, materialize, schema_of
+from quarry.llm.common import components, join_counted, materialize, schema_of
 
 #: Fingerprints link at so many differing bits or fewer; each bit spoils one of eight positional bytes at most.
 NEAR = 2
@@ -19,8 +19,6 @@ NEAR = 2
 MASKS = [
     sum(0xFF << 8 * p for p in kept) - (1 << 64 if 7 in kept else 0) for kept in combinations(range(8), 8 - NEAR)
 ]
-#: A fingerprint of more than one in so many rows gets its group by broadcast, so that none fills a task of the last join.
-HEAVY = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -103,8 +101,8 @@ def _classes(sig: DataFrame, best: DataFrame) -> DataFrame:
     """(fp, n, best): each distinct fingerprint, its rows, and the least ``best`` of its component; best(fp, n, best)."""
     comp = components(links(best.select("fp")), "a", "b").withColumnRenamed("node", "fp")
     named = comp.join(best, "fp")
-    roots = named.groupBy("root").agg(F.min("best").alias("least"))
-    named = named.join(roots, "root").select("fp", "least")
+    roots = named.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n"))
+    named = join_counted(named.drop("n"), roots, ["root"]).select("fp", "least")
     return materialize(best.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "best").alias("best")))
 
 
@@ -117,11 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = materialize(with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), shingle))
     best = materialize(sig.groupBy("fp").agg(F.min("id").alias("best"), F.count("*").alias("n")))
     whole = _classes(sig, best).withColumnRenamed("best", "component_id")
-    rows = whole.agg(F.sum("n")).first()[0] or 0
-    heavy = F.col("n") * HEAVY > rows
-    hot = F.broadcast(whole.where(heavy).select("fp", "component_id"))  # fewer than HEAVY rows
-    cold = sig.join(hot.select("fp"), "fp", "left_anti").join(whole.where(~heavy).select("fp", "component_id"), "fp")
-    return cold.unionByName(sig.join(hot, "fp")).select("id", "fp", "component_id")
+    return join_counted(sig, whole, ["fp"]).select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
