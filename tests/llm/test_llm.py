@@ -321,6 +321,37 @@ def test_language(spark):
     assert all(got[i].lang_pred == l for i, _, l in rows[:200]) and got[902].lang_pred == "de"
     assert (got[900].lang_pred, got[901].lang_pred, got[900].lang_score) == ("und", "und", 0)
     assert {r.lang_pred for r in language.identified(d, language.train(d.limit(0))).collect()} == {"und"}
+    model = language.train(d)
+    assert language.identified(d.limit(0), model).count() == 0
+    long_ones = [" ".join(text(k) for _ in range(800)) for k in (0, 1)]  # 20,000 words
+    assert model.predict([*long_ones, "½ ² 12", None, ""])[0] == ["en", "de", "und", "und", "und"]
+    twice = language.identified(d.union(d).withColumn("a.b", F.lit(1)), model).groupBy("doc_id", "lang_pred", "lang_score").count()
+    assert twice.where("count % 2 = 1").count() == 0
+
+
+def test_language_brute_force():
+    """The weights of n-grams give what kernels with every landmark give."""
+    def spectrum(t):
+        t = " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+        return {t[i : i + n] for n in language.SPECTRUM for i in range(len(t) - n + 1)}
+
+    texts = [sentence(rng.randrange(3, 40)) for _ in range(40)]
+    langs = [rng.choice("abc") for _ in texts]
+    marks = language.Landmarks([language.grams(t) for t in texts[:12]])
+    k = lambda x, y: len(spectrum(x) & spectrum(y)) / math.sqrt(len(spectrum(x)) * len(spectrum(y)))
+    full = np.array([[k(x, y) for y in texts[:12]] for x in texts])
+    mine = np.stack([marks.kernel(language.grams(t)) for t in texts])
+    assert np.allclose(full, mine)
+    model = language.Model.fit(marks, mine[:12], mine, langs)
+    value, vector = np.linalg.eigh(full[:12])
+    z = full @ vector / np.sqrt(value)
+    y = np.array([[1.0 if x == c else -1.0 for c in "abc"] for x in langs])
+    zc = z - z.mean(0)
+    w = np.linalg.solve(zc.T @ zc + language.RIDGE * 40 * np.eye(12), zc.T @ (y - y.mean(0)))
+    margin = language.SHARPNESS * (zc @ w + y.mean(0))
+    share = np.exp(margin) / np.exp(margin).sum(1, keepdims=True)
+    names, scores = model.predict(texts)
+    assert names == ["abc"[i] for i in share.argmax(1)] and np.allclose(scores, share.max(1))
 
 
 PAGE = (
