@@ -1,40 +1,47 @@
 """LM scoring: a probabilistic suffix tree over word tokens above an exact unigram base.
 
-Every training token is counted. The tree has the empty context (the base), single words and word pairs. Contexts and
-next tokens are candidates from a count on that leaves at most so many of them, a number that grows with the fourth root
-of the training tokens: the tree gets richer with the corpus, and what is sent to executors stays small (a thousand times
-the corpus makes it less than six times as large). Tokens without a place are scored exactly by a join with the counts.
+Symbols are the frequent tokens, one class for all others, and a start mark. Every string of up to DEPTH symbols that occurs
+LEAST_CONTEXT times is a candidate context, and every symbol that follows it LEAST_NEXT times a stored next; the divergence
+test alone decides which contexts stay. Counts, test and probabilities are DataFrame aggregates and joins, so the tree has
+as many nodes as the training text supports and is never collected or sent out whole.
+
+The log probability of a text is a sum over the strings in it: a stored next adds its gain over the shorter context's
+prediction, a retained context adds, for the symbol after it, the share that stored nexts leave to the shorter one. So
+scoring is one exchange: tasks send the strings of their texts, less those that a Bloom filter knows not to be in the tree,
+to where these values are, and the sums come back. Tokens of the class are told apart by a join with the exact counts.
 """
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, release
+from quarry.llm.common import HEAVY, materialize, release, schema_of
 from quarry.llm.quality import remainder
 
-#: Tokens with a place in the tree, at most.
-FREQUENT = 200_000
-#: Single-word contexts, pair contexts and stored nexts of either depth, each times the fourth root of the training tokens.
-CONTEXTS, PAIR_CONTEXTS, NEXTS = 44, 210, 3_200
+#: Symbols of a context at most.
+DEPTH = 3
+#: Tokens that are symbols of their own: those with this count, and of these the most frequent 2 ** 20, which bounds the
+#: dictionary that is sent out. All others are one class.
+LEAST_SYMBOL, ALPHABET = 16, 1 << 20
 #: A context or a stored next occurs this often at least.
 LEAST_CONTEXT, LEAST_NEXT = 16, 3
 #: Weight of the shorter context's distribution, in counts.
 SMOOTH = 8.0
 #: Added to every count of the base.
 ADD = 0.1
+#: Words of 64 bits of a Bloom filter. A small filter lets more strings through, which costs exchange and changes nothing.
+BLOOM = 1 << 20
 
-#: Distinct tokens or pairs that a task holds before it hands them on.
-_HELD = 300_000
-_SHIFT = 18  # places of a next token in a code: FREQUENT < 2 ** 18
+#: Distinct tokens or strings that a task holds before it hands them on, and tokens that it takes at once.
+_HELD, _CHUNK = 300_000, 1 << 18
+_SHIFT = 21  # bits of a symbol
+_MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -47,125 +54,111 @@ def tokens(text: str | None) -> list[bytes]:
 def unigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, c) over all rows of docs."""
 
+    def batch(held: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         for b in batches:
             for t in b.column(0):
                 held.update(tokens(t.as_py()))
             if len(held) > _HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "c"])
+                yield batch(held)
                 held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "c"])
+        yield batch(held)
 
     return docs.select(text).mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def least_count(counted: DataFrame, c: str, most: int, least: int = 1) -> int:
-    """The smallest count from which on there are at most ``most`` rows, from the distributed counts of counts."""
-    rows = counted.where(F.col(c) >= least).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.col(c).desc())
-    total = 0
-    for r in rows.toLocalIterator():
-        total += r.n
-        if total > most:
-            return r[c] + 1
-    return least
-
-
-@dataclass
-class Level:
-    """Contexts of one depth: sorted context keys, per context the log10 share left to the shorter one, stored nexts."""
-
-    contexts: np.ndarray
-    left: np.ndarray
-    codes: np.ndarray
-    logp: np.ndarray
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key among the contexts, or -1."""
-        if not len(self.contexts):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.contexts, keys), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == keys, at, -1)
-
-    def score(self, at: np.ndarray, nexts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """log10 probabilities where the context is at place ``at`` (-1: the shorter context's)."""
-        out, on = shorter.copy(), at >= 0
-        code = (at[on] << _SHIFT) | np.maximum(nexts[on], 0)
-        value = shorter[on] + self.left[at[on]]
-        if len(self.codes):
-            spot = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = (self.codes[spot] == code) & (nexts[on] >= 0)
-            value = np.where(hit, self.logp[spot], value)
-        out[on] = value
+def extend(strings: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Hashes of strings, each with one more symbol at its end."""
+    h = (strings * _MULT[0]) ^ ((symbols.astype(np.uint64) + np.uint64(1)) * _MULT[1])
+    return (h ^ (h >> np.uint64(29))) * _MULT[2]
+
+
+def chunks(texts: list[bytes], start: int, rare: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, place in their text, index of the text), start marks included, about _CHUNK symbols at a time."""
+    held, size, first = [], 0, 0
+    for k, t in enumerate(texts):
+        ids = np.frombuffer(t, np.int32).astype(np.int64)
+        held.append(np.concatenate([[start], np.where(ids < 0, rare, ids)]))
+        size += len(held[-1])
+        if size >= _CHUNK or k == len(texts) - 1:
+            lens = np.array([len(x) for x in held])
+            place = np.arange(size) - np.repeat(np.cumsum(lens) - lens, lens)
+            yield np.concatenate(held), place, np.repeat(np.arange(first, k + 1), lens)
+            held, size, first = [], 0, k + 1
+
+
+def strings(symbols: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length up to the longest, hashes of the strings of that length that end at each symbol."""
+    out = [extend(np.zeros(len(symbols), np.uint64), symbols)]
+    while len(out) < longest:
+        out.append(extend(np.roll(out[-1], 1), symbols))  # what wraps round begins before the first text
+    return out
+
+
+class Bloom:
+    """Three bits a key. Built by a distributed aggregation; the driver holds no more than the filter."""
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        key = F.col(column)
+        bits = [(F.pmod(F.shiftrightunsigned(key, 20 * k + 4), F.lit(BLOOM)), F.shiftrightunsigned(key, 6 * k)) for k in range(3)]
+        each = F.explode(F.array(*[F.struct(at.alias("at"), F.expr("1L").alias("one"), n.bitwiseAND(F.lit(63)).cast("int").alias("n")) for at, n in bits]))
+        spots = keys.select(each.alias("s")).select("s.at", F.expr("shiftleft(s.one, s.n)").alias("bit"))
+        found = spots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+        self.words = np.zeros(BLOOM, np.int64)
+        self.words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        words, out = self.words.view(np.uint64), np.ones(len(keys), bool)
+        for k in range(3):
+            at = (keys >> np.uint64(20 * k + 4)) % np.uint64(BLOOM)
+            out &= (words[at] >> ((keys >> np.uint64(6 * k)) & np.uint64(63))) & np.uint64(1) == 1
         return out
 
 
-EMPTY = Level(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0))
+def _encode(docs: DataFrame, places: dict[bytes, int]) -> DataFrame:
+    """(rid, doc_id, held_out, ids, rare): symbols of all tokens, -1 for those of the class, which rare lists."""
+    shared = docs.sparkSession.sparkContext.broadcast(places)  # ALPHABET tokens at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for b in batches:
+            ids, rare = [], []
+            for t in b.column("text"):
+                words = tokens(t.as_py())
+                found = np.array([get(w, -1) for w in words], np.int32)
+                rare.append([words[i] for i in np.flatnonzero(found < 0)])
+                ids.append(found.tobytes())
+            cols = [b.column(n) for n in ("rid", "doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["rid", "doc_id", "held_out", "ids", "rare"])
+
+    src = docs.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text")
+    return src.mapInArrow(run, schema_of(src, "rid,doc_id,held_out", "ids binary, rare array<binary>"))
+
 
+def _pairs(train: DataFrame, start: int, rare: int) -> DataFrame:
+    """(ctx, x, c): how often each symbol follows each symbol."""
 
-def grow(keys: np.ndarray, totals: np.ndarray, ctx: np.ndarray, nxt: np.ndarray, c: np.ndarray, shorter: np.ndarray) -> Level:
-    """Retained contexts of one depth. ctx indexes keys; c counts stored nexts; shorter is their log10 probability in the
-    next shorter context.
+    def batch(code: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
 
-    Divergence test: a context stays if, over its stored nexts and the rest as one event, its count times the divergence
-    from the shorter context exceeds half a logarithm of its count for each stored next.
-    """
-    n, q = len(keys), 10.0**shorter
-    t = totals.astype(float)
-    stored_c, stored_q, kinds = (np.bincount(ctx, w, n) for w in (c, q, None))
-    rest_c, rest_q = t - stored_c, np.maximum(1 - stored_q, 1e-12)
-    gain = np.bincount(ctx, c * np.log(c / t[ctx] / q), n)
-    gain += np.where(rest_c > 0, rest_c * np.log(np.maximum(rest_c, 1) / t / rest_q), 0)
-    keep = (kinds > 0) & (gain > 0.5 * np.log(np.maximum(t, 2)) * kinds)
-    place = np.cumsum(keep) - 1
-    p = (c + SMOOTH * q) / (t[ctx] + SMOOTH)
-    mass = np.maximum(1 - np.bincount(ctx, p, n), 1e-12)
-    on = keep[ctx]
-    codes = (place[ctx[on]].astype(np.int64) << _SHIFT) | nxt[on]
-    order = np.argsort(codes)
-    return Level(keys[keep], np.log10(mass / rest_q)[keep], codes[order], np.log10(p[on])[order])
-
-
-@dataclass
-class Tree:
-    """What scoring needs: base log10 probabilities by place, and the two depths."""
-
-    base: np.ndarray
-    start: int
-    one: Level
-    two: Level
-
-    def score(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities per token: base and tree; 0 for the base of tokens that have no place (-1).
-
-        ``first`` marks the first token of each text; its context is the start.
-        """
-        base = np.where(ids >= 0, self.base[np.maximum(ids, 0)], 0.0)
-        prev, pair = contexts(ids, first, self.start)
-        one = self.one.score(self.one.find(prev), ids, base)
-        return base, self.two.score(self.two.find(pair), ids, one)
-
-
-def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per token: the previous token's place (start at the beginning, -1 if it has none) and a key of the previous two."""
-    prev = np.empty(len(ids), np.int64)
-    prev[1:], prev[:1] = ids[:-1], start
-    prev[first] = start
-    two = np.empty(len(ids), np.int64)
-    two[1:], two[:1] = prev[:-1], -1
-    two[first] = -1
-    pair = np.where((two >= 0) & (prev >= 0), (two << 20) | np.maximum(prev, 0), -1)
-    return prev, pair
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts of a batch, marks of first tokens, and token counts per text."""
-    parts = [np.frombuffer(x, np.int32) for x in column.to_pylist()]
-    lens = np.array([len(p) for p in parts], np.int64)
-    ids = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-    first = np.zeros(len(ids), bool)
-    first[(np.cumsum(lens) - lens)] = True
-    return ids, first, lens
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for b in batches:
+            for s, place, _ in chunks(b.column(0).to_pylist(), start, rare):
+                at = np.flatnonzero(place > 0)
+                held.append(np.unique((s[at - 1] << _SHIFT) | s[at], return_counts=True))
+                if sum(len(h[0]) for h in held) > 10 * _HELD:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > 5 * _HELD:
+                        yield batch(*held.pop())
+        if held:
+            yield batch(*_merged(held))
+
+    counted = train.mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_NEXT)
+    return counted.select(F.shiftright("code", _SHIFT).alias("ctx"), F.col("code").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("x"), "c")
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,131 +167,213 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return kinds, np.bincount(at, counts).astype(np.int64)
 
 
-def _coded_counts(encoded: DataFrame, places: np.ndarray, start: int, depth: int) -> DataFrame:
-    """(code, c): how often each next token with a place follows each context; code holds the context's index in places."""
+def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom) -> DataFrame:
+    """(ctx, suf, x, c): how often each symbol follows those strings of ``depth`` symbols that the filter lets through.
+
+    ctx is the string's hash, suf that of the string without its first symbol.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        level = Level(places, places, places, places)
         for b in batches:
-            ids, first, _ = _flat(b.column(0))
-            at = level.find(contexts(ids, first, start)[depth - 1])
-            on = (at >= 0) & (ids >= 0)
-            held.append(np.unique((at[on] << _SHIFT) | ids[on], return_counts=True))
-            if sum(len(h[0]) for h in held) > 10 * _HELD:
-                held = [_merged(held)]
-                if len(held[0][0]) > 5 * _HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["code", "c"])
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _merged(held)], names=["code", "c"])
+            for s, place, _ in chunks(b.column(0).to_pylist(), start, rare):
+                h = strings(s, depth)
+                at = np.flatnonzero(place >= depth)
+                at = at[known.may_hold(h[-1][at - 1])]
+                ctx, x = h[-1][at - 1].view(np.int64), s[at]
+                order = np.lexsort((x, ctx))
+                ctx, x, suf = ctx[order], x[order], h[-2][at - 1].view(np.int64)[order]
+                new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])])[: len(x)])
+                c = np.diff(np.append(new, len(x)))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ctx[new], suf[new], x[new], c)], names=["ctx", "suf", "x", "c"])
 
-    return encoded.where("not held_out").select("ids").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c"))
+    counted = train.mapInArrow(run, "ctx bigint, suf bigint, x bigint, c bigint")
+    return counted.groupBy("ctx", "suf", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_NEXT)
 
 
-def _encode(docs: DataFrame, places: dict[bytes, int]) -> DataFrame:
-    """(rid, doc_id, held_out, ids, rare): places of all tokens, -1 for those without, which rare lists."""
+def _hashed(nexts: DataFrame, first: bool) -> DataFrame:
+    """nexts with g, the hash of context and next, and gs, that of the same without its first symbol. In the first level the
+    context is a symbol, not a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = places.get
         for b in batches:
-            ids, rare = [], []
-            for t in b.column("text"):
-                words = tokens(t.as_py())
-                found = np.array([get(w, -1) for w in words], np.int32)
-                rare.append([words[i] for i in np.flatnonzero(found < 0)])
-                ids.append(found.tobytes())
-            cols = [b.column(n) for n in ("rid", "doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
-                names=["rid", "doc_id", "held_out", "ids", "rare"],
-            )
+            ctx, x = (b.column(c).to_numpy() for c in ("ctx", "x"))
+            empty = np.zeros(len(x), np.uint64)
+            before = extend(empty, ctx) if first else ctx.view(np.uint64)
+            after = empty if first else b.column("suf").to_numpy().view(np.uint64)
+            made = [pa.array(extend(h, x).view(np.int64)) for h in (before, after)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "g", "gs"])
 
-    src = docs.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text")
-    kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, ids binary, rare array<binary>")
+    return nexts.mapInArrow(run, schema_of(nexts, ",".join(nexts.columns), "g bigint, gs bigint"))
+
+
+def grow(nexts: DataFrame) -> DataFrame:
+    """nexts(ctx, t, c, q, ...) with keep, left, lp and delta: one depth of the tree.
 
+    t counts the context, c a stored next of it, q is the next's log10 probability in the next shorter context. Divergence
+    test: a context stays if, over its stored nexts and the rest as one event, its count times the divergence from the
+    shorter context exceeds half a logarithm of its count for each stored next. lp is the log10 probability of the next
+    from here on, left the log10 share of other symbols in what the shorter context gives them, delta what a stored next
+    adds to lp of the shorter context and left.
+    """
+    t, c, q = F.col("t").cast("double"), F.col("c").cast("double"), F.pow(F.lit(10.0), "q")
+    per = nexts.groupBy("ctx").agg(
+        F.max(t).alias("_t"), F.sum(c).alias("sc"), F.sum(q).alias("sq"), F.count("*").alias("kinds"), F.sum(c * F.log(c / t / q)).alias("gain")
+    )
+    rest_c, rest_q = F.col("_t") - F.col("sc"), F.greatest(1 - F.col("sq"), F.lit(1e-12))
+    gain = F.col("gain") + F.when(rest_c > 0, rest_c * F.log(rest_c / F.col("_t") / rest_q)).otherwise(0.0)
+    mass = F.greatest(1 - (F.col("sc") + SMOOTH * F.col("sq")) / (F.col("_t") + SMOOTH), F.lit(1e-12))
+    per = per.select(
+        "ctx", (gain > 0.5 * F.log(F.greatest(F.col("_t"), F.lit(2.0))) * F.col("kinds")).alias("keep"), F.log10(mass / rest_q).alias("left")
+    )
+    lp = F.when(F.col("keep"), F.log10((c + SMOOTH * q) / (t + SMOOTH))).otherwise(F.col("q"))
+    out = nexts.join(per, "ctx").withColumn("lp", lp)  # a context has at most as many nexts as there are symbols
+    return out.withColumn("delta", F.when(F.col("keep"), F.col("lp") - F.col("q") - F.col("left")))
 
-def _sweep(df: DataFrame) -> None:
-    """Let Spark's cleaner delete the shuffle files of jobs that are done."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
 
+def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rare: int, depth: int = DEPTH) -> tuple[np.ndarray, DataFrame]:
+    """(left, values): log10 shares left by single symbols as contexts, and (g, v, n) for longer strings: v is what each
+    occurrence of the string of hash g adds to the log10 probability of a text, n how often it occurs in training.
 
-def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    base has the symbols' log10 probabilities, counts their training counts.
+    """
+    spark = train.sparkSession
+    alphabet = spark.createDataFrame([*zip(range(len(base)), base.tolist())], "x bigint, q double")  # ALPHABET and two at most
+    totals = spark.createDataFrame([*zip(range(len(counts)), counts.tolist())], f"ctx bigint, t bigint").where(F.col("t") >= LEAST_CONTEXT)
+    pairs = _pairs(train, start, rare).join(F.broadcast(totals), "ctx").join(F.broadcast(alphabet), "x")
+    level = materialize(grow(_hashed(pairs, True)))
+    left = np.zeros(len(counts))
+    kept = level.where("keep").groupBy("ctx").agg(F.first("left").alias("left")).toPandas()
+    left[kept["ctx"].to_numpy(np.int64)] = kept["left"].to_numpy()
+    levels, values = [level], [level.where("keep").select("g", F.col("delta").alias("v"), F.col("c").alias("n"))]
+    for d in range(2, depth + 1):
+        able = level.where(F.col("c") >= LEAST_CONTEXT).select(F.col("g").alias("ctx"), F.col("c").alias("t"))
+        shorter = level.select(F.col("g").alias("gs"), F.col("lp").alias("q"))
+        found = _longer(train, start, rare, d, Bloom(able, "ctx")).join(able, "ctx")
+        level = materialize(grow(_hashed(found, False).join(shorter, "gs")))
+        levels.append(level)
+        values.append(level.where("keep").select("g", F.col("delta").alias("v"), F.col("c").alias("n")))
+        values.append(level.where("keep").groupBy("ctx").agg(F.first("left").alias("v"), F.first("t").alias("n")).withColumnRenamed("ctx", "g"))
+    every = values[0]
+    for v in values[1:]:
+        every = every.unionByName(v)
+    out = materialize(every.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")))
+    release(*levels)
+    return left, out
+
+
+def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np.ndarray, start: int, rare: int, longest: int) -> DataFrame:
+    """(rid, m): the sum over each text's tokens of base and tree, the class as one symbol.
+
+    Strings with more than one in HEAVY occurrences of all are looked up where they are read.
+    """
+    spark = encoded.sparkSession
+    total = values.agg(F.sum("n")).first()[0] or 0
+    much = F.col("n") * HEAVY > total
+    top = values.where(much).select("g", "v").toPandas()  # fewer than HEAVY
+    order = np.argsort(top["g"].to_numpy(np.int64).view(np.uint64))
+    hot, worth = top["g"].to_numpy(np.int64).view(np.uint64)[order], np.append(top["v"].to_numpy(float)[order], 0.0)
+    shared = spark.sparkContext.broadcast((Bloom(values.where(~much), "g"), left, base, hot, worth))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, left, base, hot, worth = shared.value
+        for b in batches:
+            rids = b.column("rid").to_numpy()
+            for s, place, text in chunks(b.column("ids").to_pylist(), start, rare):
+                first, many = int(text[0]), int(text[-1] - text[0] + 1)
+                here = np.where(place > 0, base[s], 0.0)
+                here[:-1] += np.where(place[1:] > 0, left[s[:-1]], 0.0)
+                sums = np.bincount(text - first, here, many)
+                keys, owner = [], []
+                for k, h in enumerate(strings(s, longest)[1:], 1):
+                    at = np.flatnonzero(place >= k)
+                    spot = np.searchsorted(hot, h[at])
+                    spot[hot[np.minimum(spot, len(hot) - 1)] != h[at] if len(hot) else slice(None)] = len(hot)
+                    sums += np.bincount(text[at] - first, worth[spot], many)
+                    at = at[bloom.may_hold(h[at])]
+                    keys.append(h[at])
+                    owner.append(text[at])
+                key, rid = np.concatenate(keys), rids[np.concatenate(owner)]
+                order = np.lexsort((rid, key))
+                key, rid = key[order], rid[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])])[: len(key)])
+                times = np.diff(np.append(new, len(key))).astype(np.int32)
+                key, rid = key[new].view(np.int64), rid[new]
+                part = ((key.view(np.uint64) >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(part) else []
+                blobs = [[x[r].tobytes() for r in rows] for x in (key, rid, times)]
+                on = [int(part[r[0]]) for r in rows] + [first % parts]  # texts' own sums go along, without keys
+                for x, last in zip(blobs, (b"", rids[first : first + many].tobytes(), sums.tobytes())):
+                    x.append(last)
+                yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "keys", "rids", "times"])
+
+    def answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+        g, v = table.column("g").to_numpy(), table.column("v").to_numpy()
+        order = np.argsort(g)
+        g, v = g[order], v[order]
+        sums = [(np.empty(0, np.int64), np.empty(0))]
+        for keys, rids, times in zip(*(asked.column(c).to_pylist() for c in ("keys", "rids", "times"))):
+            rid = np.frombuffer(rids, np.int64)
+            if not keys:
+                sums.append((rid, np.frombuffer(times, np.float64)))
+            elif len(g):
+                key = np.frombuffer(keys, np.int64)
+                at = np.minimum(np.searchsorted(g, key), len(g) - 1)
+                hit = np.flatnonzero(g[at] == key)
+                kinds, back = np.unique(rid[hit], return_inverse=True)
+                sums.append((kinds, np.bincount(back, v[at[hit]] * np.frombuffer(times, np.int32)[hit], len(kinds))))
+        return pa.table({"rid": np.concatenate([x for x, _ in sums]), "m": np.concatenate([x for _, x in sums])})
+
+    asked = encoded.select("rid", "ids").mapInArrow(sent, "part int, keys binary, rids binary, times binary").groupBy("part")
+    held = values.where(~much).select(F.pmod(F.shiftrightunsigned("g", 7), F.lit(parts)).cast("int").alias("part"), "g", "v").groupBy("part")
+    return asked.cogroup(held).applyInArrow(answered, "rid bigint, m double").groupBy("rid").agg(F.sum("m").alias("m"))
+
+
+def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs; see the module.
 
     Trains on rows that aren't held out (a null mark counts as not held out). Null texts are empty and have the end token
-    only. Rows repeat as they come. Without training rows every token is unknown to a base of one place.
+    only. Rows repeat as they come; an empty table stays empty; other columns are not read, whatever their names. Without
+    training rows every token is unknown to a base of one place.
     """
     held = F.coalesce(remainder(doc_id, 10) == 0 if held_out is None else held_out, F.lit(False))
-    src = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
+    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").alias("text"))
     uni = materialize(unigrams(src.where("not held_out")))
-    _sweep(docs)
     n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     whole = n + ADD * (v + 1)
-    most_single, most_pairs, most_nexts = (int(x * max(n, 1) ** 0.25) for x in (CONTEXTS, PAIR_CONTEXTS, NEXTS))
-    top = uni.where(F.col("c") >= least_count(uni, "c", FREQUENT)).orderBy(F.col("c").desc(), "token").toPandas()
-    words = [bytes(w) for w in top["token"]]
-    places, c = {w: i for i, w in enumerate(words)}, top["c"].to_numpy(np.int64)
-    start, end = len(words), places.get(b"", -1)
+    top = uni.where(F.col("c") >= LEAST_SYMBOL).orderBy(F.col("c").desc(), "token").limit(ALPHABET).toPandas()
+    places, c = {bytes(w): i for i, w in enumerate(top["token"])}, top["c"].to_numpy(np.int64)
+    rare, start = len(places), len(places) + 1
     encoded = materialize(_encode(src, places))
-    n_train = encoded.where("not held_out").count()
-    base = np.log10((c + ADD) / whole)
-
-    keys = np.flatnonzero((c >= LEAST_CONTEXT) & (np.arange(len(c)) != end))[:most_single].astype(np.int64)
-    totals = c[keys]
-    if n_train >= LEAST_CONTEXT:
-        keys, totals = np.append(keys, start), np.append(totals, n_train)
-    one = two = EMPTY
-    if len(keys):
-        pairs = materialize(_coded_counts(encoded, keys, start, 1))
-        _sweep(docs)
-        got = pairs.where(F.col("c") >= least_count(pairs, "c", most_nexts, LEAST_NEXT)).orderBy("code").toPandas()
-        code, k = got["code"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
-        ctx, nxt = code >> _SHIFT, code & ((1 << _SHIFT) - 1)
-        one = grow(keys, totals, ctx, nxt, k, base[nxt]) if len(code) else EMPTY
-        wide = np.flatnonzero((k >= LEAST_CONTEXT) & (nxt != end))
-        wide = wide[np.argsort(-k[wide], kind="stable")][:most_pairs]
-        pair = (keys[ctx[wide]] << 20) | nxt[wide]
-        order = np.argsort(pair)
-        pair, pair_c = pair[order], k[wide][order]
-        release(pairs)
-        if len(pair):
-            trios = materialize(_coded_counts(encoded, pair, start, 2))
-            _sweep(docs)
-            got = trios.where(F.col("c") >= least_count(trios, "c", most_nexts, LEAST_NEXT)).orderBy("code").toPandas()
-            code, k = got["code"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
-            ctx, nxt = code >> _SHIFT, code & ((1 << _SHIFT) - 1)
-            if len(code):
-                last = pair[ctx] & ((1 << 20) - 1)
-                two = grow(pair, pair_c, ctx, nxt, k, one.score(one.find(last), nxt, base[nxt]))
-            release(trios)
-    tree = Tree(base if len(base) else np.zeros(1), start, one, two)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    p = (c + ADD) / whole
+    base = np.log10(np.append(p, [max(1 - p.sum(), 1e-12), 1.0]))  # of the class and, never asked for, the start
+    train = encoded.where("not held_out").select("ids")
+    counts = np.concatenate([c, [n - c.sum(), train.count()]])
+    counts[places.get(b"", start + 1) : places.get(b"", start) + 1] = 0  # nothing follows the end
+    left, values = tree(train, base, counts, start, rare, depth)
+    sums = _tree_sums(encoded, left, values, base, start, rare, depth + 1)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, first, lens = _flat(b.column("ids"))
-            at = np.cumsum(lens) - lens
-            sums = [np.add.reduceat(x, at) if len(at) else x for x in (*tree.score(ids, first), (ids >= 0).astype(np.int64))]
-            cols = [b.column("rid"), b.column("doc_id"), b.column("held_out"), pa.array(lens), pa.array(sums[2], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sums[0]), pa.array(sums[1])], names=["rid", "doc_id", "held_out", "n_tokens", "k", "b", "m"])
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    scored = encoded.select("rid", "doc_id", "held_out", "ids").mapInArrow(
-        run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, k bigint, b double, m double"
-    )
-    rare = encoded.select("rid", F.explode("rare").alias("token"))
-    known = rare.join(uni.withColumnRenamed("c", "n"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = known.groupBy("rid").agg(
-        F.sum(F.log10((F.col("n") + ADD) / F.lit(whole))).alias("rb"), F.count_if(F.col("n") > 0).alias("rk")
+            ids = [np.frombuffer(x, np.int32) for x in b.column("ids").to_pylist()]
+            known = [x[x >= 0] for x in ids]
+            cols = [pa.array([*map(len, ids)], pa.int64()), pa.array([*map(len, known)], pa.int64()), pa.array([float(base[x].sum()) for x in known], pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("rid", "doc_id", "held_out")] + cols, names=["rid", "doc_id", "held_out", "n_tokens", "k", "b"])
+
+    slim = encoded.select("rid", "doc_id", "held_out", "ids")
+    own = slim.mapInArrow(sizes, schema_of(slim, "rid,doc_id,held_out", "n_tokens bigint, k bigint, b double"))
+    listed = encoded.select("rid", F.explode("rare").alias("token"))
+    known = listed.join(uni.withColumnRenamed("c", "n"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rest = known.groupBy("rid").agg(
+        F.sum(F.log10((F.col("n") + ADD) / F.lit(whole))).alias("rb"), F.count_if(F.col("n") > 0).alias("rk"), F.count("*").alias("rn")
     )
-    return scored.join(sums, "rid", "left").select(
+    return own.join(sums, "rid").join(rest, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("k") + F.coalesce("rk", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("b") + F.coalesce("rb", F.lit(0.0))).alias("base_score"),
-        (F.col("m") + F.coalesce("rb", F.lit(0.0))).alias("score"),
+        (F.col("m") + F.coalesce(F.col("rb") - F.col("rn") * float(base[rare]), F.lit(0.0))).alias("score"),
     )

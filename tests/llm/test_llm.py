@@ -275,40 +275,83 @@ def test_field_marginals():
     assert np.allclose(p[:3], m / z) and np.allclose(counts, c / z) and np.isclose(p[3], 1 / (1 + math.exp(-0.1)))
 
 
+def naive_tree(rows, depth):
+    """(held-out marks, base, score) per text, by the tree's definition, in plain dictionaries."""
+    train = [lm.tokens(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    c = Counter(x for t in train for x in t)
+    n, v = sum(c.values()), len(c)
+    base = lambda x: math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1)))
+    alphabet = {x for x in c if c[x] >= lm.LEAST_SYMBOL}
+    rare = math.log10(1 - sum(10 ** base(x) for x in alphabet))
+    symbol = lambda x: x if x in alphabet else "RARE"
+    q0 = lambda x: rare if x == "RARE" else base(x)
+    seqs = [["START", *map(symbol, t)] for t in train]
+    count, times = defaultdict(Counter), Counter()
+    for s in seqs:
+        for j in range(1, len(s)):
+            for d in range(1, min(depth, j) + 1):
+                count[tuple(s[j - d : j])][s[j]] += 1
+                times[tuple(s[j - d : j])] += 1
+    kept = {}
+
+    def logp(ctx, x):
+        while ctx and ctx not in kept:
+            ctx = ctx[1:]
+        if not ctx:
+            return q0(x)
+        stored, left = kept[ctx]
+        return stored[x] if x in stored else logp(ctx[1:], x) + left
+
+    able = lambda s: len(s) == 1 or times[s[:-1]] >= 16 and count[s[:-1]][s[-1]] >= 3 and able(s[:-1])
+    for ctx in sorted(times, key=len):
+        t = times[ctx]
+        nexts = {x: k for x, k in count[ctx].items() if k >= 3}
+        if t < 16 or not nexts or not able(ctx):
+            continue
+        q = {x: 10 ** logp(ctx[1:], x) for x in nexts}
+        rest_c, rest_q = t - sum(nexts.values()), max(1 - sum(q.values()), 1e-12)
+        gain = sum(k * math.log(k / t / q[x]) for x, k in nexts.items()) + (rest_c * math.log(rest_c / t / rest_q) if rest_c else 0)
+        if gain > 0.5 * math.log(t) * len(nexts):
+            p = {x: (k + 8 * q[x]) / (t + 8) for x, k in nexts.items()}
+            kept[ctx] = {x: math.log10(y) for x, y in p.items()}, math.log10(max(1 - sum(p.values()), 1e-12) / rest_q)
+    out = []
+    for _, t in rows:
+        w, total = lm.tokens(t), 0.0
+        s = ["START", *map(symbol, w)]
+        for j in range(1, len(s)):
+            total += logp(tuple(s[max(0, j - depth) : j]), s[j]) + (base(w[j - 1]) - rare if s[j] == "RARE" else 0)
+        out.append((sum(map(base, w)), total))
+    for ctx in kept:  # each retained context is a distribution over the symbols
+        assert math.isclose(sum(10 ** logp(ctx, x) for x in [*alphabet, "RARE"]), 1, rel_tol=1e-6), ctx
+    return out, n, c, kept
+
+
 def test_lm(spark, docs):
-    rows = [(i, " ".join(rng.choice(["the red fox runs", "a blue fox sits", "the old dog sleeps"]) for _ in range(12)) + " " + sentence(3)) for i in range(300)]
-    d = spark.createDataFrame([*rows, (500, None), (501, "neverseen words Here"), (501, "neverseen words Here")], "doc_id long, text string")
-    got = lm.score(d).collect()
-    assert len(got) == 303
-    train = Counter(x for i, t in [*rows, (500, ""), (501, "neverseen words Here"), (501, "neverseen words Here")] if zlib.crc32(str(i).encode()) % 10 for x in lm.tokens(t))
-    n, v = sum(train.values()), len(train)
-    texts = dict(rows) | {500: "", 501: "neverseen words Here"}
-    for r in got:
-        t = lm.tokens(texts[r.doc_id])
-        base = sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(train[x] > 0 for x in t), n) and math.isclose(r.base_score, base)
+    phrases = ["the red fox runs", "a blue fox sits", "the old dog sleeps", "the red dog runs off"]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(12)) + " " + sentence(3)) for i in range(300)]
+    rows += [(500, None), (501, "neverseen words Here"), (501, "neverseen words Here"), (None, "the red fox"), (502, "the red fox runs " * 3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "a.b": F.lit(1), "Score": F.lit(2)})
+    want, n, c, kept = naive_tree(rows, 3)
+    assert {len(k) for k in kept} == {1, 2, 3}
+    for parts in (7, 1):
+        got = lm.score(d.repartition(parts)).collect()
+        assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got) == Counter(
+            (i, len(t), sum(c[x] > 0 for x in t), n) for i, t in ((i, lm.tokens(t)) for i, t in rows)
+        )
+        mine = sorted((r.doc_id or -1, r.base_score, r.score) for r in got)
+        assert np.allclose(np.array(mine)[:, 1:], np.array([x[1] for x in sorted(zip([i or -1 for i, _ in rows], want))]), rtol=1e-7)
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
-    small, lm.FREQUENT = lm.FREQUENT, 10
-    try:
-        again = {(r.doc_id, round(r.base_score, 6)) for r in lm.score(d).collect()}
-    finally:
-        lm.FREQUENT = small
-    assert again == {(r.doc_id, round(r.base_score, 6)) for r in got}
     assert lm.score(docs).count() == len(DOCS) and lm.score(docs.limit(0)).count() == 0
+    nothing = lm.score(d, held_out=F.lit(True)).agg(F.min("n_known"), F.max("n_known"), F.max(F.abs(F.col("score") - F.col("base_score")))).first()
+    assert nothing[0] == nothing[1] == 0 and nothing[2] < 1e-6
 
 
-def test_lm_is_a_distribution():
-    ids = np.array(([0, 1, 2, 0, 1, 3] * 50))
-    base = np.log10(np.bincount(ids, minlength=4) / len(ids))
-    keys = np.array([0, 1])
-    pairs = Counter(zip(ids[:-1], ids[1:]))
-    stored = [(c, w, k) for (c, w), k in sorted(pairs.items()) if c in (0, 1) and k > 1]
-    ctx, nxt, c = (np.array(x) for x in zip(*stored))
-    level = lm.grow(keys, np.array([100, 100]), ctx, nxt, c, base[nxt])
-    assert len(level.contexts)
-    for at in range(len(level.contexts)):
-        assert math.isclose((10.0 ** level.score(np.full(4, at), np.arange(4), base)).sum(), 1, rel_tol=1e-9)
+def test_lm_keeps_ties(spark):
+    """However many strings have one count, all of them are in the tree."""
+    rows = [(i, " ".join(f"a{k} b{k}" for k in range(300))) for i in range(40)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert got.score > -0.2 * got.n_tokens and got.base_score < -2 * got.n_tokens
 
 
 def test_language(spark):
