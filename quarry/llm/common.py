@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,14 +36,16 @@ def schema_of(df: DataFrame, keep: str, made: str) -> StructType:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one for sessions
+    whose executors are threads of the driver, as in tests; an error on a cluster, whose executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _FALLBACK.setdefault("dir", found)
-        found = _FALLBACK["dir"]
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _FALLBACK:
+        _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
+    return _FALLBACK["dir"]
 
 
 _FALLBACK: dict[str, str] = {}
@@ -69,6 +74,13 @@ def release(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of so many rows: what a worker makes of texts at once is small, whatever the session sends."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows for the jobs that run inside: bounds a Python worker's memory on long texts."""
@@ -81,12 +93,6 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def small_batches(spark: SparkSession, rows: int = 250) -> None:
-    """As arrow_rows(), for frames that run after the caller has them: the session's batches stay that small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
-
-
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], heavy: int = HEAVY, total: int | None = None) -> DataFrame:
     """Inner join of left with right, whose keys ``on`` are unique and whose ``n`` counts the rows of left that have them.
 

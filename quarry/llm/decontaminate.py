@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, packed, release
+from quarry.llm.common import materialize, packed, release, slices
 
 #: Words of a contamination window.
 WINDOW = 13
@@ -119,7 +119,7 @@ def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Da
     """(id, line): the words of the items in single spaces; long items in overlapping pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, lines = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(t)
@@ -175,7 +175,7 @@ def _pass(df: DataFrame, rows: list[tuple[str | None, bytes]], window: int, last
         if key not in _built:  # built once in each Python worker and pass
             _built.clear()
             _built[key] = Patterns.of(rows, window)
-        for b in batches:
+        for b in slices(batches):
             made = []
             for text, old in zip(b.column("text"), b.column("found").to_pylist()):
                 text = text.as_py()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import packed, schema_of
+from quarry.llm.common import packed, schema_of, slices
 from quarry.llm.quality import remainder
 
 #: Training documents at most (least xxhash64 of the id), and landmarks among them, dealt evenly over the languages.
@@ -114,7 +114,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = able.join(F.broadcast(chosen), "id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [grams(t.as_py()) for t in b.column("text")]
             cols = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() if len(x) <= MAX_GRAMS else b"" for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *cols], names=["id", "lang", "n", "p"])
@@ -129,7 +129,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     marks = Landmarks(held)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [(i, marks.kernel(x).tobytes()) for i, t in enumerate(b.column("text")) if len(x := grams(t.as_py()))]
             at = pa.array([i for i, _ in found], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("lang").take(at), pa.array([k for _, k in found], pa.binary())], names=["id", "lang", "k"])
@@ -145,7 +145,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     empty. Columns of docs called lang_pred or lang_score, in any case, are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             names, scores = [], []
             texts = b.column("_text").to_pylist()
             for k in range(0, len(texts), 128):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY, materialize, release, schema_of
+from quarry.llm.common import HEAVY, materialize, release, schema_of, slices
 from quarry.llm.quality import remainder
 
 #: Symbols of a context at most.
@@ -59,7 +59,7 @@ def unigrams(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0):
                 held.update(tokens(t.as_py()))
             if len(held) > _HELD:
@@ -124,7 +124,7 @@ def _encode(docs: DataFrame, places: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        for b in batches:
+        for b in slices(batches):
             ids, rare = [], []
             for t in b.column("text"):
                 words = tokens(t.as_py())
@@ -146,7 +146,7 @@ def _pairs(train: DataFrame, start: int, rare: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for b in batches:
+        for b in slices(batches):
             for s, place, _ in chunks(b.column(0).to_pylist(), start, rare):
                 at = np.flatnonzero(place > 0)
                 held.append(np.unique((s[at - 1] << _SHIFT) | s[at], return_counts=True))
@@ -174,7 +174,7 @@ def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for s, place, _ in chunks(b.column(0).to_pylist(), start, rare):
                 h = strings(s, depth)
                 at = np.flatnonzero(place >= depth)
@@ -195,7 +195,7 @@ def _hashed(nexts: DataFrame, first: bool) -> DataFrame:
     context is a symbol, not a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ctx, x = (b.column(c).to_numpy() for c in ("ctx", "x"))
             empty = np.zeros(len(x), np.uint64)
             before = extend(empty, ctx) if first else ctx.view(np.uint64)
@@ -277,7 +277,7 @@ def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, left, base, hot, worth = shared.value
-        for b in batches:
+        for b in slices(batches):
             rids = b.column("rid").to_numpy()
             for s, place, text in chunks(b.column("ids").to_pylist(), start, rare):
                 first, many = int(text[0]), int(text[-1] - text[0] + 1)
@@ -355,7 +355,7 @@ def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text",
     sums = _tree_sums(encoded, left, values, base, start, rare, depth + 1)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = [np.frombuffer(x, np.int32) for x in b.column("ids").to_pylist()]
             known = [x[x >= 0] for x in ids]
             cols = [pa.array([*map(len, ids)], pa.int64()), pa.array([*map(len, known)], pa.int64()), pa.array([float(base[x].sum()) for x in known], pa.float64())]

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import packed, schema_of
+from quarry.llm.common import packed, schema_of, slices
 
-#: Labelled documents that the field is fitted on, at most: those of least xxhash64(doc_id).
-MAX_TRAIN = 4000
+#: Labelled documents that the field is fitted on, at most: those of least xxhash64(doc_id); and lines in all of them.
+MAX_TRAIN, MAX_LINES = 4000, 200_000
 #: Lines of a training chain; a longer document trains as several chains. Scoring always uses whole chains.
 CHAIN = 64
 #: A document is good from this score on.
@@ -166,10 +166,11 @@ def remainder(doc_id: str, mod: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Field:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> Field:
     """Fit on at most ``max_train`` labelled documents whose crc32(doc_id) mod 5 is not 0.
 
-    Only the text is an input. Of several labels for one id the mean counts, rounded up from one half; null labels and
+    A document that would bring the sample over ``max_lines`` lines is left out of it, so that its size on the driver is
+    bounded (200 bytes a line). Only the text is an input. Of several labels for one id the mean counts, rounded up from one half; null labels and
     null ids are left out. Without usable labels every score is 0.5, with labels of one kind their smoothed share.
     """
     chosen = (
@@ -180,10 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fie
         .orderBy(F.xxhash64("id"), "id")
         .limit(max_train)
     )
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    # max_train rows and their repeats
+    longest = texts.groupBy("id").agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines"))
+    upto = F.sum("lines").over(Window.orderBy(F.xxhash64("id"), "id"))
+    short = longest.where(F.col("lines") <= max_lines).withColumn("upto", upto).where(F.col("upto") <= max_lines).select("id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lines = [split_lines(t.as_py()) for t in b.column("text")]
             some = [(x, y.as_py()) for x, y in zip(lines, b.column("good")) if x]
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fie
                 names=["x", "n", "y"],
             )
 
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "good").mapInArrow(features, "x binary, n binary, y int")
+    rows = texts.join(F.broadcast(short), "id").select("text", "good").mapInArrow(features, "x binary, n binary, y int")
     got = rows.orderBy(F.xxhash64("x"), "x").collect()
     return Field().fit(
         [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in got],
@@ -205,14 +210,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fie
 
 
 def scored(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """docs with one more column ``quality_score``; every row stays, whole texts are read, null counts as empty."""
+    """docs with one more column ``quality_score``; every row stays, repeated or not, whole texts are read, null counts as
+    empty. A column of docs called quality_score, in any case, is replaced; an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = field.score(b.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(s, pa.float64())], names=["_row", "quality_score"])
 
-    rows = packed(docs, ("quality_score",), _text=F.col(text))
+    rows = packed(docs, ("quality_score",), _text=F.col(f"`{text}`"))
     return rows.mapInArrow(run, schema_of(rows, "_row", "quality_score double")).select("_row.*", "quality_score")
 
 

@@ -13,6 +13,7 @@ from quarry.session import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and components of links at two bits or fewer, for every document."""
     with arrow_rows(spark, 500):
         found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -23,11 +24,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the chunks that earlier documents have too."""
     got = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words, occurring items and the contamination mark, for every document against the whole benchmark."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with arrow_rows(spark, 500):
         found = materialize(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text"))
@@ -43,6 +46,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of near equal bytes; grown_shard belongs to another law."""
     docs = table(spark, sf_dir, "documents")
     return shard.shard(docs, 40).select(
         "doc_id",
@@ -56,15 +60,18 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     with arrow_rows(spark, 500):
         return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components at cosine 0.98 within labels, for every vector."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the field fitted on labelled ones, those of remainder 0 held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with arrow_rows(spark, 500):
         field = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -78,11 +85,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by the base and by the tree, those of remainder 0 held out."""
     with arrow_rows(spark, 500):
         return materialize(lm.score(table(spark, sf_dir, "documents")))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, those of remainder 1 held out."""
     docs = table(spark, sf_dir, "documents")
     with arrow_rows(spark, 500):
         model = language.train(docs)
@@ -96,6 +105,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
     got = mix.copies(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -113,4 +123,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix": op10_mix,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+)
+
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
+               FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+               FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+        hit AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw USING (n, win)),
+        words AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY rid),
+        items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+                  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
+        FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)""",
+    "op6_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                 WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT x AS n, x AS r FROM link UNION SELECT link.y, reach.r FROM reach JOIN link ON reach.n = link.x),
+        least AS (SELECT n, min(r) AS r FROM reach GROUP BY n),
+        degree AS (SELECT x, count(*) AS k FROM link GROUP BY x)
+        SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(r, vec_id) AS component_id, coalesce(r, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN least ON vec_id = n LEFT JOIN degree ON vec_id = x""",
+    # these pages have one article each, of h1 and p elements with b and br in them
+    "op5_html": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)(?:</article>|$)', 1, 's') AS h FROM pages),
+        s AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '</?(?:p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), chr(1)) AS x FROM a),
+        b AS (SELECT page_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM s),
+        c AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+                     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b),
+        d AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY page_id)
+        SELECT p.page_id, p.url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages p LEFT JOIN d USING (page_id)""",
+}

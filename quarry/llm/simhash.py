@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, join_counted, materialize, schema_of
+from quarry.llm.common import components, join_counted, materialize, schema_of, slices
 
 #: Fingerprints link at so many differing bits or fewer; each bit spoils one of eight positional bytes at most.
 NEAR = 2
@@ -47,7 +47,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(id, fp) per row of docs(id, text). Whole texts are read; null counts as no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
