@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mix, quality, shard, simhash
-from quarry.llm.common import checkpoint_dir, small_batches
+from quarry.llm.common import checkpoint_dir
 from quarry.session import table
 
 N_SHARDS = 40
@@ -15,19 +15,16 @@ N_SHARDS = 40
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    small_batches(spark)
     return quality.good_only(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages contaminate go."""
-    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -49,7 +46,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Fitted, hashed and iterative stages have no SQL form; the tests hold each stage against a brute-force version.
+#: Fitted, hashed and iterative stages have no SQL form; tests/llm/test_queries.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
