@@ -1,6 +1,5 @@
 """The training-data operators against brute force on small tables that hold nulls, ties, repeats and clashing columns."""
 
-import hashlib
 import math
 import random
 import re
@@ -565,21 +564,3 @@ def test_line_dedup_collision(spark, monkeypatch):
     monkeypatch.setattr(linededup, "line_hash", lambda line: F.length(line).cast("long"))
     got = linededup.dedup_lines(d).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(i, t.strip()) for i, t in texts]
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline as p
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    cols, seen = docs.columns, docs
-    for k, (_, stage) in enumerate(p.STAGES):
-        stage(spark, seen, sf).write.parquet(str(tmp_path / str(k)))
-        nxt = spark.read.parquet(str(tmp_path / str(k)))
-        assert nxt.columns[: len(cols)] == cols and (k == 4 or nxt.columns == cols)
-        if k < 3:
-            assert nxt.count() <= seen.count() and nxt.exceptAll(seen).count() == 0
-        elif k == 4:
-            assert nxt.count() == seen.count()
-        seen = nxt
-    assert hashlib and p.ORACLE_SQL is None
