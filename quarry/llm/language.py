@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import packed, schema_of, slices
@@ -108,24 +108,25 @@ class Model:
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most ``max_train`` documents with a lang whose crc32(doc_id) mod 3 is not 1; texts without a letter and
-    null ids are left out. Nothing to learn from: every prediction is ``und``."""
+    null ids are left out, and of several rows under one id the least lang and text counts. Nothing to learn from: every prediction is ``und``."""
     able = docs.select(F.col("doc_id").alias("id"), "lang", "text").where(F.col("lang").isNotNull() & (remainder("id", 3) != 1))
     chosen = able.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_train)
-    rows = able.join(F.broadcast(chosen), "id")
+    rows = able.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("id", "r.*")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [grams(t.as_py()) for t in b.column("text")]
-            cols = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() if len(x) <= MAX_GRAMS else b"" for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *cols], names=["id", "lang", "n", "p"])
-
-    texts = rows.mapInArrow(counted, schema_of(rows, "id,lang", "n bigint, p binary"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "p"))  # of max_train rows and their repeats
-    usable = texts.where((F.col("n") > 0) & (F.octet_length("p") > 0))
-    got = usable.withColumn("turn", turn).orderBy("turn", "lang").limit(LANDMARKS).collect()
+            n = pa.array([len(grams(t.as_py())) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), n], names=["id", "lang", "n"])
+
+    texts = rows.mapInArrow(counted, schema_of(rows, "id,lang", "n bigint")).where((F.col("n") > 0) & (F.col("n") <= MAX_GRAMS))
+    by: dict[str, list] = {}
+    for r in texts.orderBy(F.xxhash64("id"), "id").collect():  # max_train at most
+        by.setdefault(r.lang, []).append(r.id)
+    turns = [i for turn in range(LANDMARKS) for lang in sorted(by) for i in by[lang][turn : turn + 1]][:LANDMARKS]
+    got = rows.where(F.col("id").isin(turns)).orderBy(F.xxhash64("id"), "id").collect() if turns else []
     if not got:
         return Model([], np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
-    held = [np.frombuffer(r.p, np.uint64) for r in got]
+    held = [grams(r.text) for r in got]
     marks = Landmarks(held)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
