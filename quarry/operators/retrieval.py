@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from quarry.functions.text import search_form
+from quarry.functions.text import fold, search_form
 
 #: Vectors of one query block; more queries make more passes, never a larger broadcast.
 BLOCK = 4096
+#: Letters by which questions and titles meet.
+HEAD = 12
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term): distinct terms of each document."""
-    words = F.array_distinct(F.filter(F.split(search_form(F.col(text_col)), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
-    return docs.select(F.col(id_col).alias("id"), F.explode(words).alias("term"))
+def postings(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(id, term): distinct terms of each document (R05, K08), with the columns ``keep``, such as its collection."""
+    words = F.array_distinct(_words(F.col(text_col)))
+    return docs.select(F.col(id_col).alias("id"), *keep, F.explode(words).alias("term"))
+
+
+def positions(docs: DataFrame, id_col: str, text_col: str, *keep: str, weight: float = 1.0) -> DataFrame:
+    """(id, term, n, w, size): how often each term occurs in a field of that weight, and the field's words."""
+    words = docs.select(F.col(id_col).alias("id"), *keep, _words(F.col(text_col)).alias("words"))
+    each = words.select("id", *keep, F.size("words").alias("size"), F.explode("words").alias("term"))
+    return each.groupBy("id", *keep, "term", "size").agg(F.count("*").alias("n")).withColumn("w", F.lit(weight))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(search_form(text), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
 
 
 def vocabulary(posts: DataFrame) -> DataFrame:
@@ -36,15 +51,33 @@ def rank_by(df: DataFrame, key: str, *order: Column, k: int | None = None) -> Da
     return out.where(F.col("rank") <= k) if k else out
 
 
-def lexical_topk(queries: DataFrame, docs_posts: DataFrame, k: int = 10, share: float = 0.2) -> DataFrame:
-    """(qid, id, coverage, rank) for queries(qid, term): documents by covered query words.
+def prefix_terms(terms: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
+    """(term, word): longer words that begin with a term of ``least`` letters or more (R04): an equi join on prefixes."""
+    cuts = F.transform(F.sequence(F.lit(least), F.length("word") - 1), lambda n: F.left(F.col("word"), n))
+    starts = words.select("word").distinct().where(F.length("word") > least).select("word", F.explode(cuts).alias("term"))
+    return terms.select("term").distinct().where(F.length("term") >= least).join(starts, "term").select("term", "word")
+
+
+def lexical_topk(queries: DataFrame, places: DataFrame, k: int = 10, by: str | None = None) -> DataFrame:
+    """(qid, id, coverage, n_words, score, rank): documents by the question's words that they have, then by density.
 
-    Terms of over ``share`` of the documents' ids are kept; the join is on the term and pre-aggregated by (qid, id).
+    queries(qid, term), places(id, term, n, w, size) as positions() gives them. Terms also match words that they begin;
+    these count for density only. With ``by``, a column of both sides, a question searches its own collection (R07).
+    Questions are expanded to words of the vocabulary first and meet the postings once, in an equi join on the word.
     """
-    size = queries.groupBy("qid").agg(F.count("*").alias("n"))
-    hits = queries.join(docs_posts, "term").groupBy("qid", "id").agg(F.count("*").alias("coverage"))
-    hits = hits.join(size, "qid").where(F.col("coverage") >= needed(F.col("n"))).drop("n")
-    return rank_by(hits, "qid", F.col("coverage").desc(), F.col("id"), k=k)
+    more = [by] if by else []
+    terms = queries.select("qid", *more, "term").distinct()
+    size = terms.groupBy("qid").agg(F.count("*").alias("n_words"))
+    longer = terms.join(prefix_terms(terms, places.select(F.col("term").alias("word"))), "term").select("qid", *more, "word", F.lit(0).alias("exact"))
+    asked = terms.select("qid", *more, F.col("term").alias("word"), F.lit(1).alias("exact")).unionByName(longer)
+    asked = asked.groupBy("qid", *more, "word").agg(F.max("exact").alias("exact"))
+    hits = asked.join(places.withColumnRenamed("term", "word"), ["word", *more]).groupBy("qid", "id").agg(
+        F.countDistinct(F.when(F.col("exact") == 1, F.col("word"))).alias("coverage"), F.sum(F.col("n") * F.col("w")).alias("d"), F.max("size").alias("size")
+    )
+    hits = hits.join(size, "qid").where(F.col("coverage") >= needed(F.col("n_words")))
+    d = F.col("d") / F.log(1 + F.greatest(F.col("size"), F.lit(1)))
+    scored = hits.select("qid", "id", "coverage", "n_words", (F.col("coverage") + d / (1 + d)).alias("score"))
+    return rank_by(scored, "qid", F.col("coverage").desc(), F.round("score", 9).desc(), F.col("id"), k=k)
 
 
 def all_words_topk(queries: DataFrame, docs_posts: DataFrame, k: int = 10) -> DataFrame:
@@ -82,40 +115,46 @@ def either(lexical: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
     return rank_by(both.withColumn("score", score), "qid", F.round("score", 12).desc(), F.col("id"), k=k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.35) -> DataFrame:
-    """(qid, id, similarity, rank): cosine top-k of queries(qid, v) over vectors(id, v), in blocks of queries.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = 0.35, by: str | None = None) -> DataFrame:
+    """(qid, id, similarity, rank): cosine top-k of queries(qid, v) over vectors(id, v), in blocks of queries.
 
     Each block goes out once; a task keeps k rows per query and batch, so the exchange carries k rows per query and task.
+    With ``by``, a column of both sides, a question searches its own collection (R10).
     """
     spark = vectors.sparkSession
-    numbered = queries.where(F.col("v").isNotNull()).withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // BLOCK)))))
-    parts = None
-    for b in range(max(1, -(-queries.count() // BLOCK))):
-        rows = numbered.where(F.col("_b") == b).collect()
+    more = [by] if by else []
+    asked = queries.where(F.col("v").isNotNull())
+    blocks = max(1, -(-asked.count() // BLOCK))
+    parts = spark.createDataFrame([], "qid bigint, id bigint, similarity double")
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "v", *more).collect()
         if not rows:
             continue
         ids = np.array([r.qid for r in rows], np.int64)
         q = np.array([r.v for r in rows], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        kinds = np.array([str(r[by]) for r in rows]) if by else None
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, kinds=kinds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = np.array(batch.column("v").to_pylist(), np.float64).reshape(-1, q.shape[1])
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                sim = q @ x.T
                 who = np.array(batch.column("id").to_pylist(), np.int64)
-                order = np.lexsort((np.broadcast_to(who, sim.shape), -sim), axis=1)[:, :k]
-                take = np.take_along_axis(sim, order, 1)
-                on = take >= least - 1e-12
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, on.sum(1))), pa.array(who[order][on]), pa.array(take[on])],
-                    names=["qid", "id", "similarity"],
-                )
-
-        part = vectors.where("v is not null").select("id", "v").mapInArrow(run, "qid bigint, id bigint, similarity double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = spark.createDataFrame([], "qid bigint, id bigint, similarity double")
+                theirs = np.array([str(c) for c in batch.column(by).to_pylist()]) if by else None
+                found: list[tuple] = []
+                for s in range(0, len(q), 256):
+                    sim = q[s : s + 256] @ x.T
+                    if by:
+                        sim[kinds[s : s + 256, None] != theirs] = -2
+                    for i, row in enumerate(sim):
+                        at = np.flatnonzero(row >= max(least - 1e-12, -1))
+                        if len(at) > k:  # ties with the k-th stay until they are ordered
+                            at = at[row[at] >= np.partition(row[at], -k)[-k] - 1e-9]
+                        found.append((np.full(len(at), ids[s + i]), who[at], row[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["qid", "id", "similarity"])
+
+        part = vectors.where("v is not null").select("id", "v", *more).mapInArrow(run, "qid bigint, id bigint, similarity double")
+        parts = parts.unionByName(part)
     return rank_by(parts.where(F.col("similarity") >= least), "qid", F.round("similarity", 9).desc(), F.col("id"), k=k)
 
 
@@ -126,21 +165,52 @@ def rrf(lists: DataFrame, k: float = 60.0, weight: Column | None = None) -> Data
     return rank_by(fused, "qid", F.round("score", 12).desc(), F.col("id"))
 
 
-def rerank(lexical: DataFrame, vector: DataFrame, intent_weight: float = 0.25) -> DataFrame:
-    """(qid, id, score, rank): coverage share, both ranks and the intent's weight in one score.
+def rerank(lexical: DataFrame, vector: DataFrame, signals: DataFrame | None = None, intent_weight: float = 0.25) -> DataFrame:
+    """(qid, id, score, rank): all signals of a candidate in one score, ties by id.
 
-    lexical(qid, id, coverage, n_words, rank) and vector(qid, id, rank) meet in a full outer join.
+    lexical(qid, id, coverage, n_words, rank) and vector(qid, id, rank) meet in a full outer join. signals(qid, id, exact,
+    typed) says which candidates are what the question names, worth 100, and which are of the kind that it asks for, 1.2.
     """
     both = lexical.select("qid", "id", "coverage", "n_words", F.col("rank").alias("lex")).join(
         vector.select("qid", "id", F.col("rank").alias("vec")), ["qid", "id"], "full_outer"
     )
-    score = (
-        2 * F.coalesce(F.col("coverage") / F.col("n_words"), F.lit(0.0))
-        + F.coalesce(0.8 / F.col("lex"), F.lit(0.0))
-        + F.coalesce(0.5 / F.col("vec"), F.lit(0.0))
-        + intent_weight
-    )
-    return rank_by(both.withColumn("score", score), "qid", F.round("score", 12).desc(), F.col("id"))
+    none = F.lit(False)
+    if signals is None:
+        both = both.withColumns({"exact": none, "typed": none})
+    else:
+        both = both.join(signals.select("qid", "id", "exact", "typed"), ["qid", "id"], "left")
+    parts = {
+        "exact": 100 * F.coalesce("exact", none).cast("double"),
+        "covered": 2 * F.coalesce(F.col("coverage") / F.col("n_words"), F.lit(0.0)),
+        "lexical": F.coalesce(0.8 / F.col("lex"), F.lit(0.0)),
+        "vector": F.coalesce(0.5 / F.col("vec"), F.lit(0.0)),
+        "typed": 1.2 * F.coalesce("typed", none).cast("double"),
+    }
+    score = sum(parts.values(), F.lit(intent_weight))
+    return rank_by(both.select("qid", "id", score.alias("score")), "qid", F.round("score", 9).desc(), F.col("id"))
+
+
+def catalogue_topk(questions: DataFrame, titles: DataFrame, excerpts: DataFrame, k: int = 30) -> DataFrame:
+    """(qid, id, score, rank): documents whose title or excerpts a question finds.
+
+    questions(qid, text), titles(id, title), excerpts(qid, id, score) as found by a text search. A title that equals the
+    folded question scores 300, one that begins with it 200, one that has all of its words 100; the best score counts.
+    """
+    q = questions.select("qid", F.trim(fold(F.col("text"))).alias("q")).where("q != ''")
+    t = titles.select("id", F.trim(fold(F.col("title"))).alias("title")).where("title != ''")
+    words = lambda c: F.array_distinct(F.filter(F.split(c, "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
+    need = q.select("qid", F.explode(words(F.col("q"))).alias("w"))
+    many = need.groupBy("qid").agg(F.count("*").alias("n"))
+    have = need.join(t.select("id", F.explode(words(F.col("title"))).alias("w")), "w").groupBy("qid", "id").agg(F.count("*").alias("got"))
+    match = have.join(many, "qid").where("got = n").select("qid", "id", F.lit(100.0).alias("score"))
+    head = lambda c: F.left(c, F.lit(HEAD))
+    begun = q.where(F.length("q") >= HEAD).withColumn("h", head(F.col("q"))).join(t.withColumn("h", head(F.col("title"))), "h")
+    cuts = F.transform(F.sequence(F.lit(1), F.least(F.length("title"), F.lit(HEAD - 1))), lambda n: F.left(F.col("title"), n))
+    short = q.where(F.length("q") < HEAD).join(t.select("id", "title", F.explode(cuts).alias("h")), F.col("q") == F.col("h"))
+    named = begun.where(F.startswith("title", "q")).select("qid", "id", "q", "title").unionByName(short.select("qid", "id", "q", "title"))
+    named = named.select("qid", "id", F.when(F.col("q") == F.col("title"), 300.0).otherwise(200.0).alias("score"))
+    every = named.unionByName(match).unionByName(excerpts.select("qid", "id", F.col("score").cast("double").alias("score")))
+    return rank_by(every.groupBy("qid", "id").agg(F.max("score").alias("score")), "qid", F.round("score", 9).desc(), F.col("id"), k=k)
 
 
 def ambiguous(ranked: DataFrame, margin: float = 0.05) -> DataFrame:
@@ -152,22 +222,49 @@ def ambiguous(ranked: DataFrame, margin: float = 0.05) -> DataFrame:
     return top.select("qid", gap.alias("gap"), F.coalesce(gap <= margin, F.lit(False)).alias("ambiguous"))
 
 
-def osa(a: str, b: str, limit: int) -> int:
-    """Optimal string alignment distance, or limit + 1 if it is larger."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        if min(row) > limit:
-            return limit + 1
-        rows.append(row)
-    return rows[-1][-1]
+def osa(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Optimal string alignment distances of pairs of strings (F28): one table, filled for all pairs at once."""
+    la, lb = (np.array([*map(len, x)], np.int64) for x in (a, b))
+    if not len(la):
+        return la
+    x, y = (np.array([[ord(c) for c in w] + [-1 - side] * (n - len(w)) for w in s], np.int64).reshape(len(s), n) for side, (s, n) in enumerate(((a, la.max()), (b, lb.max()))))
+    out = np.where(la == 0, lb, 0)
+    before, row = None, np.tile(np.arange(y.shape[1] + 1), (len(la), 1))
+    for i in range(1, x.shape[1] + 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        for j in range(1, y.shape[1] + 1):
+            unlike = x[:, i - 1] != y[:, j - 1]
+            best = np.minimum(np.minimum(new[:, j - 1], row[:, j]) + 1, row[:, j - 1] + unlike)
+            if i > 1 and j > 1:
+                swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(swapped, np.minimum(best, before[:, j - 2] + 1), best)
+            new[:, j] = best
+        before, row = row, new
+        done = la == i
+        out[done] = row[done, lb[done]]
+    return out
+
+
+def osa_distance(a: str, b: str) -> Column:
+    """osa() over columns of words without null."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        found = [osa(x[s : s + 4096].tolist(), y[s : s + 4096].tolist()) for s in range(0, len(x), 4096)]
+        return pd.Series(np.concatenate([*found, np.empty(0, np.int64)]).astype("int32"))
+
+    return F.pandas_udf(run, IntegerType())(a, b)
+
+
+def deletion_forms(word: Column, twice: Column) -> Column:
+    """The word, and what is left of it without one letter, or without one and two where ``twice`` says so."""
+
+    def once(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))
+
+    one = once(word)
+    two = F.flatten(F.transform(one, once))
+    return F.array_distinct(F.concat(F.array(word), one, F.when(twice, two).otherwise(F.array().cast("array<string>"))))
 
 
 def fuzzy_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -181,23 +278,12 @@ def fuzzy_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     t, v = terms.select("term").distinct(), vocab.select(F.col("term").alias("word")).distinct()
     exact = t.join(v, F.col("term") == F.col("word")).select("term", "word", F.lit(1.0).alias("quality"))
     letters = ~F.col("term").rlike(r"\d")
-    cuts = F.transform(F.sequence(F.lit(4), F.length("word") - 1), lambda n: F.left(F.col("word"), n))
-    starts = v.where((F.length("word") >= 5) & ~F.col("word").rlike(r"\d")).select("word", F.explode(cuts).alias("term"))
-    prefix = t.where(letters).join(starts, "term").select("term", "word", F.lit(0.88).alias("quality"))
-
-    @F.udf("array<string>")
-    def forms(w: str) -> list[str]:
-        once = {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
-        return sorted(once if len(w) < 9 else once | {x[:i] + x[i + 1 :] for x in once for i in range(len(x))})
-
-    @F.udf("int")
-    def distance(a: str, b: str) -> int:
-        return osa(a, b, 2 if len(a) >= 9 and len(b) >= 9 else 1)
-
+    plain = v.where((F.length("word") >= 5) & ~F.col("word").rlike(r"\d"))
+    prefix = prefix_terms(t.where(letters), plain).withColumn("quality", F.lit(0.88))
     open_ = t.where(letters & (F.length("term") >= 5)).join(exact.select("term"), "term", "left_anti")
-    left = open_.select("term", F.explode(forms("term")).alias("form"))
-    right = v.where((F.length("word") >= 5) & ~F.col("word").rlike(r"\d")).select("word", F.explode(forms("word")).alias("form"))
-    near = left.join(right, "form").select("term", "word").distinct().withColumn("d", distance("term", "word"))
+    left = open_.select("term", F.explode(deletion_forms(F.col("term"), F.length("term") >= 9)).alias("form"))
+    right = plain.select("word", F.explode(deletion_forms(F.col("word"), F.length("word") >= 9)).alias("form"))
+    near = left.join(right, "form").select("term", "word").distinct().withColumn("d", osa_distance("term", "word"))
     limit = F.when((F.length("term") >= 9) & (F.length("word") >= 9), 2).otherwise(1)
     typos = near.where((F.col("d") >= 1) & (F.col("d") <= limit)).select("term", "word", F.when(F.col("d") == 1, 0.72).otherwise(0.6).alias("quality"))
     return exact.unionByName(prefix).unionByName(typos).groupBy("term", "word").agg(F.max("quality").alias("quality"))

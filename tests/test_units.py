@@ -1,5 +1,7 @@
 """Golden cases of single operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,10 +43,56 @@ def test_rrf(spark):
     assert got[0].score == pytest.approx(1 / 61 + 1 / 62)
 
 
+def naive_osa(a, b):
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
 def test_osa():
-    assert retrieval.osa("capacete", "capacete", 1) == 0
-    assert retrieval.osa("capacete", "capcaete", 1) == 1
-    assert retrieval.osa("abcdef", "abc", 2) == 3
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(400)] + ["capacete", "capcaete"]
+    other = words[::-1]
+    assert retrieval.osa(words, other).tolist() == [naive_osa(a, b) for a, b in zip(words, other)]
+    assert retrieval.osa(["capacete", "abcdef"], ["capcaete", "abc"]).tolist() == [1, 3] and not len(retrieval.osa([], []))
+
+
+def test_lexical_topk(spark):
+    docs = [(1, "estacionar estacionar na calcada proibido", "a"), (2, "calcada larga proibido muro", "b"), (3, "estacionamento proibido calcada", "a"), (4, "nada", "a")]
+    d = spark.createDataFrame(docs, "id long, text string, c string")
+    asked = spark.createDataFrame([(7, w, "a") for w in ("estacion", "calcada", "proibido")], "qid long, term string, c string")
+    got = [(r.id, r.coverage) for r in retrieval.lexical_topk(asked, retrieval.positions(d, "id", "text")).orderBy("rank").collect()]
+    assert got == [(3, 2), (1, 2), (2, 2)] or got == [(1, 2), (3, 2), (2, 2)]  # prefixes make 1 and 3 denser
+    mine = retrieval.lexical_topk(asked, retrieval.positions(d, "id", "text", "c"), by="c").orderBy("rank").collect()
+    assert {r.id for r in mine} == {1, 3}
+
+
+def test_vector_topk_in_collection(spark):
+    v = [(i, [float(i), 1.0], "ab"[i % 2]) for i in range(1, 9)]
+    d = spark.createDataFrame(v, "id long, v array<double>, c string")
+    q = spark.createDataFrame([(1, [8.0, 1.0], "a"), (2, [8.0, 1.0], "b"), (3, [8.0, 1.0], "z")], "qid long, v array<double>, c string")
+    got = {r.qid: r.id for r in retrieval.vector_topk(q, d, k=1, by="c").collect()}
+    assert got == {1: 8, 2: 7}
+
+
+def test_rerank_signals(spark):
+    lex = spark.createDataFrame([(1, 10, 2, 4, 1), (1, 11, 4, 4, 2)], "qid long, id long, coverage long, n_words long, rank int")
+    vec = spark.createDataFrame([(1, 12, 1)], "qid long, id long, rank int")
+    signs = spark.createDataFrame([(1, 12, True, False), (1, 10, False, True)], "qid long, id long, exact boolean, typed boolean")
+    got = {r.id: round(r.score, 6) for r in retrieval.rerank(lex, vec, signs, 0.25).collect()}
+    assert got == {10: 2 * 0.5 + 0.8 + 0.25 + 1.2, 11: 2 + 0.4 + 0.25, 12: 100 + 0.5 + 0.25}
+
+
+def test_catalogue_topk(spark):
+    titles = spark.createDataFrame([(1, "Manual de Trânsito"), (2, "Manual de Trânsito Urbano"), (3, "O trânsito e seu manual"), (4, "Outro"), (5, "Man")], "id long, title string")
+    asked = spark.createDataFrame([(1, "manual de transito"), (2, "man"), (3, " ")], "qid long, text string")
+    none = spark.createDataFrame([(1, 4, 2.5)], "qid long, id long, score double")
+    got = {(r.qid, r.id): r.score for r in retrieval.catalogue_topk(asked, titles, none).collect()}
+    assert got == {(1, 1): 300, (1, 2): 200, (1, 3): 100, (1, 4): 2.5, (2, 5): 300, (2, 1): 200, (2, 2): 200}
 
 
 def test_fuzzy_terms(spark):
