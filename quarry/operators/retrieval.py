@@ -219,7 +219,7 @@ def ambiguous(ranked: DataFrame, margin: float = 0.05) -> DataFrame:
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("b")
     )
     gap = F.col("a") - F.col("b")
-    return top.select("qid", gap.alias("gap"), F.coalesce(gap <= margin, F.lit(False)).alias("ambiguous"))
+    return top.select("qid", gap.alias("gap"), F.coalesce(F.round(gap, 9) <= margin, F.lit(False)).alias("ambiguous"))
 
 
 def osa(a: Sequence[str], b: Sequence[str]) -> np.ndarray:

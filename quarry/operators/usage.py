@@ -79,3 +79,24 @@ def breaker(calls: DataFrame, key: str, us: str, call: str, failed: str, thresho
     inside = Window.partitionBy(key, "_g").orderBy(us, call).rowsBetween(Window.unboundedPreceding, 0)
     run = run.withColumn("streak", F.count_if(F.col(failed)).over(inside)).drop("_g")
     return run.withColumn("blocked_until", F.when(F.col(failed) & (F.col("streak") >= threshold), F.col(us) + recovery_us))
+
+
+def numbered(rows: DataFrame, *order: tuple[str, str]) -> DataFrame:
+    """rows with ``place``, their position from 1 in that order of (column, direction such as "asc_nulls_last").
+
+    No task orders all rows: each row's place is the rows with a smaller first key, and with the same first key a smaller
+    second one, and so on, from counts per key. Windows run over tables with one row per key, and over the rows of equal
+    keys but for the last. The order must be total to be repeatable.
+    """
+    names = [n for n, _ in order]
+    ways = [getattr(F.col(n), how)() for n, how in order]
+    out = rows.withColumn("place", F.lit(0).cast("long"))
+    for i in range(len(names) - 1):
+        upto = names[: i + 1]
+        w = Window.partitionBy(*names[:i]).orderBy(ways[i]).rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy(*upto).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        counts = counts.select(*[F.col(n).alias(f"_{k}") for k, n in enumerate(upto)], "_before")
+        out = out.join(counts, [F.col(n).eqNullSafe(F.col(f"_{k}")) for k, n in enumerate(upto)])
+        out = out.withColumn("place", F.col("place") + F.col("_before")).drop("_before", *[f"_{k}" for k in range(len(upto))])
+    last = Window.partitionBy(*names[:-1]).orderBy(ways[-1])
+    return out.withColumn("place", F.col("place") + F.row_number().over(last))

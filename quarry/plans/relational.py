@@ -12,6 +12,10 @@ from quarry.operators import matching as M
 from quarry.operators import rules, usage
 from quarry.plans.base import Tables, query
 
+MASKED = (
+    "regexp_replace(regexp_replace(regexp_replace(text, '\\b[A-Za-z]{3}-?\\d[A-Za-z0-9]\\d{2}\\b', '****', 'g'), '\\b\\d{2}\\.\\d{3}\\.\\d{3}/\\d{4}-\\d{2}\\b', '****-****', 'g'),"
+    " '\\b\\d{3}\\.\\d{3}\\.\\d{3}-\\d{2}\\b|\\b\\d{11}\\b', '***-****', 'g')"
+)
 LABEL = "concat('Art. ', cast(o_orderkey % 300 as varchar(9)), CASE o_orderkey % 4 WHEN 1 THEN '-A' WHEN 2 THEN ' XVII' ELSE '' END)"
 
 
@@ -66,10 +70,10 @@ def p08(t: Tables) -> DataFrame:
     return t.orders.where(F.col("o_orderstatus").isin("O", "P") & (F.col("o_totalprice") > 0)).select("o_orderkey")
 
 
-@query("p13_any_keyword", "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type)), 'steel') OR contains(lower(concat_ws(' ', p_name, p_type)), 'green') ORDER BY p_partkey LIMIT 10")
+@query("p13_any_keyword", "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type)), 'red') OR contains(lower(concat_ws(' ', p_name, p_type)), 'gizmo') ORDER BY p_partkey LIMIT 10")
 def p13(t: Tables) -> DataFrame:
     both = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    return t.part.where(F.exists(F.array(F.lit("steel"), F.lit("green")), lambda k: F.contains(both, k))).select("p_partkey").orderBy("p_partkey").limit(10)
+    return t.part.where(F.exists(F.array(F.lit("red"), F.lit("gizmo")), lambda k: F.contains(both, k))).select("p_partkey").orderBy("p_partkey").limit(10)
 
 
 @query(
@@ -144,10 +148,10 @@ def a04(t: Tables) -> DataFrame:
 
 @query(
     "a11_grouped_questions",
-    "SELECT role, lower(split_part(text, ' ', 1)) AS q, count(*) AS frequency FROM conversations WHERE trim(text) <> '' GROUP BY ALL",
+    f"SELECT role, lower(trim({MASKED})) AS q, count(*) AS frequency FROM conversations WHERE trim(text) <> '' GROUP BY ALL",
 )
 def a11(t: Tables) -> DataFrame:
-    q = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
+    q = F.lower(F.trim(T.mask_identifiers(F.col("text"))))
     return t.conversations.where("trim(text) != ''").groupBy("role", q.alias("q")).agg(F.count("*").alias("frequency"))
 
 
@@ -159,12 +163,10 @@ def a18(t: Tables) -> DataFrame:
 @query(
     "o02_reading_order",
     f"WITH s AS (SELECT o_orderkey, {LABEL} AS label FROM orders) SELECT o_orderkey, row_number() OVER (ORDER BY CAST(regexp_extract(label, '(\\d+)', 1) AS BIGINT),"
-    " CASE WHEN label LIKE '%-A' THEN 'a' ELSE '' END, length(label), o_orderkey) AS place FROM s ORDER BY place LIMIT 50",
+    " CASE WHEN label LIKE '%-A' THEN 'a' ELSE '' END, length(label), o_orderkey) AS place FROM s",
 )
 def o02(t: Tables) -> DataFrame:
-    first = labels(t).orderBy(Q.article_key(F.col("label")), "o_orderkey").limit(50)
-    w = Window.orderBy(Q.article_key(F.col("label")), "o_orderkey")  # of 50 rows
-    return first.select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+    return usage.numbered(labels(t).withColumn("k", Q.article_key(F.col("label"))), ("k", "asc"), ("o_orderkey", "asc")).select("o_orderkey", "place")
 
 
 @query(
@@ -354,10 +356,10 @@ def s04(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", cells[0].alias("country"), F.array_join(signs, "+").alias("instruments"))
 
 
-@query("p12_array_overlap", "SELECT p_partkey FROM part WHERE list_has_any(string_split(lower(p_type), ' '), ['steel', 'tin', 'brass'])")
+@query("p12_array_overlap", "SELECT p_partkey FROM part WHERE list_has_any(string_split(lower(p_name), ' '), ['red', 'small', 'green'])")
 def p12(t: Tables) -> DataFrame:
-    wanted = F.array(*map(F.lit, ("steel", "tin", "brass")))
-    return t.part.where(F.arrays_overlap(F.split(F.lower("p_type"), " "), wanted)).select("p_partkey")
+    wanted = F.array(*map(F.lit, ("red", "small", "green")))
+    return t.part.where(F.arrays_overlap(F.split(F.lower("p_name"), " "), wanted)).select("p_partkey")
 
 
 @query("p14_in_force", "SELECT doc_id, lang IS NULL AS in_force FROM documents")
@@ -389,10 +391,10 @@ def a23(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count_if(F.col("lang").isNull()).alias("pending"), F.count("*").alias("n"))
 
 
-@query("o01_mixed_order", "SELECT doc_id, lang FROM documents ORDER BY lang ASC NULLS LAST, n_chars DESC NULLS LAST, doc_id LIMIT 25")
+@query("o01_mixed_order", "SELECT doc_id, lang, row_number() OVER (ORDER BY lang ASC NULLS LAST, n_chars DESC NULLS LAST, doc_id) AS place FROM documents")
 def o01(t: Tables) -> DataFrame:
-    top = t.documents.orderBy(F.col("lang").asc_nulls_last(), F.col("n_chars").desc_nulls_last(), "doc_id").limit(25)
-    return top.select("doc_id", "lang")
+    order = (("lang", "asc_nulls_last"), ("n_chars", "desc_nulls_last"), ("doc_id", "asc"))
+    return usage.numbered(t.documents.drop("text"), *order).select("doc_id", "lang", "place")
 
 
 @query("u01_union_all", "SELECT c_name AS name, 'c' AS kind FROM customer UNION ALL SELECT s_name, 's' FROM supplier")

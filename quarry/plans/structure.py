@@ -11,7 +11,7 @@ from quarry.operators import catalogues as C
 from quarry.operators import reports as P
 from quarry.operators import retrieval as R
 from quarry.plans.base import Tables, query
-from quarry.plans.search import ASKED, LEX, POSTS, doc_posts, lexical, questions, second, vector
+from quarry.plans.search import ASKED, LEX, LISTS, POSTS, TERMS, VEC, doc_places, doc_posts, lexical, questions, second, vector
 
 FILE = "concat(' Pop_1.0', cast(o_orderkey % 7 as varchar(9)), '__abordagem', CASE o_orderkey % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.markdown' WHEN 3 THEN '.exe' ELSE '' END)"
 
@@ -257,17 +257,14 @@ def k24(t: Tables) -> DataFrame:
 
 @query(
     "r08_cover_density",
-    f"WITH p AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+'), lambda w: len(w) >= 3)) AS term FROM documents),"
+    f"WITH p AS (SELECT doc_id AS id, unnest({TERMS}) AS term FROM documents),"
     f" l AS (SELECT id, count(*) AS size FROM p GROUP BY id), c AS (SELECT id, term, size, count(*) AS n FROM p JOIN l USING (id) GROUP BY ALL), q AS ({ASKED}),"
     " h AS (SELECT qid, id, count(*) AS coverage, sum(n) AS d, max(size) AS size FROM q JOIN c USING (term) GROUP BY ALL), s AS (SELECT *, d / ln(1 + size) AS dd FROM h),"
     " r AS (SELECT qid, id, coverage, coverage + dd / (1 + dd) AS score FROM s)"
     " SELECT qid, id, coverage, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM r QUALIFY rank <= 10",
 )
 def r08(t: Tables) -> DataFrame:
-    words = F.filter(F.split(T.fold(F.col("text")), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
-    rows = t.documents.select(F.col("doc_id").alias("id"), words.alias("t")).select("id", F.size("t").alias("size"), F.explode("t").alias("term"))
-    counts = rows.groupBy("id", "term", "size").agg(F.count("*").alias("n")).withColumn("w", F.lit(1.0))
-    out = R.cover_density(questions(t), counts)
+    out = R.cover_density(questions(t), doc_places(t))
     return out.select("qid", "id", "coverage", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -288,20 +285,20 @@ def r14(t: Tables) -> DataFrame:
 
 @query(
     "r15_either_list",
-    f"WITH {LEX}, two AS (SELECT qid, id + 1 AS id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS rank FROM lex WHERE rank <= 7),"
+    f"WITH {LISTS},"
     " j AS (SELECT qid, id, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + r.rank), 0) AS score FROM lex l FULL JOIN two r USING (qid, id))"
     " SELECT qid, id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM j QUALIFY rank <= 5",
 )
 def r15(t: Tables) -> DataFrame:
-    out = R.either(lexical(t), second(t).withColumn("id", F.col("id") + 1))
+    out = R.either(lexical(t), second(t))
     return out.select("qid", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("r15_vector_only", "SELECT vec_id AS qid, vec_id AS id, 1 AS rank FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL")
+@query("r15_vector_only", f"WITH {VEC} SELECT qid, id, rank FROM vec")
 def r15v(t: Tables) -> DataFrame:
     none = t.spark.createDataFrame([], "qid bigint, id bigint, rank int")
     out = R.either(none, vector(t), k=10)
-    return out.where("qid = id").select("qid", "id", F.lit(1).alias("rank"))
+    return out.select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -400,12 +397,10 @@ def j12(t: Tables) -> DataFrame:
 
 @query(
     "c07_joined_pages",
-    "SELECT conv_id, md5(string_agg('[[página ' || turn || ']]' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS whole FROM conversations GROUP BY 1 HAVING count(*) = count(DISTINCT turn)",
+    "SELECT conv_id, md5(string_agg('[[página ' || turn || ']]' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text)) AS whole FROM conversations GROUP BY 1",
 )
 def c07(t: Tables) -> DataFrame:
-    once = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.countDistinct("turn").alias("m")).where("n = m").select("conv_id")
-    rows = t.conversations.join(once, "conv_id", "left_semi")
-    return P.joined_pages(rows, "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("whole"))
+    return P.joined_pages(t.conversations, "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("whole"))
 
 
 @query(
@@ -421,11 +416,11 @@ def c09(t: Tables) -> DataFrame:
 
 @query(
     "c20_comparison",
-    "SELECT p_partkey AS code, p_name AS wording, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS to_fine FROM part WHERE p_partkey % 100 < 4",
+    "SELECT p_partkey AS code, p_name AS wording, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS to_fine FROM part",
 )
 def c20(t: Tables) -> DataFrame:
     scene = F.when(F.col("p_size") % 2 == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>"))
-    rows = t.part.where("p_partkey % 100 < 4").select("p_partkey", F.col("p_name").alias("wording"), scene.alias("to_fine"), F.col("p_type").alias("typification"),
+    rows = t.part.select("p_partkey", F.col("p_name").alias("wording"), scene.alias("to_fine"), F.col("p_type").alias("typification"),
                                                       *[F.lit("").alias(c) for c in ("support", "severity", "points", "penalty", "measure")])
     return C.compare_sheets(rows, "p_partkey").select("code", "wording", "to_fine")
 

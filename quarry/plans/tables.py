@@ -167,9 +167,10 @@ def j09(t: Tables) -> DataFrame:
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("j10_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j10_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
 def j10(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = t.lineitem.where("l_quantity > 30")
+    return t.orders.join(large, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
 @query(
@@ -202,10 +203,10 @@ def s21(t: Tables) -> DataFrame:
 
 @query(
     "t03_expired",
-    "SELECT event_id FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-03-01') > user_id % 30",
+    "SELECT event_id FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') > user_id % 30",
 )
 def t03(t: Tables) -> DataFrame:
-    return usage.expired(t.events, F.col("ts"), F.col("user_id") % 30, F.lit("2024-03-01").cast("date")).select("event_id")
+    return usage.expired(t.events, F.col("ts"), F.col("user_id") % 30, F.lit("2024-01-31").cast("date")).select("event_id")
 
 
 @query(
