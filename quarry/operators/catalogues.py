@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quarry.functions.documents import PROCEDURE_MENTION
 from quarry.functions.domains import EMPTY_FACT_QUESTION, fact_question, fact_shortcuts, generic, weight_question
 from quarry.functions.text import ACCENTED, PLAIN, article_number, code, fold, procedure, search_form, tokens, truncate
-from quarry.operators.matching import first_wins, match_labels, word_similarity
-from quarry.operators.retrieval import fielded_search, fuzzy_terms, rank_by
+from quarry.operators.matching import first_wins, match_labels
+from quarry.operators.retrieval import fielded_search, fuzzy_terms, osa, rank_by
 
 #: An article without more words lists up to so many entries.
 MOST_UNFOLDINGS = 30
@@ -35,7 +35,11 @@ def terms_of(questions: DataFrame) -> DataFrame:
 
 def field_terms(rows: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
     """(id, term, w): the words of weighted text columns, each with its best weight."""
-    made = [F.transform(tokens(F.col(c)), lambda x, w=w: F.struct(x.alias("term"), F.lit(w).alias("w"))) for c, w in weights.items()]
+
+    def weighed(c: str, w: float) -> Column:  # a default argument of the lambda would be taken for the place in the array
+        return F.transform(tokens(F.col(c)), lambda x: F.struct(x.alias("term"), F.lit(float(w)).alias("w")))
+
+    made = [weighed(c, w) for c, w in weights.items()]
     every = F.concat(*[F.coalesce(m, F.array().cast("array<struct<term:string,w:double>>")) for m in made])
     flat = rows.select(F.col(key).alias("id"), F.explode(every).alias("f"))
     return flat.groupBy("id", "f.term").agg(F.max("f.w").alias("w"))
@@ -180,6 +184,19 @@ def windows_of(text: str, limit: int) -> list[tuple[int, int]]:
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
+def resembling(term: str, words: list[str]) -> dict[str, float]:
+    """How much each word resembles a term: 1 if equal, 0.88 if one begins with the other, else the share of letters left
+    unedited; words with digits and short ones resemble only themselves."""
+    out = {}
+    for w, d in zip(words, osa([term] * len(words), words).tolist()):
+        short, size = min(len(term), len(w)), max(len(term), len(w))
+        if w == term:
+            out[w] = 1.0
+        elif short >= 4 and not re.search("[0-9]", term + w):
+            out[w] = 0.88 if w.startswith(term) or term.startswith(w) else 1 - d / size
+    return out
+
+
 def best_passage(text: str | None, terms: list[str], limit: int, asked: bool = True) -> str:
     """The window that covers most terms, weighted by how rare they are among the windows; the first one if none does.
 
@@ -195,8 +212,7 @@ def best_passage(text: str | None, terms: list[str], limit: int, asked: bool = T
         known = set().union(*words)
         score, cover = np.zeros(len(spans)), np.zeros(len(spans), int)
         for term in terms:
-            near = {w: (1.0 if w == term else word_similarity(term, w)) for w in known}
-            near = {w: q for w, q in near.items() if q >= (0.8 if term in known else 0.6)}
+            near = {w: q for w, q in resembling(term, sorted(known)).items() if q >= (0.8 if term in known else 0.6)}
             value = {w: q * (1 + np.log(1 + len(spans) / (1 + sum(w in s for s in words)))) for w, q in near.items()}
             got = np.array([max((value[w] for w in s & value.keys()), default=0.0) for s in words])
             score, cover = score + got, cover + (got > 0)

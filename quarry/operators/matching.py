@@ -2,100 +2,110 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import fold, match_form
-from quarry.operators.retrieval import osa, rank_by
+from quarry.operators.retrieval import deletion_forms, osa_distance, prefix_terms, rank_by
 
-#: Labels or alias terms that go to a task at once; a larger catalogue makes more passes.
-BLOCK = 4096
+#: Two words are alike from this similarity on; so many of the words of the shorter side must have one that is.
+ALIKE, SHARE = 0.72, 0.7
 
 # Words that don't count in labels and in passages.
-LINK_WORDS = frozenset("a ao aos as com da das de do dos e em na nas no nos o ou para por um uma".split())
+LINK_WORDS = "a ao aos as com da das de do dos e em na nas no nos o ou para por um uma".split()
 PASSAGE_STOP = "a ao aos as com da das de do dos e em no nos o os para por que um uma".split()
 
 
-@lru_cache(100_000)
-def word_similarity(a: str, b: str) -> float:
-    """1 if equal, 0 with digits, 0.88 for a prefix of four letters or more, else the share of letters left unedited."""
-    if a == b:
-        return 1.0
-    if any(x.isdigit() for x in a + b):
-        return 0.0
-    short, long = sorted((a, b), key=len)
-    if len(short) < 4:
-        return 0.0
-    return 0.88 if long.startswith(short) else max(0.0, 1 - osa(a, b, len(long)) / len(long))
+def label_words(form: Column) -> Column:
+    """The words of a match form that count, repeats included."""
+    return F.filter(F.split(form, " "), lambda w: (F.length(w) >= 3) & ~w.isin(*LINK_WORDS))
 
 
-def label_words(form: str) -> list[str]:
-    """The words of a match form that count."""
-    return [w for w in form.split(" ") if len(w) >= 3 and w not in LINK_WORDS]
+def word_similarity(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) with s (K09): 1 if equal, 0 with digits or below four letters, 0.88 for a prefix, else the share of
+    letters left unedited."""
+    a, b = F.col("a"), F.col("b")
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    s = F.when(a == b, 1.0).when(a.rlike(r"\d") | b.rlike(r"\d") | (shorter < 4), 0.0).when(F.startswith(a, b) | F.startswith(b, a), 0.88)
+    edited = 1 - F.col("_d") / longer
+    return pairs.withColumn("_d", osa_distance("a", "b")).withColumn("s", s.otherwise(F.greatest(edited, F.lit(0.0)))).drop("_d")
 
 
-def phrase_similarity(a: str, b: str) -> int:
-    """Similarity of two match forms, 0 to 94, or 100 if equal: the shorter side's mean best word similarity.
+def alike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): pairs of words of left(word) and right(word) of at least ALIKE similarity, without comparing all pairs.
 
-    It is 0 unless 70 % of that side's words find one of 0.72 or more.
+    Equal words and prefixes meet in equi joins. Of others, 28 % of the longer one's letters may be edited: up to ten
+    letters that is two at most, and both leave a common form after as many deletions; from eleven on both share a pair of
+    neighbouring letters, as one edit spoils three at most.
+    """
+    a = left.select(F.col("word").alias("a")).distinct()
+    b = right.select(F.col("word").alias("b")).distinct()
+    equal = a.join(b, F.col("a") == F.col("b"))
+    plain = lambda c: (F.length(c) >= 4) & ~F.col(c).rlike(r"\d")
+    a, b = a.where(plain("a")), b.where(plain("b"))
+    ahead = prefix_terms(a.withColumnRenamed("a", "term"), b.withColumnRenamed("b", "word")).select(F.col("term").alias("a"), F.col("word").alias("b"))
+    behind = prefix_terms(b.withColumnRenamed("b", "term"), a.withColumnRenamed("a", "word")).select(F.col("word").alias("a"), F.col("term").alias("b"))
+
+    def forms(words: DataFrame, c: str) -> DataFrame:
+        return words.where(F.length(c) <= 10).select(c, F.explode(deletion_forms(F.col(c), F.length(c) >= 6)).alias("key"))
+
+    def neighbours(words: DataFrame, c: str) -> DataFrame:
+        two = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))
+        return words.where(F.length(c) >= 8).select(c, F.explode(F.array_distinct(two)).alias("key"))
+
+    longer = F.greatest(F.length("a"), F.length("b"))
+    near = forms(a, "a").join(forms(b, "b"), "key").select("a", "b")
+    far = neighbours(a, "a").join(neighbours(b, "b"), "key").where((longer >= 11) & (F.abs(F.length("a") - F.length("b")) <= 0.28 * longer)).select("a", "b")
+    close = word_similarity(near.unionByName(far).distinct()).where(F.col("s") >= ALIKE).select("a", "b")
+    return equal.unionByName(ahead).unionByName(behind).unionByName(close).distinct()
+
+
+def phrase_similarity(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(qid, eid, s): pairs of asked(qid, words) and entries(eid, words) whose words resemble each other, s from 0 to 94.
+
+    The side with fewer words, the question if they are even, is the base: SHARE of its words must have one that is alike
+    on the other side, and s is the mean of their best similarities in percent. Pairs come from words that are alike; only
+    those that reach the share are scored in full.
     """
-    if not a or not b:
-        return 0
-    if a == b:
-        return 100
-    base, other = sorted((label_words(a), label_words(b)), key=len)
-    if not base:
-        return 0
-    best = [max(word_similarity(w, o) for o in other) for w in base]
-    if sum(x >= 0.72 for x in best) < 0.7 * len(base):
-        return 0
-    return min(94, int(sum(best) / len(best) * 100 + 0.5))
+    q = asked.select("qid", F.size("words").alias("nq"), F.posexplode("words").alias("qp", "a"))
+    e = entries.select("eid", F.size("words").alias("ne"), F.posexplode("words").alias("ep", "b"))
+    close = alike(q.select(F.col("a").alias("word")), e.select(F.col("b").alias("word")))
+    met = q.join(close, "a").join(e, "b").groupBy("qid", "eid").agg(
+        F.max("nq").alias("nq"), F.max("ne").alias("ne"), F.countDistinct("qp").alias("cq"), F.countDistinct("ep").alias("ce")
+    )
+    base_q = F.col("nq") <= F.col("ne")
+    enough = F.when(base_q, F.col("cq") >= SHARE * F.col("nq")).otherwise(F.col("ce") >= SHARE * F.col("ne"))
+    pairs = met.where(enough).select("qid", "eid", base_q.alias("base_q"))
+    cells = pairs.join(q.select("qid", "qp", "a"), "qid").join(e.select("eid", "ep", "b"), "eid")
+    known = word_similarity(cells.select("a", "b").distinct())
+    place = F.when(F.col("base_q"), F.col("qp")).otherwise(F.col("ep"))
+    best = cells.join(known, ["a", "b"]).groupBy("qid", "eid", place.alias("p")).agg(F.max("s").alias("s"))
+    mean = best.groupBy("qid", "eid").agg(F.avg("s").alias("s"))
+    return mean.select("qid", "eid", F.least(F.lit(94), F.floor(F.col("s") * 100 + 0.5)).alias("s"))
 
 
 def match_labels(questions: DataFrame, items: DataFrame, aliases: DataFrame, least: int = 78, k: int = 3) -> DataFrame:
     """(qid, id, score, method, rank): items that a question names by label or alias, typos included.
 
     questions(qid, text), items(id, label), aliases(term, id). An alias that stands in the question scores 98, one that
-    resembles it two more than their similarity, 97 at most, a label its similarity; of several the best counts. Questions
-    without a word that counts match exact aliases only. The catalogue goes to the tasks in blocks, questions never move.
+    resembles it two more than their similarity, 97 at most, a label its similarity, or 100 if it is the question; of
+    several the best counts. Questions without a word that counts match exact aliases only.
     """
     named = items.select("id", match_form("label").alias("form"), F.lit(False).alias("alias"))
     known = aliases.join(items.select("id"), "id", "left_semi").select("id", match_form("term").alias("form"), F.lit(True).alias("alias"))
-    entries = named.unionByName(known).where("form != ''")
-    blocks = max(1, -(-entries.count() // BLOCK))
-    kind = items.schema["id"].dataType
-    qkind = questions.schema["qid"].dataType.simpleString()
-    asked = questions.select("qid", match_form("text").alias("form")).where("form != ''")
-    found = None
-    for b in range(blocks):
-        rows = entries.where(F.pmod(F.xxhash64("form", "id"), F.lit(blocks)) == b).collect()
-        held = [(r.id, r.form, r.alias) for r in rows]
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out: list[tuple] = []
-                for qid, form in zip(batch.column("qid").to_pylist(), batch.column("form").to_pylist()):
-                    words = label_words(form)
-                    vague = not words or (len(words) == 1 and len(words[0]) < 4)
-                    for item, entry, alias in held:
-                        if alias and f" {entry} " in f" {form} ":
-                            out.append((qid, item, 98, "exact alias"))
-                        elif not vague:
-                            s = phrase_similarity(form, entry)
-                            s = min(97, s + 2) if alias else s
-                            if s >= least:
-                                out.append((qid, item, s, "fuzzy alias" if alias else "label"))
-                cols = list(zip(*out)) if out else [[], [], [], []]
-                types = (batch.schema.field("qid").type, pa.string() if kind.simpleString() == "string" else pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["qid", "id", "score", "method"])
-
-        part = asked.mapInArrow(run, f"qid {qkind}, id {kind.simpleString()}, score bigint, method string")
-        found = part if found is None else found.unionByName(part)
-    best = found.where(F.col("score") >= least).groupBy("qid", "id").agg(F.max(F.struct("score", "method")).alias("m"))
+    entries = named.unionByName(known).where("form != ''").distinct().withColumn("words", label_words(F.col("form")))
+    entries = entries.withColumn("eid", F.xxhash64("form"))
+    asked = questions.select("qid", match_form("text").alias("form")).where("form != ''").withColumn("words", label_words(F.col("form")))
+    longest = entries.where("alias").agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1
+    runs = asked.select("qid", F.explode(word_runs(F.col("form"), longest)).alias("form"))
+    exact = runs.join(entries.where("alias").select("form", "id"), "form").select("qid", "id", F.lit(98).cast("long").alias("score"), F.lit("exact alias").alias("method"))
+    clear = asked.where((F.size("words") > 1) | (F.length(F.get("words", F.lit(0))) >= 4))
+    same = clear.join(entries.where("not alias").select("form", "id"), "form").select("qid", "id", F.lit(100).cast("long").alias("score"), F.lit("label").alias("method"))
+    like = phrase_similarity(clear, entries.select("eid", "words").where("size(words) > 0").distinct()).join(entries.select("eid", "id", "alias"), "eid")
+    score = F.when(F.col("alias"), F.least(F.lit(97), F.col("s") + 2)).otherwise(F.col("s")).cast("long")
+    like = like.select("qid", "id", score.alias("score"), F.when(F.col("alias"), "fuzzy alias").otherwise("label").alias("method"))
+    found = exact.unionByName(same).unionByName(like).where(F.col("score") >= least)
+    best = found.groupBy("qid", "id").agg(F.max(F.struct("score", "method")).alias("m"))
     labels = items.groupBy("id").agg(F.min("label").alias("label"))
     out = best.join(labels, "id").select("qid", "id", "m.score", "m.method", "label")
     return rank_by(out, "qid", F.col("score").desc(), F.col("label"), F.col("id"), k=k)
@@ -104,11 +114,12 @@ def match_labels(questions: DataFrame, items: DataFrame, aliases: DataFrame, lea
 def word_runs(form: Column, longest: int = 5) -> Column:
     """Distinct runs of one to ``longest`` words of a match form."""
     words = F.split(form, " ")
-    runs = [
-        F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        for n in range(1, longest + 1)
-    ]
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(F.size(words) >= n, r) for n, r in enumerate(runs, 1)]))))
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[of(n) for n in range(1, longest + 1)]))))
 
 
 def longest_key(questions: DataFrame, keys: DataFrame, longest: int = 5) -> DataFrame:

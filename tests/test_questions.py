@@ -1,8 +1,13 @@
 """Golden cases of question understanding, matching and positioned text."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from test_units import naive_osa
+
 from quarry.functions import questions as Q
 from quarry.operators import matching as M
 from quarry.operators import positioned, rules
@@ -93,3 +98,68 @@ def test_smaller_ones(spark):
     assert [one(spark, Q.enough_said, q) for q in ("516-91", "sem cinto", "bom dia")] == [True, True, False]
     got = spark.range(1).select(rules.axle_gaps(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))).alias("g")).first().g
     assert (got.missing, got.unknown) == (["a"], ["c"])
+
+
+def naive_match(questions, items, aliases, least=78):
+    """All pairs, one by one, by K15's definition."""
+    def words(form):
+        return [w for w in form.split(" ") if len(w) >= 3 and w not in M.LINK_WORDS]
+
+    def similar(x, y):
+        n, m = min(len(x), len(y)), max(len(x), len(y))
+        if x == y:
+            return 1.0
+        if n < 4 or re.search(r"\d", x + y):
+            return 0.0
+        return 0.88 if x.startswith(y) or y.startswith(x) else 1 - naive_osa(x, y) / m
+
+    best = {}
+    entries = [(i, form, "label") for i, form in items] + [(i, form, "alias") for form, i in aliases]
+    for qid, q in questions:
+        mine = words(q)
+        for i, form, kind in entries:
+            if kind == "alias" and f" {form} " in f" {q} ":
+                s = 98
+            elif len(mine) < 2 and (not mine or len(mine[0]) < 4):
+                continue
+            elif q == form:
+                s = 100
+            else:
+                theirs = words(form)
+                base, other = (mine, theirs) if len(mine) <= len(theirs) else (theirs, mine)
+                top = [max(similar(x, y) for y in other) for x in base]
+                s = min(94, int(sum(top) / len(top) * 100 + 0.5)) if top and sum(x >= 0.72 for x in top) >= 0.7 * len(top) else 0
+                s = min(97, s + 2) if kind == "alias" and s else s
+            if s >= least:
+                best[qid, i] = max(best.get((qid, i), 0), s)
+    return best
+
+
+def test_match_labels_brute_force(spark):
+    rng = random.Random(4)
+    pool = ["".join(rng.choice(("ca", "de", "mo", "tor", "pla", "cas", "sem", "vei")) for _ in range(rng.randrange(1, 7))) for _ in range(60)] + ["de", "ao", "123", "a12b"]
+    spoil = lambda w: w[: (k := rng.randrange(len(w)))] + rng.choice(["", "x", w[k : k + 2][::-1]]) + w[k + rng.randrange(3) :]
+    phrase = lambda n: [rng.choice(pool) for _ in range(n)]
+    labels = [(str(i), " ".join(phrase(rng.randrange(1, 6)))) for i in range(40)]
+    terms = [(" ".join(phrase(rng.randrange(1, 4))), str(rng.randrange(45))) for _ in range(40)]
+    asked = [(k, " ".join(spoil(w) if rng.random() < 0.4 else w for w in rng.choice(labels + [(b, a) for a, b in terms])[1].split(" "))) for k in range(120)]
+    asked = [(k, " ".join(q.split())) for k, q in asked if q.split()] + [(900, "de"), (901, "mo"), (902, labels[3][1]), (903, "x " + terms[5][0] + " y")]
+    args = [spark.createDataFrame(rows, f"{names}") for rows, names in ((asked, "qid long, text string"), (labels, "id string, label string"), (terms, "term string, id string"))]
+    got = {(r.qid, r.id): r.score for r in M.match_labels(*args, k=100).collect()}
+    want = naive_match(asked, labels, [(t, i) for t, i in terms if int(i) < 40])
+    assert got == want and len(want) > 50
+    assert M.match_labels(args[0].limit(0), *args[1:]).count() == 0
+
+
+def test_field_terms_have_their_fields_weight(spark):
+    from quarry.operators import catalogues as C
+
+    rows = spark.createDataFrame([(1, "capacete viseira moto", "moto farol aceso")], "id long, title string, body string")
+    got = {r.term: r.w for r in C.field_terms(rows, "id", {"title": 5, "body": 2}).collect()}
+    assert got == {"capacete": 5, "viseira": 5, "moto": 5, "farol": 2, "aceso": 2}
+
+
+def test_longest_key_of_several_words(spark):
+    q = spark.createDataFrame([(1, "motorista de reino unido aqui"), (2, "reino")], "qid long, text string")
+    keys = spark.createDataFrame([(7, "Reino Unido"), (8, "unido"), (9, "reino")], "id long, key string")
+    assert {r.qid: r.id for r in M.longest_key(q, keys).collect()} == {1: 7, 2: 9}
