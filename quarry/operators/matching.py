@@ -89,13 +89,15 @@ def match_labels(questions: DataFrame, items: DataFrame, aliases: DataFrame, lea
 
     questions(qid, text), items(id, label), aliases(term, id). An alias that stands in the question scores 98, one that
     resembles it two more than their similarity, 97 at most, a label its similarity, or 100 if it is the question; of
-    several the best counts. Questions without a word that counts match exact aliases only.
+    several the best counts. Questions without a word that counts match exact aliases only. Questions of one form are
+    matched once.
     """
     named = items.select("id", match_form("label").alias("form"), F.lit(False).alias("alias"))
     known = aliases.join(items.select("id"), "id", "left_semi").select("id", match_form("term").alias("form"), F.lit(True).alias("alias"))
     entries = named.unionByName(known).where("form != ''").distinct().withColumn("words", label_words(F.col("form")))
     entries = entries.withColumn("eid", F.xxhash64("form"))
-    asked = questions.select("qid", match_form("text").alias("form")).where("form != ''").withColumn("words", label_words(F.col("form")))
+    named_forms = questions.select(F.col("qid").alias("_q"), match_form("text").alias("form")).where("form != ''")
+    asked = named_forms.select("form").distinct().withColumns({"words": label_words(F.col("form")), "qid": F.col("form")})
     longest = entries.where("alias").agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1
     runs = asked.select("qid", F.explode(word_runs(F.col("form"), longest)).alias("form"))
     exact = runs.join(entries.where("alias").select("form", "id"), "form").select("qid", "id", F.lit(98).cast("long").alias("score"), F.lit("exact alias").alias("method"))
@@ -108,7 +110,8 @@ def match_labels(questions: DataFrame, items: DataFrame, aliases: DataFrame, lea
     best = found.groupBy("qid", "id").agg(F.max(F.struct("score", "method")).alias("m"))
     labels = items.groupBy("id").agg(F.min("label").alias("label"))
     out = best.join(labels, "id").select("qid", "id", "m.score", "m.method", "label")
-    return rank_by(out, "qid", F.col("score").desc(), F.col("label"), F.col("id"), k=k)
+    ranked = rank_by(out, "qid", F.col("score").desc(), F.col("label"), F.col("id"), k=k)
+    return named_forms.join(ranked.withColumnRenamed("qid", "form"), "form").select(F.col("_q").alias("qid"), "id", "score", "method", "label", "rank")
 
 
 def word_runs(form: Column, longest: int = 5) -> Column:
