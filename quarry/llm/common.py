@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -74,6 +75,13 @@ def release(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of jobs that are done. It learns of them when the driver's JVM collects
+    garbage, which a driver with memory to spare may put off for long while disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of so many rows: what a worker makes of texts at once is small, whatever the session sends."""
     for b in batches:

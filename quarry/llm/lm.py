@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HEAVY, materialize, release, schema_of, slices
+from quarry.llm.common import materialize, release, schema_of, slices, sweep
 from quarry.llm.quality import remainder
 
 #: Symbols of a context at most.
@@ -36,7 +36,9 @@ SMOOTH = 8.0
 #: Added to every count of the base.
 ADD = 0.1
 #: Words of 64 bits of a Bloom filter. A small filter lets more strings through, which costs exchange and changes nothing.
-BLOOM = 1 << 20
+BLOOM = 1 << 19
+#: The most frequent strings of the tree, whose values are sent out; the others' stay where they are and are asked for.
+HOT = 1 << 18
 
 #: Distinct tokens or strings that a task holds before it hands them on, and tokens that it takes at once.
 _HELD, _CHUNK = 300_000, 1 << 18
@@ -106,9 +108,9 @@ class Bloom:
         bits = [(F.pmod(F.shiftrightunsigned(key, 20 * k + 4), F.lit(BLOOM)), F.shiftrightunsigned(key, 6 * k)) for k in range(3)]
         each = F.explode(F.array(*[F.struct(at.alias("at"), F.expr("1L").alias("one"), n.bitwiseAND(F.lit(63)).cast("int").alias("n")) for at, n in bits]))
         spots = keys.select(each.alias("s")).select("s.at", F.expr("shiftleft(s.one, s.n)").alias("bit"))
-        found = spots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+        found = spots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
         self.words = np.zeros(BLOOM, np.int64)
-        self.words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        self.words[found["at"].to_numpy()] = found["bits"].to_numpy()
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         words, out = self.words.view(np.uint64), np.ones(len(keys), bool)
@@ -168,10 +170,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom) -> DataFrame:
-    """(ctx, suf, x, c): how often each symbol follows those strings of ``depth`` symbols that the filter lets through.
-
-    ctx is the string's hash, suf that of the string without its first symbol.
-    """
+    """(ctx, x, c): how often each symbol follows those strings of ``depth`` symbols, by hash, that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -181,13 +180,13 @@ def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom) -
                 at = at[known.may_hold(h[-1][at - 1])]
                 ctx, x = h[-1][at - 1].view(np.int64), s[at]
                 order = np.lexsort((x, ctx))
-                ctx, x, suf = ctx[order], x[order], h[-2][at - 1].view(np.int64)[order]
+                ctx, x = ctx[order], x[order]
                 new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])])[: len(x)])
                 c = np.diff(np.append(new, len(x)))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ctx[new], suf[new], x[new], c)], names=["ctx", "suf", "x", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ctx[new], x[new], c)], names=["ctx", "x", "c"])
 
-    counted = train.mapInArrow(run, "ctx bigint, suf bigint, x bigint, c bigint")
-    return counted.groupBy("ctx", "suf", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_NEXT)
+    counted = train.mapInArrow(run, "ctx bigint, x bigint, c bigint")
+    return counted.groupBy("ctx", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_NEXT)
 
 
 def _hashed(nexts: DataFrame, first: bool) -> DataFrame:
@@ -237,19 +236,21 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
     base has the symbols' log10 probabilities, counts their training counts.
     """
     spark = train.sparkSession
-    alphabet = spark.createDataFrame([*zip(range(len(base)), base.tolist())], "x bigint, q double")  # ALPHABET and two at most
-    totals = spark.createDataFrame([*zip(range(len(counts)), counts.tolist())], f"ctx bigint, t bigint").where(F.col("t") >= LEAST_CONTEXT)
+    alphabet = spark.createDataFrame(pa.table({"x": np.arange(len(base)), "q": base}))  # ALPHABET and two at most
+    totals = spark.createDataFrame(pa.table({"ctx": np.arange(len(counts)), "t": counts})).where(F.col("t") >= LEAST_CONTEXT)
     pairs = _pairs(train, start, rare).join(F.broadcast(totals), "ctx").join(F.broadcast(alphabet), "x")
     level = materialize(grow(_hashed(pairs, True)))
+    sweep(spark)
     left = np.zeros(len(counts))
-    kept = level.where("keep").groupBy("ctx").agg(F.first("left").alias("left")).toPandas()
-    left[kept["ctx"].to_numpy(np.int64)] = kept["left"].to_numpy()
+    kept = level.where("keep").groupBy("ctx").agg(F.first("left").alias("left")).toArrow()
+    left[kept["ctx"].to_numpy()] = kept["left"].to_numpy()
     levels, values = [level], [level.where("keep").select("g", F.col("delta").alias("v"), F.col("c").alias("n"))]
     for d in range(2, depth + 1):
-        able = level.where(F.col("c") >= LEAST_CONTEXT).select(F.col("g").alias("ctx"), F.col("c").alias("t"))
+        able = level.where(F.col("c") >= LEAST_CONTEXT).select(F.col("g").alias("ctx"), F.col("c").alias("t"), F.col("gs").alias("suf"))
         shorter = level.select(F.col("g").alias("gs"), F.col("lp").alias("q"))
         found = _longer(train, start, rare, d, Bloom(able, "ctx")).join(able, "ctx")
         level = materialize(grow(_hashed(found, False).join(shorter, "gs")))
+        sweep(spark)
         levels.append(level)
         values.append(level.where("keep").select("g", F.col("delta").alias("v"), F.col("c").alias("n")))
         values.append(level.where("keep").groupBy("ctx").agg(F.first("left").alias("v"), F.first("t").alias("n")).withColumnRenamed("ctx", "g"))
@@ -258,21 +259,21 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
         every = every.unionByName(v)
     out = materialize(every.groupBy("g").agg(F.sum("v").alias("v"), F.max("n").alias("n")))
     release(*levels)
+    sweep(spark)
     return left, out
 
 
 def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np.ndarray, start: int, rare: int, longest: int) -> DataFrame:
     """(rid, m): the sum over each text's tokens of base and tree, the class as one symbol.
 
-    Strings with more than one in HEAVY occurrences of all are looked up where they are read.
+    The HOT most frequent strings are looked up where they are read, so that none of them fills a task.
     """
     spark = encoded.sparkSession
-    total = values.agg(F.sum("n")).first()[0] or 0
-    much = F.col("n") * HEAVY > total
-    top = values.where(much).select("g", "v").toPandas()  # fewer than HEAVY
-    order = np.argsort(top["g"].to_numpy(np.int64).view(np.uint64))
-    hot, worth = top["g"].to_numpy(np.int64).view(np.uint64)[order], np.append(top["v"].to_numpy(float)[order], 0.0)
-    shared = spark.sparkContext.broadcast((Bloom(values.where(~much), "g"), left, base, hot, worth))
+    top = values.orderBy(F.col("n").desc(), "g").limit(HOT).select("g", "v").toArrow()
+    hot = top["g"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    hot, worth = hot[order], np.append(top["v"].to_numpy().astype(float)[order], 0.0)
+    shared = spark.sparkContext.broadcast((Bloom(values, "g"), left, base, hot, worth))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,33 +288,35 @@ def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np
                 keys, owner = [], []
                 for k, h in enumerate(strings(s, longest)[1:], 1):
                     at = np.flatnonzero(place >= k)
-                    spot = np.searchsorted(hot, h[at])
-                    spot[hot[np.minimum(spot, len(hot) - 1)] != h[at] if len(hot) else slice(None)] = len(hot)
-                    sums += np.bincount(text[at] - first, worth[spot], many)
                     at = at[bloom.may_hold(h[at])]
+                    spot = np.minimum(np.searchsorted(hot, h[at]), max(0, len(hot) - 1))
+                    here = hot[spot] == h[at] if len(hot) else np.zeros(len(at), bool)
+                    sums += np.bincount(text[at[here]] - first, worth[spot[here]], many)
+                    at = at[~here]
                     keys.append(h[at])
-                    owner.append(text[at])
-                key, rid = np.concatenate(keys), rids[np.concatenate(owner)]
-                order = np.lexsort((rid, key))
-                key, rid = key[order], rid[order]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])])[: len(key)])
+                    owner.append(text[at] - first)
+                key, who = np.concatenate(keys), np.concatenate(owner).astype(np.uint8)  # a slice has 250 texts
+                order = np.lexsort((who, key))
+                key, who = key[order], who[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])[: len(key)])
                 times = np.diff(np.append(new, len(key))).astype(np.int32)
-                key, rid = key[new].view(np.int64), rid[new]
+                key, who = key[new].view(np.int64), who[new]
                 part = ((key.view(np.uint64) >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(part) else []
-                blobs = [[x[r].tobytes() for r in rows] for x in (key, rid, times)]
-                on = [int(part[r[0]]) for r in rows] + [first % parts]  # texts' own sums go along, without keys
-                for x, last in zip(blobs, (b"", rids[first : first + many].tobytes(), sums.tobytes())):
+                blobs = [[x[r].tobytes() for r in rows] for x in (key, who, times)]
+                on = [int(part[r[0]]) for r in rows] + [int(rids[first]) % parts]  # texts' own sums go along, without keys
+                for x, last in zip(blobs, (b"", b"", sums.tobytes())):
                     x.append(last)
-                yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "keys", "rids", "times"])
+                blobs.append([rids[first : first + many].tobytes()] * len(on))
+                yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "keys", "who", "times", "rids"])
 
     def answered(asked: pa.Table, table: pa.Table) -> pa.Table:
         g, v = table.column("g").to_numpy(), table.column("v").to_numpy()
         order = np.argsort(g)
         g, v = g[order], v[order]
         sums = [(np.empty(0, np.int64), np.empty(0))]
-        for keys, rids, times in zip(*(asked.column(c).to_pylist() for c in ("keys", "rids", "times"))):
+        for keys, who, times, rids in zip(*(asked.column(c).to_pylist() for c in ("keys", "who", "times", "rids"))):
             rid = np.frombuffer(rids, np.int64)
             if not keys:
                 sums.append((rid, np.frombuffer(times, np.float64)))
@@ -321,12 +324,12 @@ def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np
                 key = np.frombuffer(keys, np.int64)
                 at = np.minimum(np.searchsorted(g, key), len(g) - 1)
                 hit = np.flatnonzero(g[at] == key)
-                kinds, back = np.unique(rid[hit], return_inverse=True)
-                sums.append((kinds, np.bincount(back, v[at[hit]] * np.frombuffer(times, np.int32)[hit], len(kinds))))
+                got = np.bincount(np.frombuffer(who, np.uint8)[hit], v[at[hit]] * np.frombuffer(times, np.int32)[hit], len(rid))
+                sums.append((rid[got != 0], got[got != 0]))
         return pa.table({"rid": np.concatenate([x for x, _ in sums]), "m": np.concatenate([x for _, x in sums])})
 
-    asked = encoded.select("rid", "ids").mapInArrow(sent, "part int, keys binary, rids binary, times binary").groupBy("part")
-    held = values.where(~much).select(F.pmod(F.shiftrightunsigned("g", 7), F.lit(parts)).cast("int").alias("part"), "g", "v").groupBy("part")
+    asked = encoded.select("rid", "ids").mapInArrow(sent, "part int, keys binary, who binary, times binary, rids binary").groupBy("part")
+    held = values.select(F.pmod(F.shiftrightunsigned("g", 7), F.lit(parts)).cast("int").alias("part"), "g", "v").groupBy("part")
     return asked.cogroup(held).applyInArrow(answered, "rid bigint, m double").groupBy("rid").agg(F.sum("m").alias("m"))
 
 
@@ -342,10 +345,12 @@ def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text",
     uni = materialize(unigrams(src.where("not held_out")))
     n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     whole = n + ADD * (v + 1)
-    top = uni.where(F.col("c") >= LEAST_SYMBOL).orderBy(F.col("c").desc(), "token").limit(ALPHABET).toPandas()
-    places, c = {bytes(w): i for i, w in enumerate(top["token"])}, top["c"].to_numpy(np.int64)
+    top = uni.where(F.col("c") >= LEAST_SYMBOL).orderBy(F.col("c").desc(), "token").limit(ALPHABET).toArrow()
+    places, c = {w: i for i, w in enumerate(top["token"].to_pylist())}, top["c"].to_numpy().astype(np.int64)
+    del top
     rare, start = len(places), len(places) + 1
     encoded = materialize(_encode(src, places))
+    sweep(docs.sparkSession)
     p = (c + ADD) / whole
     base = np.log10(np.append(p, [max(1 - p.sum(), 1e-12), 1.0]))  # of the class and, never asked for, the start
     train = encoded.where("not held_out").select("ids")

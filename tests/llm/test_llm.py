@@ -325,11 +325,12 @@ def naive_tree(rows, depth):
     return out, n, c, kept
 
 
-def test_lm(spark, docs):
+def test_lm(spark, docs, monkeypatch):
     phrases = ["the red fox runs", "a blue fox sits", "the old dog sleeps", "the red dog runs off"]
     rows = [(i, " ".join(rng.choice(phrases) for _ in range(12)) + " " + sentence(3)) for i in range(300)]
     rows += [(500, None), (501, "neverseen words Here"), (501, "neverseen words Here"), (None, "the red fox"), (502, "the red fox runs " * 3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "a.b": F.lit(1), "Score": F.lit(2)})
+    monkeypatch.setattr(lm, "HOT", 5)
     want, n, c, kept = naive_tree(rows, 3)
     assert {len(k) for k in kept} == {1, 2, 3}
     for parts in (7, 1):
