@@ -36,9 +36,11 @@ SMOOTH = 8.0
 #: Added to every count of the base.
 ADD = 0.1
 #: Words of 64 bits of a Bloom filter. A small filter lets more strings through, which costs exchange and changes nothing.
-BLOOM = 1 << 19
+BLOOM = 1 << 20
 #: The most frequent strings of the tree, whose values are sent out; the others' stay where they are and are asked for.
 HOT = 1 << 18
+#: Parts by which strings and values meet, at least; as many as there are shuffle partitions, where that is more.
+PARTS = 64
 
 #: Distinct tokens or strings that a task holds before it hands them on, and tokens that it takes at once.
 _HELD, _CHUNK = 300_000, 1 << 18
@@ -274,7 +276,7 @@ def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np
     order = np.argsort(hot)
     hot, worth = hot[order], np.append(top["v"].to_numpy().astype(float)[order], 0.0)
     shared = spark.sparkContext.broadcast((Bloom(values, "g"), left, base, hot, worth))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, left, base, hot, worth = shared.value
@@ -357,6 +359,7 @@ def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text",
     counts = np.concatenate([c, [n - c.sum(), train.count()]])
     counts[places.get(b"", start + 1) : places.get(b"", start) + 1] = 0  # nothing follows the end
     left, values = tree(train, base, counts, start, rare, depth)
+    sweep(docs.sparkSession)
     sums = _tree_sums(encoded, left, values, base, start, rare, depth + 1)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
