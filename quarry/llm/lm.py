@@ -208,7 +208,7 @@ def _hashed(nexts: DataFrame, first: bool) -> DataFrame:
 
 
 def grow(nexts: DataFrame) -> DataFrame:
-    """nexts(ctx, t, c, q, ...) with keep, left, lp and delta: one depth of the tree.
+    """nexts(ctx, t, c, q, g, gs) with keep, left, lp and delta, and without q: one depth of the tree.
 
     t counts the context, c a stored next of it, q is the next's log10 probability in the next shorter context. Divergence
     test: a context stays if, over its stored nexts and the rest as one event, its count times the divergence from the
@@ -228,7 +228,8 @@ def grow(nexts: DataFrame) -> DataFrame:
     )
     lp = F.when(F.col("keep"), F.log10((c + SMOOTH * q) / (t + SMOOTH))).otherwise(F.col("q"))
     out = nexts.join(per, "ctx").withColumn("lp", lp)  # a context has at most as many nexts as there are symbols
-    return out.withColumn("delta", F.when(F.col("keep"), F.col("lp") - F.col("q") - F.col("left")))
+    delta = F.when(F.col("keep"), F.col("lp") - F.col("q") - F.col("left")).alias("delta")
+    return out.select("ctx", "t", "c", "g", "gs", "keep", "left", "lp", delta)
 
 
 def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rare: int, depth: int = DEPTH) -> tuple[np.ndarray, DataFrame]:
