@@ -28,7 +28,7 @@ def folder(tmp_path_factory):
     """The tables of sf0.001 with nulls, repeats, ties, empty and very long texts added, and columns that clash."""
     rng, to = random.Random(11), tmp_path_factory.mktemp("tables")
     for f in Path(SF).glob("*.parquet"):
-        shutil.copy(f, to / f.name)
+        shutil.copyfile(f, to / f.name)
     docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     item = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()[3]["text"]
     long_ = " ".join(rng.choice(docs)["text"] for _ in range(60))
