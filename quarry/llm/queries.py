@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline: digest columns over the operators' outputs."""
+"""The queries op1 to op13: digest columns over the operators' outputs, and the SQL that expresses them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, embeddings, html, language, linededup, lm, mix, quality, shard, simhash
+from quarry.llm import decontaminate, embeddings, html, kmeans, language, linededup, lm, mix, quality, shard, simhash, spelling, topk
 from quarry.llm.common import arrow_rows, materialize
 from quarry.session import table
 
@@ -110,6 +110,21 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its near words, its form and the root that forms lead to."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20, against all rows."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in one of 16 clusters after three rounds."""
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -121,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_language": op9_language,
     "op10_mix": op10_mix,
+    "op11_spelling": op11_spelling,
+    "op12_topk": op12_topk,
+    "op13_kmeans": op13_kmeans,
 }
 
 _WORDS = (
@@ -128,6 +146,29 @@ _WORDS = (
     " '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 )
 
+
+def _kmeans_sql(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of assigning all vectors to all centroids, then moving these, one common table each."""
+    parts = [
+        """v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+             WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR) NULLS LAST, e) - 1 AS c, e FROM v
+             ORDER BY c LIMIT {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (SELECT rid, vec_id, e, c, d FROM (SELECT v.*, c, list_sum(list_transform(range(1, 65), lambda i:
+            (v.e[i] - c{r}.e[i]) * (v.e[i] - c{r}.e[i])))::BIGINT AS d FROM v, c{r})
+            QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        parts.append(f"""m{r} AS (SELECT c, list(x ORDER BY i) AS e FROM (SELECT c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT
+            AS x FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(e) AS x FROM a{r}) GROUP BY c, i) GROUP BY c)""")
+        parts.append(f"c{r + 1} AS (SELECT c, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (c))")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+        FROM {last} JOIN c{rounds} USING (c)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_decontaminate": f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
@@ -163,4 +204,36 @@ ORACLES: dict[str, str] = {
                      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b),
         d AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY page_id)
         SELECT p.page_id, p.url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages p LEFT JOIN d USING (page_id)""",
+    "op11_spelling": r"""
+        WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
+                     CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+        low AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM runs GROUP BY ALL),
+        bytes AS (SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+                    CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM low),
+        hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h
+                   FROM bytes, crc),
+        words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k
+                  FROM hashed),
+        v AS (SELECT word, sum(k)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        cut AS (SELECT DISTINCT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS z
+                FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        close AS (SELECT x.word, y.word AS near, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+                  UNION SELECT v.word, c.word, c.n FROM v JOIN cut c ON v.word = c.a || c.z
+                  UNION SELECT c.word, v.word, v.n FROM v JOIN cut c ON v.word = c.a || c.z),
+        best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM close GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 5 * v.n THEN best.m END AS form_n,
+                     CASE WHEN best.m >= 5 * v.n THEN (SELECT min(near) FROM close c WHERE c.word = v.word AND c.m = best.m) END AS form
+              FROM v LEFT JOIN best USING (word)),
+        chain AS (WITH RECURSIVE r AS (SELECT word, word AS here, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.form = f.word)
+                  SELECT word, here AS root FROM r WHERE form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN chain USING (word)""",
+    "op12_topk": """
+        WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, coalesce(list_inner_product(q.e[:len(c.e)], c.e[:len(q.e)]), 0)::BIGINT AS score
+              FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_kmeans": _kmeans_sql(),
 }
