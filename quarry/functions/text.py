@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _unmarked() -> tuple[str, str]:
+    """All letters whose canonical decomposition is one character with combining marks, and those characters."""
+    pairs = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]):
+        base = [x for x in unicodedata.normalize("NFD", c) if x not in MARKS]
+        if len(base) == 1 and base[0] != c:
+            pairs[c] = base[0].lower()
+    return "".join(pairs), "".join(pairs.values())
+
+
+#: Combining marks that folding leaves out.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+ACCENTED, PLAIN = _unmarked()
+
 # Patterns and word lists that results depend on.
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaeeeeiiiiooooouuuucnyy"
 CODE = r"(?<![\p{L}\d./-])(\d{3}\s*[-–/.]\s*\d{2}|\d{4}\s*[-–/.]\s*\d|\d{3}\s+\d{2}|\d{5})(?![\p{L}\d./-])"
 CNH = r"(?i)\b(cnh|carteira de habilitação|carteira de motorista)(\s*:?\s*)\d{11}\b"
 PLATE = r"(?i)\b[A-Z]{3}-?\d[A-Z0-9]\d{2}\b|\b[A-Z]{3}\d{2}[A-Z]\d{3}\b"
@@ -34,8 +49,9 @@ STOP_WORDS = (
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents (F01): canonical decomposition without combining marks. Characters that decompose into
+    several others, as Hangul syllables do, stay whole."""
+    return F.translate(F.lower(c), ACCENTED + MARKS, PLAIN)
 
 
 def search_form(c: Column) -> Column:

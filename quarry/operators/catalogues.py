@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.documents import PROCEDURE_MENTION
 from quarry.functions.domains import EMPTY_FACT_QUESTION, fact_question, fact_shortcuts, generic, weight_question
-from quarry.functions.text import ACCENTED, PLAIN, article_number, code, fold, procedure, search_form, tokens, truncate
+from quarry.functions.text import ACCENTED, MARKS, PLAIN, article_number, code, fold, procedure, search_form, tokens, truncate
 from quarry.operators.matching import first_wins, match_labels
 from quarry.operators.retrieval import fielded_search, fuzzy_terms, osa, rank_by
 
@@ -181,7 +181,7 @@ def windows_of(text: str, limit: int) -> list[tuple[int, int]]:
         start = starts[0] if starts else near
 
 
-_FOLD = str.maketrans(ACCENTED, PLAIN)
+_FOLD = str.maketrans(ACCENTED, PLAIN, MARKS)
 
 
 def resembling(term: str, words: list[str]) -> dict[str, float]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from quarry.functions.stemming import analysed
 from quarry.functions.text import fold, search_form
 
 #: Vectors of one query block; more queries make more passes, never a larger broadcast.
@@ -52,10 +53,14 @@ def rank_by(df: DataFrame, key: str, *order: Column, k: int | None = None) -> Da
 
 
 def prefix_terms(terms: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
-    """(term, word): longer words that begin with a term of ``least`` letters or more (R04): an equi join on prefixes."""
-    cuts = F.transform(F.sequence(F.lit(least), F.length("word") - 1), lambda n: F.left(F.col("word"), n))
-    starts = words.select("word").distinct().where(F.length("word") > least).select("word", F.explode(cuts).alias("term"))
-    return terms.select("term").distinct().where(F.length("term") >= least).join(starts, "term").select("term", "word")
+    """(term, word): longer words that begin with a term of ``least`` letters or more.
+
+    Words and terms meet in an equi join on their first ``least`` letters, so prefixes of words that no term asks for are not built.
+    """
+    head = lambda c: F.left(c, F.lit(least)).alias("head")
+    asked = terms.select("term").distinct().where(F.length("term") >= least).select("term", head(F.col("term")))
+    longer = words.select("word").distinct().where(F.length("word") > least).select("word", head(F.col("word")))
+    return asked.join(longer, "head").where(F.startswith("word", "term") & (F.col("word") != F.col("term"))).select("term", "word")
 
 
 def lexical_topk(queries: DataFrame, places: DataFrame, k: int = 10, by: str | None = None) -> DataFrame:
@@ -316,3 +321,39 @@ def fielded_search(queries: DataFrame, fields: DataFrame, n_docs: int, k: int =
     per = per.withColumn("top", F.max("coverage").over(best)).where("coverage = top")
     per = per.withColumn("high", F.max("score").over(best)).where("score >= 0.45 * high")
     return rank_by(per.select("qid", "id", "coverage", "score"), "qid", F.round("score", 9).desc(), F.col("id"), k=k)
+
+
+def written_places(docs: DataFrame, id_col: str, text_col: str, weight: float = 1.0) -> DataFrame:
+    """(id, word, n, w, size): how often each lower-case word, accents kept, occurs in a field of that weight, and the
+    field's words (R05)."""
+    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    each = docs.select(F.col(id_col).alias("id"), words.alias("words")).select("id", F.size("words").alias("size"), F.explode("words").alias("word"))
+    return each.groupBy("id", "word", "size").agg(F.count("*").alias("n")).withColumn("w", F.lit(weight))
+
+
+def stemmed_topk(questions: DataFrame, places: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, id, coverage, n_words, score, rank): documents by the question's words that they have in any form, then by
+    density (R01 to R03, R06).
+
+    questions(qid, word), places(id, word, n, w, size). A word stands for its stems with and without accents (see analysed);
+    words with the same stems are one, words without stems (stop words) none, and a question without stems has no list.
+    Stems of four letters or more also stand for words whose stems they begin; these count for density only. Questions are
+    expanded to words of the vocabulary by joins on stems, so postings keep their words and are met once.
+    """
+    asked = analysed(questions.select("word")).where(F.size("stems") > 0)
+    asked = asked.select("word", F.array_join(F.array_sort("stems"), " ").alias("unit"), "stems")
+    asked = questions.select("qid", "word").distinct().join(asked, "word").select("qid", "unit", "stems").distinct()
+    size = asked.groupBy("qid").agg(F.count("*").alias("n_words"))
+    units = asked.select("unit", F.explode("stems").alias("stem")).distinct().withColumn("head", F.left("stem", F.lit(4)))
+    known = analysed(places.select("word")).select("word", F.explode("stems").alias("known")).withColumn("head", F.left("known", F.lit(4)))
+    same = F.col("stem") == F.col("known")
+    match = units.join(known, "head").where(same | (F.length("stem") >= 4) & F.startswith("known", "stem"))
+    match = match.groupBy("unit", "word").agg(F.max(F.when(same, F.col("unit"))).alias("covers"))
+    words = asked.select("qid", "unit").join(match, "unit").groupBy("qid", "word").agg(F.collect_set("covers").alias("covers"))
+    hits = words.join(places, "word").groupBy("qid", "id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("coverage"), F.sum(F.col("n") * F.col("w")).alias("d"), F.max("size").alias("size")
+    )
+    hits = hits.join(size, "qid").where(F.col("coverage") >= needed(F.col("n_words")))
+    d = F.col("d") / F.log(1 + F.greatest(F.col("size"), F.lit(1)))
+    scored = hits.select("qid", "id", "coverage", "n_words", (F.col("coverage") + d / (1 + d)).alias("score"))
+    return rank_by(scored, "qid", F.col("coverage").desc(), F.round("score", 9).desc(), F.col("id"), k=k)

@@ -9,7 +9,7 @@ from quarry.functions import text as T
 from quarry.operators import rules
 from quarry.plans.base import Tables, query
 
-FOLD = f"translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}')"
+FOLD = "strip_accents(lower(text))"
 
 
 @query("f01_fold", f"SELECT doc_id, md5({FOLD}) AS folded FROM documents")
