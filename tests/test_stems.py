@@ -48,7 +48,7 @@ def test_both_forms_and_stop_words(spark):
 
 
 def test_fold_is_canonical_decomposition(spark):
-    every = [chr(n) for n in range(0x20, 0x3000)]
+    every = [c for c in map(chr, range(0x20, 0x3000)) if unicodedata.category(c) != "Cn"]
     marks = set(T.MARKS)
     rows = spark.createDataFrame([(k, c) for k, c in enumerate([*every, "é", "ÀÉÎÕŪ", "ǖ", "Ệ"])], "k int, c string")
     got = {r.c: r.f for r in rows.select("c", T.fold(F.col("c")).alias("f")).collect()}
