@@ -166,19 +166,30 @@ def weight_passages(questions: DataFrame, passages: DataFrame, k: int = 5) -> Da
 
 
 def windows_of(text: str, limit: int) -> list[tuple[int, int]]:
-    """Overlapping windows of at most ``limit`` letters that start and end at breaks where there are any."""
-    out, start, n = [], 0, len(text)
-    while True:
-        end = min(n, start + limit)
-        if end < n:
-            brk = max(text.rfind("\n", 0, end + 1), text.rfind(" ", 0, end + 1))
-            end = brk if brk > start + limit / BREAK_SHARE else end
-        out.append((start, end))
-        if end == n:
-            return out
+    """Overlapping windows of at most ``limit`` letters that start and end at breaks where there are any.
+
+    All breaks are found once; windows are searched among their places: a window ends at the last break that it reaches, if
+    that is far enough, and the next begins behind the first line feed, else space, of its last part.
+    """
+    letters = np.array([text]).view(np.uint32)[: len(text)] if text else np.empty(0, np.uint32)
+    feeds, every = np.flatnonzero(letters == 10), np.flatnonzero((letters == 10) | (letters == 32))
+
+    def end_of(start: int) -> int:
+        reach = start + limit
+        at = int(np.searchsorted(every, reach, "right")) - 1
+        far = at >= 0 and every[at] - start > limit / BREAK_SHARE
+        return len(text) if reach >= len(text) else int(every[at]) if far else reach
+
+    def start_after(start: int, end: int) -> int:
         near = max(start + 1, end - limit // OVERLAP)
-        starts = [p + 1 for p in (text.find("\n", near, end), text.find(" ", near, end)) if p >= 0]
-        start = starts[0] if starts else near
+        ahead = (places[i] for places in (feeds, every) if (i := np.searchsorted(places, near)) < len(places) and places[i] < end)
+        return int(next(ahead, near - 1)) + 1
+
+    out = [(0, end_of(0))]
+    while out[-1][1] < len(text):
+        start = start_after(*out[-1])
+        out.append((start, end_of(start)))
+    return out
 
 
 _FOLD = str.maketrans(ACCENTED, PLAIN, MARKS)

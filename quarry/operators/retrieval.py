@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from quarry.functions.questions import concepts
 from quarry.functions.stemming import analysed
-from quarry.functions.text import fold, search_form
+from quarry.functions.text import fold, search_form, tokens
 
 #: Vectors of one query block; more queries make more passes, never a larger broadcast.
 BLOCK = 4096
+#: Groups of a question that are searched.
+GROUPS = 24
+# Endings of verb forms, and words that alone ask for nothing.
+VERB_ENDINGS = "(?:ando|endo|indo|ados|adas|ado|ada|ar|er|ir)$"
+GENERIC = r"^(sem|nao|\d+)$"
 #: Letters by which questions and titles meet.
 HEAD = 12
 
@@ -272,26 +278,34 @@ def deletion_forms(word: Column, twice: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, F.when(twice, two).otherwise(F.array().cast("array<string>"))))
 
 
+def verb_form(word: Column) -> Column:
+    """What a long word has before the ending of a productive verb form; short words stay whole."""
+    return F.when(F.length(word) >= 7, F.regexp_replace(word, VERB_ENDINGS, "")).otherwise(word)
+
+
 def fuzzy_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(term, word, quality): words of the vocabulary that a query term may stand for.
 
-    Equal 1, prefix of four letters or more 0.88, one typo 0.72, two in long words 0.6; digits are never corrected, and a
-    term that is in the vocabulary takes no typos. Pairs are blocked before any distance is taken: equal terms by an equi
-    join, prefixes by the word's prefixes, typos by deletion neighbourhoods (two strings within d edits share a form with
-    at most d letters left out of each), so no term meets the whole vocabulary.
+    Equal 1, prefix of four letters or more 0.88, another form of the verb 0.86, one typo 0.72, two in long words 0.6; digits
+    are never corrected, and a term that is in the vocabulary takes no typos. Pairs are blocked before any distance is taken:
+    equal terms and verb forms by equi joins, prefixes by their first letters, typos by deletion neighbourhoods (two strings
+    within d edits share a form with at most d letters left out of each), so no term meets the whole vocabulary.
     """
     t, v = terms.select("term").distinct(), vocab.select(F.col("term").alias("word")).distinct()
     exact = t.join(v, F.col("term") == F.col("word")).select("term", "word", F.lit(1.0).alias("quality"))
     letters = ~F.col("term").rlike(r"\d")
     plain = v.where((F.length("word") >= 5) & ~F.col("word").rlike(r"\d"))
     prefix = prefix_terms(t.where(letters), plain).withColumn("quality", F.lit(0.88))
-    open_ = t.where(letters & (F.length("term") >= 5)).join(exact.select("term"), "term", "left_anti")
+    long_ = t.where(letters & (F.length("term") >= 5))
+    forms = long_.select("term", verb_form(F.col("term")).alias("form")).join(plain.select("word", verb_form(F.col("word")).alias("form")), "form")
+    forms = forms.select("term", "word", F.lit(0.86).alias("quality"))
+    open_ = long_.join(exact.select("term"), "term", "left_anti")
     left = open_.select("term", F.explode(deletion_forms(F.col("term"), F.length("term") >= 9)).alias("form"))
     right = plain.select("word", F.explode(deletion_forms(F.col("word"), F.length("word") >= 9)).alias("form"))
     near = left.join(right, "form").select("term", "word").distinct().withColumn("d", osa_distance("term", "word"))
     limit = F.when((F.length("term") >= 9) & (F.length("word") >= 9), 2).otherwise(1)
     typos = near.where((F.col("d") >= 1) & (F.col("d") <= limit)).select("term", "word", F.when(F.col("d") == 1, 0.72).otherwise(0.6).alias("quality"))
-    return exact.unionByName(prefix).unionByName(typos).groupBy("term", "word").agg(F.max("quality").alias("quality"))
+    return exact.unionByName(prefix).unionByName(forms).unionByName(typos).groupBy("term", "word").agg(F.max("quality").alias("quality"))
 
 
 def fuzzy_search(queries: DataFrame, title: DataFrame, body: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
@@ -306,14 +320,49 @@ def fielded_search(queries: DataFrame, fields: DataFrame, n_docs: int, k: int =
     queries(qid, term), fields(id, term, w). A term scores its best field weight x quality x idf in a document;
     documents must cover half of the terms, as many as any other, and reach 45 % of the best score.
     """
+    groups = queries.select("qid", F.col("term").alias("grp"), F.lit(0).alias("alt"), "term", F.lit(1).alias("words"))
+    return grouped_search(groups, fields, n_docs, k)
+
+
+def question_groups(questions: DataFrame) -> DataFrame:
+    """(qid, grp, alt, term, words) of questions(qid, text) (K10): what a question asks for, at most GROUPS things.
+
+    A word outside synonym phrases is a group of its own; a phrase is one group whose alternatives are it and its terms, each
+    of one or more words. Questions of negations and numbers only have no groups (K12).
+    """
+    c = questions.select("qid", concepts(F.col("text")).alias("c"))
+    single = F.transform(tokens(F.col("c.rest")), lambda t: F.array(F.array(t)))
+    phrases = F.transform("c.alternatives", lambda g: F.filter(F.transform(g, tokens), lambda a: F.size(a) > 0))
+    groups = c.select("qid", F.slice(F.filter(F.concat(single, phrases), lambda g: F.size(g) > 0), 1, GROUPS).alias("g"))
+    generic = F.forall("g", lambda g: F.forall(g, lambda a: F.forall(a, lambda t: t.rlike(GENERIC))))
+    each = groups.where(~generic).select("qid", F.posexplode("g").alias("grp", "alts"))
+    each = each.select("qid", "grp", F.posexplode("alts").alias("alt", "terms"))
+    return each.select("qid", "grp", "alt", F.explode("terms").alias("term"), F.size("terms").alias("words"))
+
+
+def concept_search(questions: DataFrame, fields: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
+    """(qid, id, coverage, score, rank): search by concepts (K10): question_groups() of questions(qid, text) in
+    grouped_search(), so synonyms neither multiply a score nor count as further words."""
+    return grouped_search(question_groups(questions), fields, n_docs, k)
+
+
+def grouped_search(groups: DataFrame, fields: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
+    """(qid, id, coverage, score, rank): fielded inverse-frequency search with typo tolerance.
+
+    groups(qid, grp, alt, term, words), fields(id, term, w). A term scores its best field weight x quality x idf in a
+    document. An alternative scores the mean of its words if the document has all of them, a group its best alternative.
+    Documents must cover half of the groups, as many as any other, and reach 45 % of the best score.
+    """
     fields = fields.groupBy("id", "term").agg(F.max("w").alias("w"))
     vocab = fields.groupBy("term").agg(F.count("*").alias("df"))
     idf = 1 + F.log(1 + F.lit(float(n_docs)) / (1 + F.col("df")))
-    match = fuzzy_terms(queries.select("term"), vocab).join(vocab.withColumnRenamed("term", "word"), "word")
+    match = fuzzy_terms(groups.select("term"), vocab).join(vocab.withColumnRenamed("term", "word"), "word")
     match = match.select("term", "word", (F.col("quality") * idf).alias("value"))
-    n = queries.groupBy("qid").agg(F.count("*").alias("n"))
-    hits = queries.join(match, "term").join(fields.withColumnRenamed("term", "word"), "word")
-    per = hits.groupBy("qid", "id", "term").agg(F.max(F.col("value") * F.col("w")).alias("s"))
+    n = groups.groupBy("qid").agg(F.countDistinct("grp").alias("n"))
+    hits = groups.join(match, "term").join(fields.withColumnRenamed("term", "word"), "word")
+    per = hits.groupBy("qid", "id", "grp", "alt", "term").agg(F.max(F.col("value") * F.col("w")).alias("s"), F.max("words").alias("words"))
+    per = per.groupBy("qid", "id", "grp", "alt").agg(F.sum("s").alias("s"), F.count("*").alias("got"), F.max("words").alias("words")).where("got = words")
+    per = per.groupBy("qid", "id", "grp").agg(F.max(F.col("s") / F.col("words")).alias("s"))
     per = per.groupBy("qid", "id").agg(F.sum("s").alias("s"), F.count("*").alias("coverage")).join(n, "qid")
     per = per.withColumn("score", F.col("s") * (0.5 + 0.5 * F.col("coverage") / F.col("n")))
     per = per.where(F.col("coverage") >= F.ceil(F.col("n") / 2))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import STOP_WORDS
 from quarry.operators import retrieval as R
+from quarry.operators.catalogues import field_terms
 from quarry.operators.quality import ranking_metrics
 from quarry.plans.base import Tables, query
 from quarry.plans.scalar import FOLD
@@ -231,6 +233,52 @@ def k10(t: Tables) -> DataFrame:
     return out.select("qid", "id", "coverage", F.round("score", 6).alias("score"), "rank")
 
 
+#: Titles of the catalogue, by turns, and the phrases that questions end with.
+NAMED = ("Motocicleta nova", "Motoneta e ciclomotor", "Acidente de trânsito", "Telefone celular", "Disputa de corrida", "Veículo parado", "Automóvel azul", "Certificado de Licenciamento")
+PHRASES = ("moto", "batida de carro", "celular", "racha", "documento do carro", "carro com zap", "batda acidentes", "sem 12")
+#: Groups of words that the phrases stand for, and the folded words that stand alone.
+CONCEPTS = (
+    "[[['moto'], ['motocicleta'], ['motoneta'], ['ciclomotor']]]", "[[['batida', 'carro'], ['acidente', 'transito']]]", "[[['celular'], ['telefone', 'celular']]]",
+    "[[['racha'], ['disputa', 'corrida'], ['competicao']]]", "[[['documento', 'carro'], ['certificado', 'licenciamento'], ['crlv'], ['licenciamento']]]",
+    "[[['carro'], ['automovel'], ['veiculo']], [['zap'], ['telefone', 'celular']]]", "[]", "[]",
+)
+ALONE = ("[]", "[]", "[]", "[]", "[]", "[]", "['batda', 'acidentes']", "['sem']")
+TOKENS = f"list_distinct(list_filter(regexp_split_to_array({FOLD}, '[^a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})))"
+CASES = lambda key, options: f"CASE {key} % {len(options)} " + " ".join(f"WHEN {k} THEN {o}" for k, o in enumerate(options)) + " END"
+TITLED = CASES("doc_id", [f"'{n}'" for n in NAMED])
+
+
+@query(
+    "k10_concepts",
+    f"WITH b AS (SELECT doc_id AS id, {TOKENS} AS body, {TOKENS.replace('text', TITLED)} AS head FROM documents), nn AS (SELECT count(*) AS nn FROM documents),"
+    " fields AS MATERIALIZED (SELECT id, term, max(w) AS w FROM (SELECT id, unnest(head) AS term, 3.0 AS w FROM b UNION ALL SELECT id, unnest(body), 1.0 FROM b) GROUP BY ALL),"
+    f" q0 AS (SELECT item_id AS qid, list_concat({TOKENS.removeprefix('list_distinct(').removesuffix(')').replace('text', FIRST)}, {CASES('item_id', ALONE)}) AS words, {CASES('item_id', CONCEPTS)}::VARCHAR[][][] AS more FROM benchmark),"
+    " g0 AS (SELECT qid, list_concat(list_transform(list_filter(words, lambda x, i: list_position(words, x) = i), lambda t: [[t]]), more)[:24] AS gs FROM q0),"
+    " g1 AS (SELECT qid, grp, gs[grp] AS alts FROM (SELECT qid, gs, unnest(range(1, len(gs) + 1)) AS grp FROM g0)),"
+    " groups AS MATERIALIZED (SELECT qid, grp, alt, unnest(alts[alt]) AS term, len(alts[alt]) AS words FROM (SELECT *, unnest(range(1, len(alts) + 1)) AS alt FROM g1)),"
+    " v AS MATERIALIZED (SELECT term AS word, count(*) AS df FROM fields GROUP BY 1), t AS MATERIALIZED (SELECT DISTINCT term FROM groups),"
+    f" root AS (SELECT word, df, CASE WHEN length(word) >= 7 THEN regexp_replace(word, '{R.VERB_ENDINGS}', '') ELSE word END AS r FROM v),"
+    f" ask AS (SELECT term, term IN (SELECT word FROM v) AS known, CASE WHEN length(term) >= 7 THEN regexp_replace(term, '{R.VERB_ENDINGS}', '') ELSE term END AS r FROM t),"
+    " m0 AS (SELECT term, word, df, CASE WHEN term = word THEN 1.0 WHEN regexp_matches(term || word, '[0-9]') THEN 0 WHEN length(term) >= 4 AND starts_with(word, term) THEN 0.88"
+    " WHEN length(term) >= 5 AND length(word) >= 5 AND ask.r = root.r THEN 0.86 WHEN known OR length(term) < 5 OR length(word) < 5 OR abs(length(term) - length(word)) > 2 THEN 0"
+    " ELSE CASE damerau_levenshtein(term, word) WHEN 1 THEN 0.72 WHEN 2 THEN CASE WHEN length(term) >= 9 AND length(word) >= 9 THEN 0.6 ELSE 0 END ELSE 0 END END AS quality FROM ask, root),"
+    " m AS MATERIALIZED (SELECT term, word, quality * (1 + ln(1 + nn / (1 + df))) AS value FROM m0, nn WHERE quality > 0),"
+    " p1 AS (SELECT qid, id, grp, alt, groups.term, any_value(words) AS words, max(value * w) AS s FROM groups JOIN m USING (term) JOIN fields ON fields.term = m.word GROUP BY ALL),"
+    " p2 AS (SELECT qid, id, grp, alt, sum(s) / any_value(words) AS s FROM p1 GROUP BY ALL HAVING count(*) = any_value(words)),"
+    " p3 AS (SELECT qid, id, grp, max(s) AS s FROM p2 GROUP BY ALL), n AS (SELECT qid, count(DISTINCT grp) AS n FROM groups GROUP BY 1),"
+    " p4 AS (SELECT qid, id, count(*) AS coverage, sum(s) * (0.5 + 0.5 * count(*) / any_value(n)) AS score, any_value(n) AS n FROM p3 JOIN n USING (qid) GROUP BY ALL),"
+    " p5 AS (SELECT * FROM p4 WHERE coverage >= ceil(n / 2) QUALIFY coverage = max(coverage) OVER (PARTITION BY qid)),"
+    " p6 AS (SELECT * FROM p5 QUALIFY score >= 0.45 * max(score) OVER (PARTITION BY qid))"
+    " SELECT qid, id, coverage, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM p6 QUALIFY rank <= 10",
+)
+def k10_concepts(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", F.expr(TITLED).alias("title"), "text")
+    fields = field_terms(docs, "doc_id", {"title": 3.0, "text": 1.0})
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.concat(F.expr(FIRST), F.lit(" "), F.expr(CASES("item_id", [f"'{p}'" for p in PHRASES]))).alias("text"))
+    out = R.concept_search(asked, fields, t.documents.count())
+    return out.select("qid", "id", F.col("coverage").cast("long").alias("coverage"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "a09_metrics",
     f"WITH {LEX}, e AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text)),"

@@ -163,3 +163,24 @@ def test_longest_key_of_several_words(spark):
     q = spark.createDataFrame([(1, "motorista de reino unido aqui"), (2, "reino")], "qid long, text string")
     keys = spark.createDataFrame([(7, "Reino Unido"), (8, "unido"), (9, "reino")], "id long, key string")
     assert {r.qid: r.id for r in M.longest_key(q, keys).collect()} == {1: 7, 2: 9}
+
+
+def test_concepts_leave_each_other_room(spark):
+    """Spans against a plain version that marks letters one by one."""
+    import random
+
+    def naive(form):
+        found = [(m.start(), m.end(), k) for k, (p, _) in enumerate(Q._RULES) for m in p.finditer(form)]
+        found.sort(key=lambda f: (f[0] - f[1], f[2], f[0]))
+        rest, alternatives = list(form), []
+        for a, b, k in found:
+            if "\0" not in rest[a:b]:
+                alternatives.append([form[a:b], *Q._RULES[k][1]])
+                rest[a:b] = "\0" * (b - a)
+        return {"rest": "".join(rest).replace("\0", " "), "alternatives": alternatives}
+
+    rng = random.Random(3)
+    words = "batida de carro moto celular zap documento do veiculo peso bruto total e sem capacete placa preferencial x".split()
+    for _ in range(300):
+        form = " ".join(rng.choice(words) for _ in range(rng.randrange(12)))
+        assert Q.concepts_of(form) == naive(form)

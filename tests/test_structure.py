@@ -255,3 +255,24 @@ def test_backfill(spark, tmp_path):
 def test_styled_lines(spark):
     got = one(spark, P.styled_lines, "## Título:\n- **a**\n1. b\n\nfim")
     assert [(r.text, r.style) for r in got] == [("Título", "subtitle"), ("• a", "item"), ("1. b", "item"), ("fim", "paragraph")]
+
+
+def test_windows():
+    """Windows cover the text, overlap, end at the last break that they reach, and begin behind a break where there is one."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  \nc" if rng.random() < 0.3 else "abcd") for _ in range(rng.randrange(400)))
+        limit = rng.randrange(6, 60)
+        spans = C.windows_of(text, limit)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text)
+        for (a, b), nxt in zip(spans, [*spans[1:], None]):
+            assert 0 <= b - a <= limit and (b > a or not text)
+            if b < len(text):
+                last = max(text.rfind("\n", 0, a + limit + 1), text.rfind(" ", 0, a + limit + 1))
+                assert b == (last if last > a + limit / C.BREAK_SHARE else a + limit)
+                c, near = nxt[0], max(a + 1, b - limit // C.OVERLAP)
+                part = text[near:b]
+                at = part.find("\n") if "\n" in part else part.find(" ")
+                assert a < c <= b and c == (near + at + 1 if at >= 0 else near)

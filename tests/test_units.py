@@ -1,5 +1,6 @@
 """Golden cases of single operators."""
 
+import math
 import random
 
 import pytest
@@ -199,3 +200,21 @@ def test_sources(spark, tmp_path):
     got = {r.path[-5:]: r for r in files.read_files(spark, str(tmp_path)).collect()}
     assert got["a.bin"].kind == "pdf" and "d.txt" not in got
     assert got["b.txt"].text == got["c.txt"].text == "ação"
+
+
+def test_search_by_concepts(spark):
+    """A phrase is one group; an alternative of two words needs both; verb forms and typos count less than the word."""
+    rows = [(1, "multa", 3.0), (1, "motocicleta", 1.0), (2, "multa", 1.0), (2, "telefone", 1.0), (3, "telefone", 1.0), (3, "celular", 1.0), (3, "multas", 1.0), (4, "transitando", 1.0)]
+    fields = spark.createDataFrame(rows, "id int, term string, w double")
+    asked = spark.createDataFrame([(1, "multa moto"), (2, "multa zap"), (3, "não 12"), (4, "transitar"), (5, ""), (6, None)], "qid int, text string")
+    groups = {(r.qid, r.grp, r.alt, r.term, r.words) for r in retrieval.question_groups(asked).collect()}
+    assert groups == {
+        (1, 0, 0, "multa", 1), (1, 1, 0, "moto", 1), (1, 1, 1, "motocicleta", 1), (1, 1, 2, "motoneta", 1), (1, 1, 3, "ciclomotor", 1),
+        (2, 0, 0, "multa", 1), (2, 1, 0, "zap", 1), (2, 1, 1, "telefone", 2), (2, 1, 1, "celular", 2), (4, 0, 0, "transitar", 1),
+    }
+    got = {(r.qid, r.id, r.coverage): r.score for r in retrieval.concept_search(asked, fields, 4).collect()}
+    idf = lambda df: 1 + math.log(1 + 4 / (1 + df))
+    assert got.keys() == {(1, 1, 2), (2, 3, 2), (4, 4, 1)}
+    assert math.isclose(got[1, 1, 2], 3 * idf(2) + idf(1))
+    assert math.isclose(got[2, 3, 2], 0.88 * idf(1) + (idf(2) + idf(1)) / 2)
+    assert math.isclose(got[4, 4, 1], 0.86 * idf(1))
