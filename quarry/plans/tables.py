@@ -243,11 +243,10 @@ def t01(t: Tables) -> DataFrame:
 
 
 def _stream(t: Tables, what: str, mode: str) -> DataFrame:
-    import tempfile
     import uuid
 
+    from quarry.plans.streams import stream_dir
     from quarry.streaming import usage as S
 
-    where = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-stream-")
     name = f"quarry_{uuid.uuid4().hex}"
-    return S.drain(getattr(S, what)(S.read_events(t.spark, t.sf_dir)), name, mode, f"{where}/{name}")
+    return S.drain(getattr(S, what)(S.read_events(t.spark, t.sf_dir)), name, mode, f"{stream_dir(t)}/{name}")
