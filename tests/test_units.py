@@ -111,19 +111,25 @@ def test_fines(spark):
     assert [*got] == [0, 532, 1596, 4256, 26 * 5320]
 
 
-def test_chunks():
+def cut(spark, text, **how):
+    rows = chunk.chunks(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text", **how).orderBy("ord").collect()
+    assert [r.ord for r in rows] == list(range(len(rows)))
+    return [r.asDict() for r in rows]
+
+
+def test_chunks(spark):
     text = "CAPÍTULO I\nArt. 164. " + "um texto longo. " * 3 + "\nArt. 165. velha redação do artigo aqui\nArt. 165. nova redação do artigo aqui\n[[pagina:2]]\nArt. 165-A. outra regra que vale."
-    got = chunk.chunk_text(text)
+    got = cut(spark, text)
     assert [c["label"] for c in got] == ["art. 164", "art. 165", "art. 165-A"]
     assert "nova" in got[1]["text"] and got[2]["page"] == 2
-    assert all(len(c["text"]) <= 100 for c in chunk.chunk_text("palavra " * 500, cap=100))
-    assert chunk.chunk_text(None) == [] and chunk.pack([5, 5, 5], 10) == [0, 0, 1]
+    assert all(len(c["text"]) <= 100 for c in cut(spark, "palavra " * 500, cap=100))
+    assert cut(spark, None) == [] and chunk.pack([5, 5, 5], 10) == [0, 0, 1]
 
 
-def test_chunks_keep_other_articles():
+def test_chunks_keep_other_articles(spark):
     """Annexes that number anew and a wrapped reference take nothing from the body."""
     text = "Art. 1º Regra do corpo da norma.\n\nArt. 2º Outra regra, nos termos do\nart. 1º desta norma aqui.\n\nANEXO I\n\nArt. 1º Regra do primeiro anexo.\n\nANEXO II\n\nArt. 1º Regra do segundo anexo."
-    got = [(c["label"], c["section"], c["text"]) for c in chunk.chunk_text(text)]
+    got = [(c["label"], c["section"], c["text"]) for c in cut(spark, text)]
     assert got == [
         ("art. 1", None, "Art. 1º Regra do corpo da norma."),
         ("art. 2", None, "Art. 2º Outra regra, nos termos do art. 1º desta norma aqui."),
@@ -144,36 +150,68 @@ def test_old_wordings():
             if d is None:
                 continue
             for i in range(j - 1, -1, -1):
-                e = -1 if units[i]["kind"] == "heading" else depth.get(units[i]["kind"], 9)
+                e = -1 if units[i]["kind"] == "title" else depth.get(units[i]["kind"], 9)
                 if e < d:
                     break
                 if e == d:
-                    inside = d == 0 or "article" in [x["kind"] for x in units[max([k for k in range(i) if units[k]["kind"] == "heading"], default=0) : i]]
+                    inside = d == 0 or "article" in [x["kind"] for x in units[max([k for k in range(i) if units[k]["kind"] == "title"], default=0) : i]]
                     if inside and units[i]["text"] == u["text"]:
                         return naive(units[:i] + units[j:])
                     break
         return units
 
     rng = random.Random(5)
-    lines = [("heading", "ANEXO I")] + [("article", f"Art. {k}.") for k in (1, 2)] + [("paragraph", f"§ {k}º") for k in (1, 2)] + [("clause", f"{k} - x") for k in ("I", "II")] + [("text", "y")]
+    lines = [("title", "ANEXO I")] + [("article", f"Art. {k}.") for k in (1, 2)] + [("paragraph", f"§ {k}º") for k in (1, 2)] + [("clause", f"{k} - x") for k in ("I", "II")] + [("text", "y")]
     for _ in range(300):
         units = [{"kind": k, "text": t, "n": n} for n, (k, t) in enumerate(rng.choice(lines) for _ in range(rng.randrange(30)))]
-        assert chunk.without_old_wordings(units) == naive(units)
+        kept = chunk.without_old_wordings([u["kind"] for u in units], [u["text"] for u in units])
+        assert [units[k] for k in kept] == naive(units)
 
 
-def test_chunk_levels_and_sections():
+def test_chunk_levels_and_sections(spark):
     text = "\n\n".join(["Art. 162. Dirigir veículo:", "V - com validade vencida;", "V - com carteira cassada;", "§ 1º Texto antigo.", "I - inciso antigo;", "§ 1º Texto atual."])
-    assert chunk.chunk_text(text)[0]["text"].split("\n") == ["Art. 162. Dirigir veículo:", "V - com carteira cassada;", "§ 1º Texto atual."]
+    assert cut(spark, text)[0]["text"].split("\n") == ["Art. 162. Dirigir veículo:", "V - com carteira cassada;", "§ 1º Texto atual."]
     long = "Art. 181. Estacionar o veículo:\n" + "\n".join(f"{k} - em local e horário proibidos pela sinalização;" for k in ("I", "II", "III"))
-    assert [c["label"] for c in chunk.chunk_text(long, cap=90)] == ["art. 181", "art. 181 II", "art. 181 III"]
+    assert [c["label"] for c in cut(spark, long, cap=90)] == ["art. 181", "art. 181 II", "art. 181 III"]
     pop = "[[pagina:1]]\nPOP 1.01 - ABORDAGEM\n\n1. FINALIDADE\nPadronizar a abordagem em via pública.\n\n[[pagina:2]]\n3. SEQUÊNCIA DAS AÇÕES\n1. Informar à central o local.\n\n3.1 Da busca pessoal\nO segurança mantém a cobertura."
-    assert [(c["section"], c["page"]) for c in chunk.chunk_text(pop, mode="secoes")] == [
+    assert [(c["section"], c["page"]) for c in cut(spark, pop, mode="secoes")] == [
         ("POP 1.01 - ABORDAGEM › 1. FINALIDADE", 1),
         ("POP 1.01 - ABORDAGEM › 3. SEQUÊNCIA DAS AÇÕES", 2),
         ("3. SEQUÊNCIA DAS AÇÕES › 3.1 Da busca pessoal", 2),
     ]
 
 
+def test_long_units_are_cut_once(spark):
+    """Whatever is cut: no letter is lost, pieces fit, and sentences are packed as full as they go."""
+    import re
+
+    rng = random.Random(7)
+    for _ in range(200):
+        words = ["".join(rng.choice("abc") for _ in range(rng.choice((1, 3, 9, 40)))) + rng.choice(("", "", ".", "!", ";")) for _ in range(rng.randrange(1, 60))]
+        text, cap = " ".join(words), rng.randrange(50, 90)
+        pieces = chunk.fitted(text, cap)
+        assert re.sub(r"\s", "", "".join(pieces)) == re.sub(r"\s", "", text) and all(0 < len(p) <= cap for p in pieces)
+        whole = chunk.sentences(text)
+        for one, two in zip(pieces, pieces[1:]):
+            if set(chunk.sentences(one) + chunk.sentences(two)) <= set(whole):
+                assert len(one) + 1 + len(chunk.sentences(two)[0]) > cap
+    assert chunk.sentences("Ver art. 5 da lei. O Sr. A. foi! Fim") == ["Ver art. 5 da lei.", "O Sr. A. foi!", "Fim"]
+    assert chunk.reflowed(["subme-", "tido", "chama-", "se Já-", "Fim"]) == "submetido chama-se Já- Fim"
+    assert chunk.reflowed(["CAPÍTULO I", "DAS PENAS", "e multas", "(Vide)"], True) == "CAPÍTULO I — DAS PENAS e multas — (Vide)"
+
+
+def test_sections_are_the_two_last_levels():
+    """Against a stack from which each heading takes those as deep as itself or deeper."""
+    rng = random.Random(8)
+    for _ in range(200):
+        levels = [rng.randrange(5) for _ in range(rng.randrange(12))]
+        stack, want = [], []
+        for k, d in enumerate(levels):
+            stack = [x for x in stack if levels[x] < d] + [k]
+            want.append(" › ".join(str(x) for x in stack[-2:]))
+        assert chunk.sections_of(levels, [str(k) for k in range(len(levels))]) == want
+
+
 def test_fuzzy_search_asks_every_word(spark):
     from types import SimpleNamespace
 
