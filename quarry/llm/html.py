@@ -2,7 +2,7 @@
 
 Of each page, elements that are no article text by their kind (menus, footers, forms and the like) go. Text in an article
 or main element is guarded. All other text of all pages of a host is searched for long substrings that distinct pages
-share; they go and the unique runs stay. Then the page is its guarded text, unless more is left outside of it.
+share; they go and the unique runs stay. A page is its guarded text; one without any is what is left of the rest.
 """
 
 from __future__ import annotations
@@ -39,13 +39,15 @@ _BLOCK = frozenset(
 )
 _DROP = frozenset("nav footer aside form button dialog menu head search fieldset object canvas audio video".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Containers that such a class or id, as a whole, marks as something else than the article.
-_BOXES = frozenset("div section ul ol table center ins".split())
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment-list comments cookie-banner cookie-notice footer"
-    " header menu nav navbar navigation newsletter notice pagination promo share share-bar sidebar site-footer site-header"
-    " social sponsored".split()
+#: Containers that such a class or id, as a whole, marks as something else than the article: adverts and widgets anywhere,
+#: and outside articles also the page's furniture, whose names an article may give to parts of its own.
+_BOXES = frozenset("div section ul ol li table center ins article".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement cookie-banner cookie-notice newsletter promo share share-bar social sponsored".split())
+_NAMES = _ADVERTS | frozenset(
+    "banner breadcrumb breadcrumbs footer header menu nav navbar navigation notice pagination sidebar site-footer site-header".split()
 )
+#: Part of a class or id that marks readers' comments, anywhere.
+_COMMENTS = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus|respond)(?:[-_]|$)")
 
 
 def _off(name: str, rest: str, inside: bool) -> bool:
@@ -58,8 +60,10 @@ def _off(name: str, rest: str, inside: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
             return True
-        if key in ("class", "id") and name in _BOXES and _NAMES.intersection(value.split()):
-            return True
+        if key in ("class", "id") and name in _BOXES:
+            names = value.split()
+            if any(map(_COMMENTS.search, names)) or (_ADVERTS if inside else _NAMES).intersection(names):
+                return True
     return False
 
 
@@ -201,21 +205,16 @@ def stretches(blocks_: list[str], guarded: list[bool]) -> list[list[str]]:
 
 
 def main_text(blocks_: list[str], guarded: list[bool], starts: list[int]) -> list[str]:
-    """Blocks less the runs that begin at those unguarded tokens; the guarded ones alone unless more is left outside."""
+    """The guarded blocks; where there are none, all blocks less the runs that begin at those tokens."""
+    if any(guarded):
+        return [text for text, guard in zip(blocks_, guarded) if guard]
     gone = {i for s in starts for i in range(s, s + RUN)}
-    out, at, inside, outside = [], 0, 0, 0
-    for text, guard in zip(blocks_, guarded):
+    out, at = [], 0
+    for text in blocks_:
         words = text.split(" ")
-        if guard:
-            inside += len(words)
-        else:
-            kept = [w for i, w in enumerate(words, at) if i not in gone]
-            at += len(words)
-            outside += len(kept)
-            text = " ".join(kept)
-        if text:
-            out.append((text, guard))
-    return [text for text, guard in out if guard or outside > inside]
+        out.append(" ".join(w for i, w in enumerate(words, at) if i not in gone))
+        at += len(words)
+    return [text for text in out if text]
 
 
 def extract(pages: DataFrame) -> DataFrame:
