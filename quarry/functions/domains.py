@@ -35,6 +35,7 @@ FACT_REWRITES = (
     ((r"\b(?:acid|acidente|batida|colisao).*(?:dano|mater)",), "acidente de trânsito apenas danos materiais"),
     ((r"\b(?:briga|vias?\s+(?:de\s+)?fat)",), "vias de fato"),
 )
+# What tells of a suicide, and of a crash with people hurt.
 SUICIDE = (
     r"\bsuic|\b(?:tent|quer|quis|ia)\w*\s+(?:se\s+)?matar|tirar\s+a?\s*propria\s+vida|acabar\s+com\s+a?\s*propria\s+vida"
 )

@@ -374,7 +374,8 @@ def k13(t: Tables) -> DataFrame:
 
 @query("k17_sheets")
 def k17(t: Tables) -> DataFrame:
-    sheets = infractions(t).dropDuplicates(["code"]).select(F.col("code").alias("id"), F.col("wording").alias("label"), "support", "severity")
+    row = F.min_by(F.struct(F.col("wording").alias("label"), "support", "severity"), "p_partkey")  # the first sheet of each code
+    sheets = infractions(t).groupBy(F.col("code").alias("id")).agg(row.alias("s")).select("id", "s.*")
     sheets = sheets.withColumnRenamed("severity", "wording")
     q = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('multa ', lpad(cast(p_partkey % 900 as string), 3, '5'), '-', lpad(cast(p_partkey % 100 as string), 2, '0')) WHEN 1 THEN concat('art. ', 290 + p_size % 30) ELSE p_name END")
     asked = t.part.select(F.col("p_partkey").alias("qid"), q.alias("text"))
