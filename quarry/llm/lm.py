@@ -106,19 +106,27 @@ class Bloom:
     """Three bits a key. Built by a distributed aggregation; the driver holds no more than the filter."""
 
     def __init__(self, keys: DataFrame, column: str) -> None:
-        key = F.col(column)
-        bits = [(F.pmod(F.shiftrightunsigned(key, 20 * k + 4), F.lit(BLOOM)), F.shiftrightunsigned(key, 6 * k)) for k in range(3)]
-        each = F.explode(F.array(*[F.struct(at.alias("at"), F.expr("1L").alias("one"), n.bitwiseAND(F.lit(63)).cast("int").alias("n")) for at, n in bits]))
-        spots = keys.select(each.alias("s")).select("s.at", F.expr("shiftleft(s.one, s.n)").alias("bit"))
-        found = spots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(BLOOM, np.uint64)
+            for b in batches:
+                for at, bit in Bloom._bits(b.column(0).to_numpy().view(np.uint64)):
+                    np.bitwise_or.at(words, at, bit)
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "bits"])
+
+        found = keys.select(column).mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
         self.words = np.zeros(BLOOM, np.int64)
         self.words[found["at"].to_numpy()] = found["bits"].to_numpy()
 
+    @staticmethod
+    def _bits(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(3):
+            yield (keys >> np.uint64(20 * k + 4)) % np.uint64(BLOOM), np.uint64(1) << ((keys >> np.uint64(6 * k)) & np.uint64(63))
+
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         words, out = self.words.view(np.uint64), np.ones(len(keys), bool)
-        for k in range(3):
-            at = (keys >> np.uint64(20 * k + 4)) % np.uint64(BLOOM)
-            out &= (words[at] >> ((keys >> np.uint64(6 * k)) & np.uint64(63))) & np.uint64(1) == 1
+        for at, bit in self._bits(keys):
+            out &= words[at] & bit != 0
         return out
 
 
@@ -171,8 +179,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return kinds, np.bincount(at, counts).astype(np.int64)
 
 
-def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom) -> DataFrame:
-    """(ctx, x, c): how often each symbol follows those strings of ``depth`` symbols, by hash, that the filter lets through."""
+def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom, ends: Bloom) -> DataFrame:
+    """(ctx, x, c): how often each symbol follows those strings of ``depth`` symbols, by hash, that ``known`` lets through.
+
+    A string that occurs LEAST_NEXT times has an end, the string without its first symbol, that does too and so is stored;
+    what ``ends`` doesn't know is therefore not counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -180,6 +192,7 @@ def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom) -
                 h = strings(s, depth)
                 at = np.flatnonzero(place >= depth)
                 at = at[known.may_hold(h[-1][at - 1])]
+                at = at[ends.may_hold(h[-1][at])]
                 ctx, x = h[-1][at - 1].view(np.int64), s[at]
                 order = np.lexsort((x, ctx))
                 ctx, x = ctx[order], x[order]
@@ -251,7 +264,7 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
     for d in range(2, depth + 1):
         able = level.where(F.col("c") >= LEAST_CONTEXT).select(F.col("g").alias("ctx"), F.col("c").alias("t"), F.col("gs").alias("suf"))
         shorter = level.select(F.col("g").alias("gs"), F.col("lp").alias("q"))
-        found = _longer(train, start, rare, d, Bloom(able, "ctx")).join(able, "ctx")
+        found = _longer(train, start, rare, d, Bloom(able, "ctx"), Bloom(level, "g")).join(able, "ctx")
         level = materialize(grow(_hashed(found, False).join(shorter, "gs")))
         sweep(spark)
         levels.append(level)
