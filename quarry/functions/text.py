@@ -165,22 +165,82 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
+# Markdown's marks and what stands for them, in the order of their rewriting; rows of tables come between.
+MARKS_BEFORE_ROWS = (
+    (r"(?md)^```.*$", ""),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(?i)</?[a-z][^>]*>", ""),
+    (r"(?md)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", ""),
+)
+MARKS_AFTER_ROWS = (
+    (r"(\*\*|__)(?=\S)([\s\S]*?\S)\1", "$2"),
+    (r"(?md)(^|[\s(])[*_](?=\S)([^*_\n]*?\S)[*_](?=[\s).,;:!?]|$)", "$1$2"),
+    (r"`([^`]+)`", "$1"),
+    (r"(?md)^[ \t]*>[ \t]?", ""),
+    (r"(?md)^([ \t]*)[*+][ \t]+", "$1- "),
+)
+TABLE_ROW = r"^[ \t]*\|(.*)\|[ \t]*$"
+# Pronouns that a hyphen ties to the verb before them.
+CLITICS = "se|lo|la|los|las|lhe|lhes|me|te|nos|vos|o|a|os|as|no|na|nas"
+# Lines that open a paragraph of a printed law; page marks as people and as chunks read them.
+OPENINGS = r"\n(?=(?:Art\.?|Artigo|§|CAP[IÍ]TULO|T[IÍ]TULO|SE[CÇ][AÃ]O|Se[cç][aã]o)\s)"
+READABLE_MARK = r"(?imdu)^-{2,}\s*P[áa]gina\s+0*(\d+)\s*-{2,}$"
+PAGE_MARK = r"(?md)^\[\[pagina:\d+\]\]$"
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _blank_lines(c: Column) -> Column:
+    return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
+
+
+def line_breaks(c: Column) -> Column:
+    """Unix line ends, no zero bytes, no spaces before a line's end, one blank line in a row at most (F18). Null stays null."""
+    for pattern, out in (("\r\n?", "\n"), ("\\x00", ""), ("[ \t\u00a0]+\n", "\n")):
+        c = F.regexp_replace(c, pattern, out)
+    return _blank_lines(c)
+
+
+def page_marks(c: Column) -> Column:
+    """Page lines that people read (``--- Página 3 ---``) as the marks that chunks read, ``[[pagina:3]]``."""
+    return F.regexp_replace(c, READABLE_MARK, "[[pagina:$1]]")
+
+
+def without_page_marks(c: Column) -> Column:
+    """The text without such marks."""
+    return _blank_lines(F.regexp_replace(c, PAGE_MARK, ""))
+
+
 def plain_markdown(c: Column) -> Column:
-    """Markdown as plain text."""
-    for pattern, out in (
-        (r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s{0,3}>\s?", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"(?m)^\s*[-*+]\s+", ""),
-    ):
+    """Markdown as plain text: headings and list marks stay, links, emphasis, fences, rulers and tags go, cells of a table's
+    row are set apart by bars (S10). Null stays null."""
+    c = line_breaks(c)
+    for pattern, out in MARKS_BEFORE_ROWS:
         c = F.regexp_replace(c, pattern, out)
-    return F.trim(c)
 
+    def row(line: Column) -> Column:
+        cells = F.split(F.regexp_extract(line, TABLE_ROW, 1), r"\|", -1)
+        return F.when(line.rlike(TABLE_ROW), F.array_join(F.transform(cells, strip), " | ")).otherwise(line)
 
-def line_breaks(c: Column) -> Column:
-    """Unix line ends, no spaces before them, two in a row at most."""
-    c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "[ \t]+\n", "\n")
-    return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    c = F.array_join(F.transform(F.split(c, "\n", -1), row), "\n")
+    for pattern, out in MARKS_AFTER_ROWS:
+        c = F.regexp_replace(c, pattern, out)
+    return _blank_lines(c)
 
 
 def join_hyphens(c: Column) -> Column:
-    """Words that a line end had split."""
-    return F.regexp_replace(c, r"(\p{Ll})-\n(?=\p{Ll})", "$1")
+    """Words that a line's end had split as one; a hyphen before a pronoun is the verb's own and stays."""
+    whole = rf"(\p{{L}})(?:-\n(?!(?:{CLITICS})(?:\P{{L}}|\z))(\p{{Ll}}+)|(-)\n({CLITICS}))(?=\P{{L}}|\z)"
+    return F.regexp_replace(c, whole, "$1$2$3$4")
+
+
+def printed_text(c: Column) -> Column:
+    """Text of a printed page for chunking: single spaces, split words joined, a blank line ahead of articles, paragraphs and
+    chapters (F19). Null stays null."""
+    for pattern, out in (("\r\n?", "\n"), ("[ \t\u00a0]+", " "), (" *\n *", "\n")):
+        c = F.regexp_replace(c, pattern, out)
+    return _blank_lines(F.regexp_replace(join_hyphens(c), OPENINGS, "\n\n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import lookups, manuals, relational, scalar, search, stems, stores, streams, structure, tables  # noqa: F401  (they register their queries)
+from quarry.plans import lookups, manuals, printed, relational, scalar, search, stems, stores, streams, structure, tables  # noqa: F401  (they register their queries)
 from quarry.plans.base import ORACLES, QUERIES, Tables
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -223,13 +223,6 @@ def test_fuzzy_search_asks_every_word(spark):
     assert {(r.qid, r.id, r.rank) for r in got} == {(1, 7, 1), (2, 8, 1)}
 
 
-def test_running_headers(spark):
-    rows = [("d", p, f"Diário nº {p}\ncorpo {'abcd'[p]}\nfim {p * 0 + (p if p == 3 else 1)}") for p in range(4)]
-    df = spark.createDataFrame(rows, "doc string, page int, text string")
-    got = {r.page: r.text for r in chunk.without_running_headers(df, "doc", "page", "text").collect()}
-    assert got[0] == "corpo a" and got[3] == "corpo d"
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.txt").write_bytes("ação".encode("cp1252"))
