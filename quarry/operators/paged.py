@@ -24,16 +24,16 @@ BEFORE_ARTICLES = "Ementa e disposições iniciais"
 
 def _edges(lines: Column) -> Column:
     """array<struct(i, edge, line)>: the lines with words among the first TOP and the last BOTTOM of them."""
-    filled = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: strip(x["line"]) != "")
-    placed = F.transform(
-        filled,
-        lambda x, r: F.struct(
-            x["i"].alias("i"),
-            F.when(r < TOP, "top").when(r >= F.size(filled) - BOTTOM, "bottom").alias("edge"),
-            strip(x["line"]).alias("line"),
-        ),
-    )
-    return F.filter(placed, lambda x: x["edge"].isNotNull())
+    filled = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(r"(?U)\S"))
+
+    def named(part: Column, edge: str) -> Column:
+        return F.transform(part, lambda x: F.struct(x["i"].alias("i"), F.lit(edge).alias("edge"), strip(x["line"]).alias("line")))
+
+    def both(f: Column) -> Column:
+        bottom = F.slice(f, F.greatest(F.lit(TOP + 1), F.size(f) - (BOTTOM - 1)), BOTTOM)
+        return F.concat(named(F.slice(f, 1, TOP), "top"), named(bottom, "bottom"))
+
+    return F.transform(F.array(filled), both)[0]  # a lambda evaluates the lines once
 
 
 def without_running_headers(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
