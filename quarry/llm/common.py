@@ -118,7 +118,9 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """Connected components of an undirected edge list: (node, root), root the smallest node, for every node with an edge.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) as joins and aggregates: a hub is never
-    collected or joined in one task, the edge list never grows, and each round is cut from its lineage. Loops and null ends
+    collected or joined in one task, the edge list never grows, and both steps of each round are cut from their lineage:
+    joins read their sides several times, so the second step's plan would hold the first step's six times over, and the
+    driver plans anew as each exchange ends. What plans and broadcasts leave in it goes after each round. Loops and null ends
     are ignored.
     """
     e = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
@@ -127,14 +129,16 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     while mark[0]:
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select("b", "a"))
         low = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
-        large = join_counted(both.where("y > x"), low, ["x"], total=2 * mark[0]).select(F.col("y").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        up = e.select(F.col("b").alias("x"), F.col("a").alias("y"))
+        large = join_counted(up, low, ["x"], total=2 * mark[0]).select(F.col("y").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.where("a != b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = join_counted(large, least, ["a"], total=2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a != b").union(least.drop("n"))
         nxt = materialize(small.distinct())
         now = _mark(nxt)
-        release(e)
+        release(e, large)
+        sweep(edges.sparkSession)
         e = nxt
         if now == mark:
             break

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, embeddings, html, language, linededup, lm, mix, quality, shard, simhash
+from quarry.llm import common, decontaminate, embeddings, html, language, linededup, lm, mix, quality, shard, simhash
 from quarry.llm.common import components
 
 rng = random.Random(5)
@@ -55,6 +55,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_plans(spark, monkeypatch):
+    """No plan of a round holds the edges more than a few times: the driver keeps and re-plans all of it."""
+    held, write = [], common.materialize
+
+    def counted(df):
+        held.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return write(df)
+
+    monkeypatch.setattr(common, "materialize", counted)
+    links = [(i, i + 1) for i in range(9)] + [(20, 20 + i) for i in range(1, 9)]
+    found = common.components(write(spark.createDataFrame(links, "a long, b long")), "a", "b")
+    assert {r.root for r in found.collect()} == {0, 20}
+    assert len(held) > 2 and max(held) <= 8, held
+
+
 def naive_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
