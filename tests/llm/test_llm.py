@@ -274,6 +274,20 @@ def test_quality(spark):
     assert quality.good_only(d, labels).columns == d.columns
 
 
+def test_good_only_sends_texts_once(spark, monkeypatch):
+    rows = [(i, None if i == 4 else sentence(40) if i % 2 else junk(40), "en", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality_score long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    field = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "train", lambda *_: field)
+    kept = quality.good_only(docs, labels)
+    want = {r.doc_id for r in quality.scored(docs.select("doc_id", "text"), field).collect() if r.quality_score >= quality.THRESHOLD}
+    assert kept.columns == docs.columns and {(r.doc_id, r.text, r.quality_score) for r in kept.collect()} == {(i, t, n) for i, t, _, n in rows if i in want}
+    assert 0 < len(want) < 60
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"text#", re.search(r"\n.*Project.*", plan).group())) == 1, plan
+
+
 def test_field_marginals():
     f = quality.Field()
     f.trans = np.array([[0.3, -0.7], [0.2, 1.1]])
