@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,9 +131,23 @@ class Bloom:
         return out
 
 
-def _encode(docs: DataFrame, places: dict[bytes, int]) -> DataFrame:
+def _places(words: pa.Array) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(words.to_pylist())}
+
+
+class Dictionary:
+    """Tokens as an Arrow array, which a worker that unpickles it gets as {token: place}: the driver has no object a token."""
+
+    def __init__(self, words: pa.Array) -> None:
+        self.words = words
+
+    def __reduce__(self) -> tuple:
+        return _places, (self.words,)
+
+
+def _encode(docs: DataFrame, words: pa.Array) -> DataFrame:
     """(rid, doc_id, held_out, ids, rare): symbols of all tokens, -1 for those of the class, which rare lists."""
-    shared = docs.sparkSession.sparkContext.broadcast(places)  # ALPHABET tokens at most
+    shared = docs.sparkSession.sparkContext.broadcast(Dictionary(words))  # ALPHABET tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
@@ -204,17 +219,32 @@ def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom, e
     return counted.groupBy("ctx", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_NEXT)
 
 
-def _hashed(nexts: DataFrame, first: bool) -> DataFrame:
-    """nexts with g, the hash of context and next, and gs, that of the same without its first symbol. In the first level the
-    context is a symbol, not a hash."""
+def _begun(pairs: DataFrame, base: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """The first level's nexts(ctx, x, c, t, q, g, gs), whose contexts are symbols: their counts and the nexts' log10
+    probabilities are looked up by place where the pairs are, so that no table of symbols goes through the driver's JVM."""
+    shared = pairs.sparkSession.sparkContext.broadcast((base, counts))  # ALPHABET and two at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ctx, x = (b.column(c).to_numpy() for c in ("ctx", "x"))
+        base, counts = shared.value
+        for b in batches:
+            ctx, x, c = (b.column(n).to_numpy() for n in ("ctx", "x", "c"))
+            able = counts[ctx] >= LEAST_CONTEXT
+            ctx, x, c = ctx[able], x[able], c[able]
             empty = np.zeros(len(x), np.uint64)
-            before = extend(empty, ctx) if first else ctx.view(np.uint64)
-            after = empty if first else b.column("suf").to_numpy().view(np.uint64)
-            made = [pa.array(extend(h, x).view(np.int64)) for h in (before, after)]
+            made = [extend(h, x).view(np.int64) for h in (extend(empty, ctx), empty)]
+            cols = [ctx, x, c, counts[ctx], base[x], *made]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["ctx", "x", "c", "t", "q", "g", "gs"])
+
+    return pairs.mapInArrow(run, "ctx bigint, x bigint, c bigint, t bigint, q double, g bigint, gs bigint")
+
+
+def _hashed(nexts: DataFrame) -> DataFrame:
+    """nexts with g, the hash of context and next, and gs, that of the same without its first symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            x = b.column("x").to_numpy()
+            made = [pa.array(extend(b.column(n).to_numpy().view(np.uint64), x).view(np.int64)) for n in ("ctx", "suf")]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "g", "gs"])
 
     return nexts.mapInArrow(run, schema_of(nexts, ",".join(nexts.columns), "g bigint, gs bigint"))
@@ -252,10 +282,7 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
     base has the symbols' log10 probabilities, counts their training counts.
     """
     spark = train.sparkSession
-    alphabet = spark.createDataFrame(pa.table({"x": np.arange(len(base)), "q": base}))  # ALPHABET and two at most
-    totals = spark.createDataFrame(pa.table({"ctx": np.arange(len(counts)), "t": counts})).where(F.col("t") >= LEAST_CONTEXT)
-    pairs = _pairs(train, start, rare).join(F.broadcast(totals), "ctx").join(F.broadcast(alphabet), "x")
-    level = materialize(grow(_hashed(pairs, True)))
+    level = materialize(grow(_begun(_pairs(train, start, rare), base, counts)))
     sweep(spark)
     left = np.zeros(len(counts))
     kept = level.where("keep").groupBy("ctx").agg(F.first("left").alias("left")).toArrow()
@@ -265,7 +292,7 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
         able = level.where(F.col("c") >= LEAST_CONTEXT).select(F.col("g").alias("ctx"), F.col("c").alias("t"), F.col("gs").alias("suf"))
         shorter = level.select(F.col("g").alias("gs"), F.col("lp").alias("q"))
         found = _longer(train, start, rare, d, Bloom(able, "ctx"), Bloom(level, "g")).join(able, "ctx")
-        level = materialize(grow(_hashed(found, False).join(shorter, "gs")))
+        level = materialize(grow(_hashed(found).join(shorter, "gs")))
         sweep(spark)
         levels.append(level)
         values.append(level.where("keep").select("g", F.col("delta").alias("v"), F.col("c").alias("n")))
@@ -362,16 +389,18 @@ def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text",
     n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     whole = n + ADD * (v + 1)
     top = uni.where(F.col("c") >= LEAST_SYMBOL).orderBy(F.col("c").desc(), "token").limit(ALPHABET).toArrow()
-    places, c = {w: i for i, w in enumerate(top["token"].to_pylist())}, top["c"].to_numpy().astype(np.int64)
+    words, c = pa.concat_arrays(top["token"].chunks or [pa.array([], pa.binary())]), top["c"].to_numpy().astype(np.int64)
+    rare, start, end = len(words), len(words) + 1, pc.index(words, pa.scalar(b"", words.type)).as_py()  # -1: not a symbol
     del top
-    rare, start = len(places), len(places) + 1
-    encoded = materialize(_encode(src, places))
+    encoded = materialize(_encode(src, words))
+    del words
     sweep(docs.sparkSession)
     p = (c + ADD) / whole
     base = np.log10(np.append(p, [max(1 - p.sum(), 1e-12), 1.0]))  # of the class and, never asked for, the start
     train = encoded.where("not held_out").select("ids")
     counts = np.concatenate([c, [n - c.sum(), train.count()]])
-    counts[places.get(b"", start + 1) : places.get(b"", start) + 1] = 0  # nothing follows the end
+    if end >= 0:
+        counts[end] = 0  # nothing follows the end
     left, values = tree(train, base, counts, start, rare, depth)
     sweep(docs.sparkSession)
     sums = _tree_sums(encoded, left, values, base, start, rare, depth + 1)

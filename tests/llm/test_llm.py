@@ -1,12 +1,14 @@
 """The training-data operators against brute force on small tables that hold nulls, ties, repeats and clashing columns."""
 
 import math
+import pickle
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -376,6 +378,23 @@ def test_lm(spark, docs, monkeypatch):
     assert nothing[0] == nothing[1] == 0 and nothing[2] < 1e-6
 
 
+def test_lm_symbols_stay_out_of_the_driver(spark, monkeypatch):
+    """The dictionary is a dict in the workers only, and tables of symbols are no broadcast relations."""
+    words = pa.array([b"the", b"", b"fox"], pa.binary())
+    assert pickle.loads(pickle.dumps(lm.Dictionary(words))) == {b"the": 0, b"": 1, b"fox": 2}
+    rows = [(i, f"the red fox runs {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def refused(*_, **__):
+        raise AssertionError("a table made in the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    got = {r.doc_id: r for r in lm.score(docs).collect()}
+    want, n, _, _ = naive_tree(rows, 3)
+    assert np.allclose([got[i].score for i, _ in rows], [x[1] for x in want], rtol=1e-7)
+    assert {(r.n_tokens, r.train_tokens) for r in got.values()} == {(6, n)}
+
+
 def test_lm_keeps_ties(spark):
     """However many strings have one count, all of them are in the tree."""
     rows = [(i, " ".join(f"a{k} b{k}" for k in range(300))) for i in range(40)]
