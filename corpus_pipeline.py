@@ -7,25 +7,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mix, quality, shard, simhash
-from quarry.llm.common import checkpoint_dir
+from quarry.llm.common import arrow_rows, checkpoint_dir, materialize
 from quarry.session import table
 
 N_SHARDS = 40
+#: Rows of an Arrow batch between Spark and its Python workers. A session's own limit counts no bytes, and with thousands of
+#: whole texts in a batch executors hold several copies of all of them at once.
+BATCH = 500
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return quality.good_only(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier rejects go. The limit of a batch holds for jobs inside, so the rows are written here."""
+    with arrow_rows(spark, BATCH):
+        return materialize(quality.good_only(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    with arrow_rows(spark, BATCH):
+        return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages contaminate go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that benchmark passages contaminate go; written here, as those of the classifier are."""
+    with arrow_rows(spark, BATCH):
+        return materialize(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, packed
@@ -45,6 +46,12 @@ def _place(bounds: np.ndarray, key: F.Column) -> F.Column:
     return place(key)
 
 
+def _small(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A table of tuples, by Arrow: from a list, Spark would start Python workers of another kind in each executor for it."""
+    cols = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), cols)}))
+
+
 def splitters(keyed: DataFrame, wanted: list[float], slack: float, weight: str = "size", probed: int = PROBES) -> list[int]:
     """Keys k such that the exact weight of rows with key < k is as near to each wanted weight as the keys allow.
 
@@ -124,7 +131,7 @@ def shard(
     rows = (rows.where(~F.col("_key").isin([*tied])) if tied else rows).withColumn("_range", _place(bounds, F.col("_key")))
     order = Window.partitionBy("_range").orderBy("_key", F.col("_id").asc_nulls_first(), "size")
     rows = rows.withColumn("_n", F.row_number().over(order) - 1)
-    lookup = docs.sparkSession.createDataFrame(start, "_range int, shard int, _start long")  # one row a task
+    lookup = _small(docs.sparkSession, start, _range=pa.int32(), shard=pa.int32(), _start=pa.int64())  # one row a task
     placed = rows.join(F.broadcast(lookup), "_range")
     out = placed.select("_row.*", "size", "shard", (F.col("_start") + F.col("_n")).alias("slot"))
     return out if same is None else out.unionByName(_counted_off(same, tied, cuts, wanted, seen))
@@ -177,8 +184,8 @@ def _counted_off(same: DataFrame, tied: dict[int, tuple[int, int, int]], cuts: l
                 seen[shard_] = seen.get(shard_, 0) + end - first
                 first = end
     spark = rows.sparkSession
-    lookup = F.broadcast(spark.createDataFrame(starts, "_key long, _part long, _start long"))  # keys cut by boundaries x input partitions
-    deal = F.broadcast(spark.createDataFrame(pieces, "_k long, _from long, _to long, shard int, _shift long"))  # boundaries, twice
+    lookup = F.broadcast(_small(spark, starts, _key=pa.int64(), _part=pa.int64(), _start=pa.int64()))  # keys cut by boundaries x input partitions
+    deal = F.broadcast(_small(spark, pieces, _k=pa.int64(), _from=pa.int64(), _to=pa.int64(), shard=pa.int32(), _shift=pa.int64()))  # boundaries, twice
     order = Window.partitionBy("_part", "_key").orderBy("_uid")
     rows = rows.withColumn("_n", F.row_number().over(order) - 1).join(lookup, ["_key", "_part"])
     rows = rows.withColumn("_n", F.col("_start") + F.col("_n"))

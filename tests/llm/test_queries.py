@@ -243,6 +243,38 @@ def test_pipeline(spark, folder, tmp_path):
     assert all(abs(x - sum(held.values()) / 40) <= biggest for x in held.values())
 
 
+def test_pipeline_memory(spark, folder, tmp_path, monkeypatch):
+    """Whole texts reach Python workers 500 rows at a time, whatever the session sends, and no list starts workers of its own."""
+    import corpus_pipeline as p
+
+    docs = pa.concat_tables([pq.read_table(f"{folder}/documents.parquet")] * 8)
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    sent = type(spark.range(0)).mapInArrow
+
+    def watched(df, run, *a, **b):
+        def small(batches):
+            def each():
+                for x in batches:
+                    assert x.num_rows <= 500, x.num_rows
+                    yield x
+            return run(each())
+        return sent(df, small, *a, **b)
+
+    def refused(*_, **__):
+        raise AssertionError("a list made into an RDD")
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert int(before) > 500 and docs.num_rows > 2 * 500
+    seen = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    for k, (name, stage) in enumerate(p.STAGES):
+        if name == "sharding":
+            monkeypatch.setattr(spark.sparkContext, "parallelize", refused)
+        stage(spark, seen, folder).write.parquet(str(tmp_path / str(k)))
+        seen = spark.read.parquet(str(tmp_path / str(k))) if name == "sharding" else seen
+    assert seen.count() == docs.num_rows and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as p
 
