@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, release, schema_of, slices, sweep
+from quarry.llm.common import HEAVY, materialize, release, schema_of, slices, sweep
 from quarry.llm.quality import remainder
 
 #: Symbols of a context at most.
@@ -45,6 +45,8 @@ PARTS = 64
 
 #: Distinct tokens or strings that a task holds before it hands them on, and tokens that it takes at once.
 _HELD, _CHUNK = 300_000, 1 << 18
+#: Places that a task tallies at once: more of them meet their likes before the exchange, at 24 bytes each and a sort's room.
+_RAW = 2_000_000
 _SHIFT = 21  # bits of a symbol
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
@@ -165,58 +167,103 @@ def _encode(docs: DataFrame, words: pa.Array) -> DataFrame:
     return src.mapInArrow(run, schema_of(src, "rid,doc_id,held_out", "ids binary, rare array<binary>"))
 
 
-def _pairs(train: DataFrame, start: int, rare: int) -> DataFrame:
-    """(ctx, x, c): how often each symbol follows each symbol."""
+def _tally(ctx: np.ndarray, x: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (ctx, x) in order with their sums of c, or with their numbers."""
+    if len(ctx) and int(ctx.max()) >> _SHIFT:
+        kinds, code = np.unique(ctx, return_inverse=True)
+    else:
+        kinds, code = None, ctx.astype(np.int64)
+    code = (code << _SHIFT) | x
+    if c is None:
+        code, c = np.unique(code, return_counts=True)
+    else:
+        order = np.argsort(code)
+        code = code[order]
+        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
+        code, c = code[new], np.add.reduceat(c[order].astype(np.int64), new) if len(new) else np.empty(0, np.int64)
+    at = code >> _SHIFT
+    return at.astype(np.uint64) if kinds is None else kinds[at], code & ((1 << _SHIFT) - 1), c
 
-    def batch(code: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for b in slices(batches):
-            for s, place, _ in chunks(b.column(0).to_pylist(), start, rare):
-                at = np.flatnonzero(place > 0)
-                held.append(np.unique((s[at - 1] << _SHIFT) | s[at], return_counts=True))
-                if sum(len(h[0]) for h in held) > 10 * _HELD:
-                    held = [_merged(held)]
-                    if len(held[0][0]) > 5 * _HELD:
-                        yield batch(*held.pop())
-        if held:
-            yield batch(*_merged(held))
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as their lowest bytes, then the next: what is mostly zeros or ones goes small through an exchange."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    counted = train.mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_NEXT)
-    return counted.select(F.shiftright("code", _SHIFT).alias("ctx"), F.col("code").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("x"), "c")
 
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    kinds, at = np.unique(codes, return_inverse=True)
-    return kinds, np.bincount(at, counts).astype(np.int64)
 
+def _blobs(ctx: np.ndarray, x: np.ndarray, c: np.ndarray, parts: int, heavy: np.ndarray) -> pa.RecordBatch:
+    """Tallied rows by the part where they are added up: each context once, how many nexts it has there, these and their counts.
 
-def _longer(train: DataFrame, start: int, rare: int, depth: int, known: Bloom, ends: Bloom) -> DataFrame:
-    """(ctx, x, c): how often each symbol follows those strings of ``depth`` symbols, by hash, that ``known`` lets through.
+    A context's nexts share a part, but those of ``heavy`` contexts are dealt by next, so that none fills a task.
+    """
+    key = np.where(np.isin(ctx, heavy), extend(ctx, x), extend(ctx, np.zeros(len(ctx), np.int64)))
+    part = (key >> np.uint64(7)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    ctx, x, c, part = ctx[order], x[order], c[order], part[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (ctx[1:] != ctx[:-1])])[: len(part)])
+    many, last = np.diff(np.append(run, len(part))), np.append(first[1:], len(part))
+    lo, hi = np.searchsorted(run, first), np.searchsorted(run, last)
+    cols = [
+        [ctx[run[i:j]].tobytes() for i, j in zip(lo, hi)],
+        [_planes(many[i:j]) for i, j in zip(lo, hi)],
+        [_planes(x[i:j]) for i, j in zip(first, last)],
+        [_planes(c[i:j]) for i, j in zip(first, last)],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *(pa.array(v, pa.binary()) for v in cols)], names=["part", "ctx", "many", "x", "c"])
+
+
+def _added(blobs: pa.Table) -> pa.Table:
+    """A part's rows whose counts add up to LEAST_NEXT."""
+    cols = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for ctx, many, x, c in zip(*(blobs.column(n).to_pylist() for n in ("ctx", "many", "x", "c"))):
+        cols.append((np.repeat(np.frombuffer(ctx, np.uint64), _numbers(many)), _numbers(x), _numbers(c)))
+    ctx, x, c = _tally(*(np.concatenate([v[k] for v in cols]) for k in range(3)))
+    on = c >= LEAST_NEXT
+    return pa.table({"ctx": ctx[on].view(np.int64), "x": x[on], "c": c[on]})
+
+
+def _follows(train: DataFrame, start: int, rare: int, depth: int, heavy: np.ndarray, known: Bloom | None = None, ends: Bloom | None = None) -> DataFrame:
+    """(ctx, x, c): how often each symbol follows those strings of ``depth`` symbols that ``known`` lets through, LEAST_NEXT
+    times at least. Contexts are given by hash, single symbols (depth 1, without filters) as they are.
 
     A string that occurs LEAST_NEXT times has an end, the string without its first symbol, that does too and so is stored;
-    what ``ends`` doesn't know is therefore not counted.
+    what ``ends`` doesn't know is therefore not counted. Tasks tally about _RAW symbols at a time and send each context of
+    these once for all its nexts, as arrays; rows are made of what is stored.
     """
+    parts = max(PARTS, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in slices(batches):
             for s, place, _ in chunks(b.column(0).to_pylist(), start, rare):
-                h = strings(s, depth)
                 at = np.flatnonzero(place >= depth)
-                at = at[known.may_hold(h[-1][at - 1])]
-                at = at[ends.may_hold(h[-1][at])]
-                ctx, x = h[-1][at - 1].view(np.int64), s[at]
-                order = np.lexsort((x, ctx))
-                ctx, x = ctx[order], x[order]
-                new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])])[: len(x)])
-                c = np.diff(np.append(new, len(x)))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ctx[new], x[new], c)], names=["ctx", "x", "c"])
-
-    counted = train.mapInArrow(run, "ctx bigint, x bigint, c bigint")
-    return counted.groupBy("ctx", "x").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_NEXT)
+                if known is None:
+                    ctx = s[at - 1].astype(np.uint64)
+                else:
+                    h = strings(s, depth)[-1]
+                    at = at[known.may_hold(h[at - 1])]
+                    at = at[ends.may_hold(h[at])]
+                    ctx = h[at - 1]
+                held.append((ctx, s[at].astype(np.int32)))
+                size += len(at)
+                if size > _RAW:
+                    yield _blobs(*_tally(*map(np.concatenate, zip(*held))), parts, heavy)
+                    held, size = [], 0
+        if size:
+            yield _blobs(*_tally(*map(np.concatenate, zip(*held))), parts, heavy)
+
+    sent = train.mapInArrow(run, "part int, ctx binary, many binary, x binary, c binary")
+    return sent.groupBy("part").applyInArrow(_added, "ctx bigint, x bigint, c bigint")
+
+
+def _heavy(able: DataFrame) -> np.ndarray:
+    """Contexts that hold more than one in HEAVY of all places, fewer than HEAVY, in order."""
+    total = able.agg(F.sum("t")).first()[0] or 0
+    return np.sort(able.where(F.col("t") * HEAVY > total).select("ctx").toArrow()["ctx"].to_numpy()).astype(np.int64).view(np.uint64)
 
 
 def _begun(pairs: DataFrame, base: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -282,7 +329,10 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
     base has the symbols' log10 probabilities, counts their training counts.
     """
     spark = train.sparkSession
-    level = materialize(grow(_begun(_pairs(train, start, rare), base, counts)))
+    pairs = materialize(_follows(train, start, rare, 1, np.flatnonzero(counts * HEAVY > counts.sum()).astype(np.uint64)))
+    sweep(spark)
+    level = materialize(grow(_begun(pairs, base, counts)))
+    release(pairs)
     sweep(spark)
     left = np.zeros(len(counts))
     kept = level.where("keep").groupBy("ctx").agg(F.first("left").alias("left")).toArrow()
@@ -291,8 +341,10 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
     for d in range(2, depth + 1):
         able = level.where(F.col("c") >= LEAST_CONTEXT).select(F.col("g").alias("ctx"), F.col("c").alias("t"), F.col("gs").alias("suf"))
         shorter = level.select(F.col("g").alias("gs"), F.col("lp").alias("q"))
-        found = _longer(train, start, rare, d, Bloom(able, "ctx"), Bloom(level, "g")).join(able, "ctx")
-        level = materialize(grow(_hashed(found).join(shorter, "gs")))
+        counted = materialize(_follows(train, start, rare, d, _heavy(able), Bloom(able, "ctx"), Bloom(level, "g")))
+        sweep(spark)
+        level = materialize(grow(_hashed(counted.join(able, "ctx")).join(shorter, "gs")))
+        release(counted)
         sweep(spark)
         levels.append(level)
         values.append(level.where("keep").select("g", F.col("delta").alias("v"), F.col("c").alias("n")))

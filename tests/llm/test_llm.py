@@ -395,6 +395,45 @@ def test_lm_symbols_stay_out_of_the_driver(spark, monkeypatch):
     assert {(r.n_tokens, r.train_tokens) for r in got.values()} == {(6, n)}
 
 
+def test_lm_exchange_of_nexts(spark, monkeypatch):
+    """Contexts go once for all their nexts: counting a level sends few bytes a row; counts are those of brute force,
+    heavy contexts dealt by next and tallies in pieces included."""
+    gen = np.random.default_rng(3)
+    words = gen.zipf(1.3, (300, 200)) % 400
+    train = spark.createDataFrame([(w.astype(np.int32).tobytes(),) for w in words], "ids binary").repartition(3)
+    want = [Counter(), Counter()]
+    for w in words:
+        s = [401, *map(int, w)]
+        for k in (1, 2):
+            want[k - 1].update((tuple(s[j - k : j]), s[j]) for j in range(k, len(s)))
+    monkeypatch.setattr(lm, "_CHUNK", 1000)
+    for raw in (5000, 10**6):
+        monkeypatch.setattr(lm, "_RAW", raw)
+        got = lm._follows(train, 401, 400, 1, np.array([1, 2], np.uint64)).collect()
+        assert {((r.ctx,), r.x): r.c for r in got} == {k: n for k, n in want[0].items() if n >= 3} and len(got) > 1000
+
+    class All(lm.Bloom):
+        def __init__(self):
+            pass
+
+        def may_hold(self, keys):
+            return np.ones(len(keys), bool)
+
+    def h(ctx):
+        out = np.zeros(1, np.uint64)
+        for x in ctx:
+            out = lm.extend(out, np.array([x]))
+        return int(out.view(np.int64)[0])
+
+    heavy = np.array([h((1, 1))], np.int64).view(np.uint64)
+    got = lm._follows(train, 401, 400, 2, heavy, All(), All()).collect()
+    assert {(r.ctx, r.x): r.c for r in got} == {(h(k), x): n for (k, x), n in want[1].items() if n >= 3} and len(got) > 1000
+    ctx, x, c = lm._tally(np.repeat(gen.integers(0, 1 << 63, 2000, dtype=np.uint64), 50), gen.integers(0, 1 << 20, 100_000))
+    sent = lm._blobs(ctx, x, c, 64, np.empty(0, np.uint64))
+    assert sum(len(pa.compress(b.as_py(), "lz4", asbytes=True)) for n in ("ctx", "many", "x", "c") for b in sent.column(n)) < 5 * len(ctx)
+    assert {p.as_py() for p in sent.column("part")} == set(range(64))
+
+
 def test_lm_keeps_ties(spark):
     """However many strings have one count, all of them are in the tree."""
     rows = [(i, " ".join(f"a{k} b{k}" for k in range(300))) for i in range(40)]
