@@ -8,13 +8,14 @@ as many nodes as the training text supports and is never collected or sent out w
 The log probability of a text is a sum over the strings in it: a stored next adds its gain over the shorter context's
 prediction, a retained context adds, for the symbol after it, the share that stored nexts leave to the shorter one. So
 scoring is one exchange: tasks send the strings of their texts, less those that a Bloom filter knows not to be in the tree,
-to where these values are, and the sums come back. Tokens of the class are told apart by a join with the exact counts.
+to where these values are, and the sums come back by slices of texts. Tokens of the class are told apart by a join with the exact counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,7 @@ def _encode(docs: DataFrame, words: pa.Array) -> DataFrame:
             ids, rare = [], []
             for t in b.column("text"):
                 words = tokens(t.as_py())
-                found = np.array([get(w, -1) for w in words], np.int32)
+                found = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
                 rare.append([words[i] for i in np.flatnonzero(found < 0)])
                 ids.append(found.tobytes())
             cols = [b.column(n) for n in ("rid", "doc_id", "held_out")]
@@ -185,6 +186,11 @@ def _tally(ctx: np.ndarray, x: np.ndarray, c: np.ndarray | None = None) -> tuple
     return at.astype(np.uint64) if kinds is None else kinds[at], code & ((1 << _SHIFT) - 1), c
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of hashes, in the smallest type that holds them, which sorts fastest."""
+    return ((keys >> np.uint64(7)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+
+
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers below 2 ** 32 as their lowest bytes, then the next: what is mostly zeros or ones goes small through an exchange."""
     return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -200,7 +206,7 @@ def _blobs(ctx: np.ndarray, x: np.ndarray, c: np.ndarray, parts: int, heavy: np.
     A context's nexts share a part, but those of ``heavy`` contexts are dealt by next, so that none fills a task.
     """
     key = np.where(np.isin(ctx, heavy), extend(ctx, x), extend(ctx, np.zeros(len(ctx), np.int64)))
-    part = (key >> np.uint64(7)) % np.uint64(parts)
+    part = _part(key, parts)
     order = np.argsort(part, kind="stable")
     ctx, x, c, part = ctx[order], x[order], c[order], part[order]
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
@@ -358,6 +364,10 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
     return left, out
 
 
+#: Sums of a slice of texts: its first text, its texts where they are listed, their sums.
+_SUMS = {"sid": pa.int64(), "rids": pa.binary(), "sums": pa.binary()}
+
+
 def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np.ndarray, start: int, rare: int, longest: int) -> DataFrame:
     """(rid, m): the sum over each text's tokens of base and tree, the class as one symbol.
 
@@ -391,41 +401,45 @@ def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np
                     keys.append(h[at])
                     owner.append(text[at] - first)
                 key, who = np.concatenate(keys), np.concatenate(owner).astype(np.uint8)  # a slice has 250 texts
-                order = np.lexsort((who, key))
+                order = np.argsort(key, kind="stable")  # texts come in order for each length, so for each key
                 key, who = key[order], who[order]
                 new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])[: len(key)])
-                times = np.diff(np.append(new, len(key))).astype(np.int32)
-                key, who = key[new].view(np.int64), who[new]
-                part = ((key.view(np.uint64) >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+                times = np.diff(np.append(new, len(key)))
+                key, who = key[new], who[new]
+                part = _part(key, parts)
                 order = np.argsort(part, kind="stable")
                 rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(part) else []
-                blobs = [[x[r].tobytes() for r in rows] for x in (key, who, times)]
                 on = [int(part[r[0]]) for r in rows] + [int(rids[first]) % parts]  # texts' own sums go along, without keys
-                for x, last in zip(blobs, (b"", b"", sums.tobytes())):
-                    x.append(last)
-                blobs.append([rids[first : first + many].tobytes()] * len(on))
-                yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "keys", "who", "times", "rids"])
+                blobs = [[*(key[r].tobytes() for r in rows), b""], [*(who[r].tobytes() for r in rows), rids[first : first + many].tobytes()]]
+                blobs.append([*(_planes(times[r]) for r in rows), sums.tobytes()])
+                cols = [pa.array(on, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)]
+                cols += [pa.array([int(rids[first])] * len(on), pa.int64()), pa.array([many] * len(on), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "keys", "who", "times", "sid", "texts"])
 
     def answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+        """A slice's sums over the strings of this part, as an array in the order of its texts; with its ids where it came without keys."""
         g, v = table.column("g").to_numpy(), table.column("v").to_numpy()
         order = np.argsort(g)
-        g, v = g[order], v[order]
-        sums = [(np.empty(0, np.int64), np.empty(0))]
-        for keys, who, times, rids in zip(*(asked.column(c).to_pylist() for c in ("keys", "who", "times", "rids"))):
-            rid = np.frombuffer(rids, np.int64)
+        g, v = g[order], np.append(v[order], 0.0)
+        out = []
+        for keys, who, times, sid, texts in zip(*(asked.column(c).to_pylist() for c in ("keys", "who", "times", "sid", "texts"))):
             if not keys:
-                sums.append((rid, np.frombuffer(times, np.float64)))
+                out.append((sid, who, times))
             elif len(g):
                 key = np.frombuffer(keys, np.int64)
                 at = np.minimum(np.searchsorted(g, key), len(g) - 1)
-                hit = np.flatnonzero(g[at] == key)
-                got = np.bincount(np.frombuffer(who, np.uint8)[hit], v[at[hit]] * np.frombuffer(times, np.int32)[hit], len(rid))
-                sums.append((rid[got != 0], got[got != 0]))
-        return pa.table({"rid": np.concatenate([x for x, _ in sums]), "m": np.concatenate([x for _, x in sums])})
+                worth = np.where(g[at] == key, v[at], 0.0) * _numbers(times)
+                out.append((sid, b"", np.bincount(np.frombuffer(who, np.uint8), worth, texts).tobytes()))
+        return pa.table({n: pa.array([x[k] for x in out], kind) for k, (n, kind) in enumerate(_SUMS.items())})
+
+    def added(sums: pa.Table) -> pa.Table:
+        rid = np.frombuffer(b"".join(sums.column("rids").to_pylist()), np.int64)
+        return pa.table({"rid": rid, "m": np.sum([np.frombuffer(x, np.float64) for x in sums.column("sums").to_pylist()], axis=0)})
 
-    asked = encoded.select("rid", "ids").mapInArrow(sent, "part int, keys binary, who binary, times binary, rids binary").groupBy("part")
+    asked = encoded.select("rid", "ids").mapInArrow(sent, "part int, keys binary, who binary, times binary, sid bigint, texts int").groupBy("part")
     held = values.select(F.pmod(F.shiftrightunsigned("g", 7), F.lit(parts)).cast("int").alias("part"), "g", "v").groupBy("part")
-    return asked.cogroup(held).applyInArrow(answered, "rid bigint, m double").groupBy("rid").agg(F.sum("m").alias("m"))
+    found = asked.cogroup(held).applyInArrow(answered, "sid bigint, rids binary, sums binary")
+    return found.groupBy("sid").applyInArrow(added, "rid bigint, m double")  # a slice has an array from each part
 
 
 def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH) -> DataFrame:
