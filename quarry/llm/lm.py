@@ -13,14 +13,13 @@ to where these values are, and the sums come back by slices of texts. Tokens of
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from quarry.llm.common import HEAVY, materialize, release, schema_of, slices, sweep
@@ -37,15 +36,18 @@ LEAST_CONTEXT, LEAST_NEXT = 16, 3
 SMOOTH = 8.0
 #: Added to every count of the base.
 ADD = 0.1
+#: Most frequent symbols that Arrow looks up, which builds its table anew for each slice of texts; a dict has the others.
+FIRST = 1 << 16
 #: Words of 64 bits of a Bloom filter. A small filter lets more strings through, which costs exchange and changes nothing.
 BLOOM = 1 << 20
-#: The most frequent strings of the tree, whose values are sent out; the others' stay where they are and are asked for.
+#: The most frequent strings of the tree, whose values are sent out, so many at most; the others' stay where they are and
+#: are asked for.
 HOT = 1 << 18
 #: Parts by which strings and values meet, at least; as many as there are shuffle partitions, where that is more.
 PARTS = 64
 
-#: Distinct tokens or strings that a task holds before it hands them on, and tokens that it takes at once.
-_HELD, _CHUNK = 300_000, 1 << 18
+#: Tokens that a task holds before it hands on their counts, and symbols that it takes at once.
+_HELD, _CHUNK = 4_000_000, 1 << 18
 #: Places that a task tallies at once: more of them meet their likes before the exchange, at 24 bytes each and a sort's room.
 _RAW = 2_000_000
 _SHIFT = 21  # bits of a symbol
@@ -53,26 +55,34 @@ _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FE
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """A-Z lower-cased words, then one end token, which is empty."""
+    """A-Z lower-cased words, then one end token, which is empty: the definition, which split() follows for whole arrays."""
     out = (text or "").encode("utf-8", "replace").lower().split()
     out.append(b"")
     return out
 
 
+def split(texts: pa.Array) -> pa.ListArray:
+    """tokens() of each text, by Arrow."""
+    t = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    t = pc.if_else(pc.equal(t, ""), t, pc.binary_join_element_wise(t, "", " "))  # what follows the last space is the end
+    return pc.ascii_split_whitespace(t).cast(pa.list_(pa.binary()))
+
+
 def unigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, c) over all rows of docs."""
 
-    def batch(held: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "c"])
+    def batch(held: list[pa.Array]) -> pa.RecordBatch:
+        found = pa.chunked_array(held, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["token", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held, size = [], 0
         for b in slices(batches):
-            for t in b.column(0):
-                held.update(tokens(t.as_py()))
-            if len(held) > _HELD:
+            held.append(split(b.column(0)).flatten())
+            size += len(held[-1])
+            if size > _HELD:
                 yield batch(held)
-                held = Counter()
+                held, size = [], 0
         yield batch(held)
 
     return docs.select(text).mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
@@ -107,30 +117,61 @@ def strings(symbols: np.ndarray, longest: int) -> list[np.ndarray]:
 
 
 class Bloom:
-    """Three bits a key. Built by a distributed aggregation; the driver holds no more than the filter."""
+    """Three bits a key, in one word. Built by a distributed aggregation; the driver holds no more than the filter."""
 
     def __init__(self, keys: DataFrame, column: str) -> None:
+        span = BLOOM // PARTS
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.zeros(BLOOM, np.uint64)
             for b in batches:
-                for at, bit in Bloom._bits(b.column(0).to_numpy().view(np.uint64)):
-                    np.bitwise_or.at(words, at, bit)
+                np.bitwise_or.at(words, *Bloom._bits(b.column(0).to_numpy().view(np.uint64)))
             at = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "bits"])
-
-        found = keys.select(column).mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-        self.words = np.zeros(BLOOM, np.int64)
-        self.words[found["at"].to_numpy()] = found["bits"].to_numpy()
+            cut = np.searchsorted(at, np.arange(PARTS + 1) * span)
+            on = [(k, at[i:j]) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+            cols = [pa.array([k for k, _ in on], pa.int32()), *(pa.array(v, pa.binary()) for v in ([(x % span).astype(np.int32).tobytes() for _, x in on], [words[x].tobytes() for _, x in on]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "at", "bits"])
+
+        def joined(found: pa.Table) -> pa.Table:
+            words = np.zeros(span, np.uint64)
+            for at, bits in zip(found["at"].to_pylist(), found["bits"].to_pylist()):
+                words[np.frombuffer(at, np.int32)] |= np.frombuffer(bits, np.uint64)
+            return pa.table({"part": found["part"][:1], "bits": pa.array([words.tobytes()], pa.binary())})
+
+        sent = keys.select(column).mapInArrow(run, "part int, at binary, bits binary")
+        found = sent.groupBy("part").applyInArrow(joined, "part int, bits binary").toArrow()
+        self.words = np.zeros(BLOOM, np.uint64)
+        for k, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
+            self.words[k * span : (k + 1) * span] = np.frombuffer(bits, np.uint64)
 
     @staticmethod
-    def _bits(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for k in range(3):
-            yield (keys >> np.uint64(20 * k + 4)) % np.uint64(BLOOM), np.uint64(1) << ((keys >> np.uint64(6 * k)) & np.uint64(63))
+    def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, mask = np.uint64(1), np.uint64(63)
+        bits = one << (keys & mask)
+        for k in (6, 12):
+            bits |= one << ((keys >> np.uint64(k)) & mask)
+        return ((keys >> np.uint64(20)) & np.uint64(BLOOM - 1)).astype(np.int64), bits
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        words, out = self.words.view(np.uint64), np.ones(len(keys), bool)
-        for at, bit in self._bits(keys):
-            out &= words[at] & bit != 0
+        at, bits = self._bits(keys)
+        return self.words[at] & bits == bits
+
+
+class Sorted:
+    """Places of hashes among sorted ones: from where those with the same first bits begin, then onwards."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.append(keys, np.uint64((1 << 64) - 1))
+        self.bits = np.uint64(max(1, len(keys).bit_length() + 1))
+        self.begin = np.searchsorted(keys, np.arange(1 << int(self.bits), dtype=np.uint64) << (np.uint64(64) - self.bits)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or some place of another if it isn't there."""
+        out = self.begin[(keys >> (np.uint64(64) - self.bits)).astype(np.int64)]
+        at = np.flatnonzero(self.keys[out] < keys)
+        while len(at):
+            out[at] += 1
+            at = at[self.keys[out[at]] < keys[at]]
         return out
 
 
@@ -148,24 +189,31 @@ class Dictionary:
         return _places, (self.words,)
 
 
-def _encode(docs: DataFrame, words: pa.Array) -> DataFrame:
-    """(rid, doc_id, held_out, ids, rare): symbols of all tokens, -1 for those of the class, which rare lists."""
-    shared = docs.sparkSession.sparkContext.broadcast(Dictionary(words))  # ALPHABET tokens at most
+def _encode(docs: DataFrame, words: pa.Array, base: np.ndarray) -> DataFrame:
+    """(rid, doc_id, held_out, ids, rare, n_tokens, k, b): symbols of all tokens, -1 for those of the class, which rare lists;
+    numbers of tokens and of those that are symbols, and the sum of these by base."""
+    shared = docs.sparkSession.sparkContext.broadcast((Dictionary(words), base))  # ALPHABET tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        places, base = shared.value
+        first = pa.array(islice(places, FIRST), pa.binary())
         for b in slices(batches):
-            ids, rare = [], []
-            for t in b.column("text"):
-                words = tokens(t.as_py())
-                found = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                rare.append([words[i] for i in np.flatnonzero(found < 0)])
-                ids.append(found.tobytes())
+            found = split(b.column("text"))
+            flat, at = found.flatten(), found.offsets.to_numpy()  # no text is without its end
+            ids = pc.fill_null(pc.index_in(flat, value_set=first), -1).to_numpy().copy()
+            if len(places) > len(first):
+                more = np.flatnonzero(ids < 0)
+                ids[more] = np.fromiter(map(places.get, flat.take(pa.array(more)).to_pylist(), repeat(-1)), np.int32, len(more))
+            out = ids < 0
+            many = np.add.reduceat(out.astype(np.int64), at[:-1])
+            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), flat.filter(pa.array(out)))
+            own = [pa.array([ids[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()), rare, pa.array(np.diff(at).astype(np.int64))]
+            own += [pa.array(np.diff(at) - many), pa.array(np.add.reduceat(np.where(out, 0.0, base[ids]), at[:-1]))]
             cols = [b.column(n) for n in ("rid", "doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["rid", "doc_id", "held_out", "ids", "rare"])
+            yield pa.RecordBatch.from_arrays([*cols, *own], names=["rid", "doc_id", "held_out", "ids", "rare", "n_tokens", "k", "b"])
 
     src = docs.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text")
-    return src.mapInArrow(run, schema_of(src, "rid,doc_id,held_out", "ids binary, rare array<binary>"))
+    return src.mapInArrow(run, schema_of(src, "rid,doc_id,held_out", "ids binary, rare array<binary>, n_tokens bigint, k bigint, b double"))
 
 
 def _tally(ctx: np.ndarray, x: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,29 +321,26 @@ def _heavy(able: DataFrame) -> np.ndarray:
 
 
 def _begun(pairs: DataFrame, base: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The first level's nexts(ctx, x, c, t, q, g, gs), whose contexts are symbols: their counts and the nexts' log10
-    probabilities are looked up by place where the pairs are, so that no table of symbols goes through the driver's JVM."""
+    """The first level, whose contexts are symbols: grow() over pairs(ctx, x, c), with their counts and the nexts' log10
+    probabilities looked up by place where the pairs are, so that no table of symbols goes through the driver's JVM."""
     shared = pairs.sparkSession.sparkContext.broadcast((base, counts))  # ALPHABET and two at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(found: pa.Table) -> pa.Table:
         base, counts = shared.value
-        for b in batches:
-            ctx, x, c = (b.column(n).to_numpy() for n in ("ctx", "x", "c"))
-            able = counts[ctx] >= LEAST_CONTEXT
-            ctx, x, c = ctx[able], x[able], c[able]
-            empty = np.zeros(len(x), np.uint64)
-            made = [extend(h, x).view(np.int64) for h in (extend(empty, ctx), empty)]
-            cols = [ctx, x, c, counts[ctx], base[x], *made]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["ctx", "x", "c", "t", "q", "g", "gs"])
+        ctx, x, c = (found.column(n).to_numpy() for n in ("ctx", "x", "c"))
+        able = counts[ctx] >= LEAST_CONTEXT
+        ctx, x, c = ctx[able], x[able], c[able]
+        empty = np.zeros(len(x), np.uint64)
+        return _grown(ctx, counts[ctx], c, base[x], *(extend(h, x).view(np.int64) for h in (extend(empty, ctx), empty)))
 
-    return pairs.mapInArrow(run, "ctx bigint, x bigint, c bigint, t bigint, q double, g bigint, gs bigint")
+    return _by_context(pairs).applyInArrow(run, _LEVEL)
 
 
 def _hashed(nexts: DataFrame) -> DataFrame:
     """nexts with g, the hash of context and next, and gs, that of the same without its first symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in batches:
             x = b.column("x").to_numpy()
             made = [pa.array(extend(b.column(n).to_numpy().view(np.uint64), x).view(np.int64)) for n in ("ctx", "suf")]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "g", "gs"])
@@ -303,6 +348,15 @@ def _hashed(nexts: DataFrame) -> DataFrame:
     return nexts.mapInArrow(run, schema_of(nexts, ",".join(nexts.columns), "g bigint, gs bigint"))
 
 
+_LEVEL = "ctx bigint, t bigint, c bigint, g bigint, gs bigint, keep boolean, left double, lp double, delta double"
+
+
+def _by_context(nexts: DataFrame) -> GroupedData:
+    """nexts in parts that have a context's nexts together, as many at most as there are symbols."""
+    parts = max(PARTS, int(nexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return nexts.withColumn("part", F.pmod(F.xxhash64("ctx"), F.lit(parts))).groupBy("part")
+
+
 def grow(nexts: DataFrame) -> DataFrame:
     """nexts(ctx, t, c, q, g, gs) with keep, left, lp and delta, and without q: one depth of the tree.
 
@@ -312,20 +366,29 @@ def grow(nexts: DataFrame) -> DataFrame:
     from here on, left the log10 share of other symbols in what the shorter context gives them, delta what a stored next
     adds to lp of the shorter context and left.
     """
-    t, c, q = F.col("t").cast("double"), F.col("c").cast("double"), F.pow(F.lit(10.0), "q")
-    per = nexts.groupBy("ctx").agg(
-        F.max(t).alias("_t"), F.sum(c).alias("sc"), F.sum(q).alias("sq"), F.count("*").alias("kinds"), F.sum(c * F.log(c / t / q)).alias("gain")
-    )
-    rest_c, rest_q = F.col("_t") - F.col("sc"), F.greatest(1 - F.col("sq"), F.lit(1e-12))
-    gain = F.col("gain") + F.when(rest_c > 0, rest_c * F.log(rest_c / F.col("_t") / rest_q)).otherwise(0.0)
-    mass = F.greatest(1 - (F.col("sc") + SMOOTH * F.col("sq")) / (F.col("_t") + SMOOTH), F.lit(1e-12))
-    per = per.select(
-        "ctx", (gain > 0.5 * F.log(F.greatest(F.col("_t"), F.lit(2.0))) * F.col("kinds")).alias("keep"), F.log10(mass / rest_q).alias("left")
-    )
-    lp = F.when(F.col("keep"), F.log10((c + SMOOTH * q) / (t + SMOOTH))).otherwise(F.col("q"))
-    out = nexts.join(per, "ctx").withColumn("lp", lp)  # a context has at most as many nexts as there are symbols
-    delta = F.when(F.col("keep"), F.col("lp") - F.col("q") - F.col("left")).alias("delta")
-    return out.select("ctx", "t", "c", "g", "gs", "keep", "left", "lp", delta)
+
+    def run(found: pa.Table) -> pa.Table:
+        return _grown(*(found.column(n).to_numpy() for n in ("ctx", "t", "c", "q", "g", "gs")))
+
+    return _by_context(nexts.select("ctx", "t", "c", "q", "g", "gs")).applyInArrow(run, _LEVEL)
+
+
+def _grown(*nexts: np.ndarray) -> pa.Table:
+    """grow() over contexts that are here with all of their nexts."""
+    order = np.argsort(nexts[0], kind="stable")
+    ctx, t, c, lq, g, gs = (v[order] for v in nexts)
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])[: len(ctx)])
+    kinds, q = np.diff(np.append(first, len(ctx))), 10.0**lq
+    total = t[first].astype(float)
+    sc, sq, gain = (np.add.reduceat(v, first) if len(first) else np.empty(0) for v in (c.astype(float), q, c * np.log(c / t / q)))
+    rest_c, rest_q = total - sc, np.maximum(1 - sq, 1e-12)
+    gain = gain + np.where(rest_c > 0, rest_c * np.log(np.maximum(rest_c, 1) / total / rest_q), 0.0)
+    mass = np.maximum(1 - (sc + SMOOTH * sq) / (total + SMOOTH), 1e-12)
+    keep = np.repeat(gain > 0.5 * np.log(np.maximum(total, 2)) * kinds, kinds)
+    left = np.repeat(np.log10(mass / rest_q), kinds)
+    lp = np.where(keep, np.log10((c + SMOOTH * q) / (t + SMOOTH)), lq)
+    cols = {"ctx": ctx, "t": t, "c": c, "g": g, "gs": gs, "keep": keep, "left": left, "lp": lp}
+    return pa.table(cols | {"delta": pa.array(lp - lq - left, mask=~keep)})
 
 
 def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rare: int, depth: int = DEPTH) -> tuple[np.ndarray, DataFrame]:
@@ -337,7 +400,7 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
     spark = train.sparkSession
     pairs = materialize(_follows(train, start, rare, 1, np.flatnonzero(counts * HEAVY > counts.sum()).astype(np.uint64)))
     sweep(spark)
-    level = materialize(grow(_begun(pairs, base, counts)))
+    level = materialize(_begun(pairs, base, counts))
     release(pairs)
     sweep(spark)
     left = np.zeros(len(counts))
@@ -349,7 +412,7 @@ def tree(train: DataFrame, base: np.ndarray, counts: np.ndarray, start: int, rar
         shorter = level.select(F.col("g").alias("gs"), F.col("lp").alias("q"))
         counted = materialize(_follows(train, start, rare, d, _heavy(able), Bloom(able, "ctx"), Bloom(level, "g")))
         sweep(spark)
-        level = materialize(grow(_hashed(counted.join(able, "ctx")).join(shorter, "gs")))
+        level = materialize(grow(_hashed(counted.join(able.hint("shuffle_hash"), "ctx")).join(shorter.hint("shuffle_hash"), "gs")))
         release(counted)
         sweep(spark)
         levels.append(level)
@@ -374,10 +437,12 @@ def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np
     The HOT most frequent strings are looked up where they are read, so that none of them fills a task.
     """
     spark = encoded.sparkSession
-    top = values.orderBy(F.col("n").desc(), "g").limit(HOT).select("g", "v").toArrow()
+    often = values.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.col("n").desc()).toArrow()
+    fits = np.flatnonzero(np.cumsum(often["k"].to_numpy()) <= HOT)
+    top = values.where(F.col("n") >= (often["n"][int(fits[-1])].as_py() if len(fits) else np.iinfo(np.int64).max)).select("g", "v").toArrow()
     hot = top["g"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hot)
-    hot, worth = hot[order], np.append(top["v"].to_numpy().astype(float)[order], 0.0)
+    hot, worth = Sorted(hot[order]), np.append(top["v"].to_numpy().astype(float)[order], 0.0)
     shared = spark.sparkContext.broadcast((Bloom(values, "g"), left, base, hot, worth))
     parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -394,8 +459,8 @@ def _tree_sums(encoded: DataFrame, left: np.ndarray, values: DataFrame, base: np
                 for k, h in enumerate(strings(s, longest)[1:], 1):
                     at = np.flatnonzero(place >= k)
                     at = at[bloom.may_hold(h[at])]
-                    spot = np.minimum(np.searchsorted(hot, h[at]), max(0, len(hot) - 1))
-                    here = hot[spot] == h[at] if len(hot) else np.zeros(len(at), bool)
+                    spot = hot.find(h[at])
+                    here = hot.keys[spot] == h[at]
                     sums += np.bincount(text[at[here]] - first, worth[spot[here]], many)
                     at = at[~here]
                     keys.append(h[at])
@@ -458,11 +523,11 @@ def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text",
     words, c = pa.concat_arrays(top["token"].chunks or [pa.array([], pa.binary())]), top["c"].to_numpy().astype(np.int64)
     rare, start, end = len(words), len(words) + 1, pc.index(words, pa.scalar(b"", words.type)).as_py()  # -1: not a symbol
     del top
-    encoded = materialize(_encode(src, words))
-    del words
-    sweep(docs.sparkSession)
     p = (c + ADD) / whole
     base = np.log10(np.append(p, [max(1 - p.sum(), 1e-12), 1.0]))  # of the class and, never asked for, the start
+    encoded = materialize(_encode(src, words, base))
+    del words
+    sweep(docs.sparkSession)
     train = encoded.where("not held_out").select("ids")
     counts = np.concatenate([c, [n - c.sum(), train.count()]])
     if end >= 0:
@@ -470,18 +535,9 @@ def score(docs: DataFrame, held_out: F.Column | None = None, text: str = "text",
     left, values = tree(train, base, counts, start, rare, depth)
     sweep(docs.sparkSession)
     sums = _tree_sums(encoded, left, values, base, start, rare, depth + 1)
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids = [np.frombuffer(x, np.int32) for x in b.column("ids").to_pylist()]
-            known = [x[x >= 0] for x in ids]
-            cols = [pa.array([*map(len, ids)], pa.int64()), pa.array([*map(len, known)], pa.int64()), pa.array([float(base[x].sum()) for x in known], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("rid", "doc_id", "held_out")] + cols, names=["rid", "doc_id", "held_out", "n_tokens", "k", "b"])
-
-    slim = encoded.select("rid", "doc_id", "held_out", "ids")
-    own = slim.mapInArrow(sizes, schema_of(slim, "rid,doc_id,held_out", "n_tokens bigint, k bigint, b double"))
+    own = encoded.select("rid", "doc_id", "held_out", "n_tokens", "k", "b")
     listed = encoded.select("rid", F.explode("rare").alias("token"))
-    known = listed.join(uni.withColumnRenamed("c", "n"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = listed.join(uni.withColumnRenamed("c", "n").hint("shuffle_hash"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rest = known.groupBy("rid").agg(
         F.sum(F.log10((F.col("n") + ADD) / F.lit(whole))).alias("rb"), F.count_if(F.col("n") > 0).alias("rk"), F.count("*").alias("rn")
     )

@@ -434,6 +434,34 @@ def test_lm_exchange_of_nexts(spark, monkeypatch):
     assert {p.as_py() for p in sent.column("part")} == set(range(64))
 
 
+def test_lm_texts_and_levels_are_read_once(spark, docs, monkeypatch):
+    """No Python object a token: Arrow splits as tokens() does and looks symbols up, a dict those beyond FIRST; a level of
+    the tree reads its nexts once; filters and places of hashes hold what brute force does."""
+    odd = ["", " ", None, " a  B\t", "\x0b\x0ca\x1cb\x85 c\xa0d\r\n", "A\x00B É ß ü\u2003x", "x" * 5000, "end "]
+    assert lm.split(pa.array(odd)[1:]).to_pylist() == [lm.tokens(t) for t in odd[1:]]
+    assert lm.split(pa.array(odd, pa.large_string())).to_pylist() == [lm.tokens(t) for t in odd]
+
+    nexts = spark.range(3000).select(*(F.xxhash64("id", F.lit(n)).alias(n) for n in ("g", "gs")), (F.col("id") % 50).alias("ctx"), F.lit(900).cast("long").alias("t"), (F.col("id") % 9 + 3).alias("c"), (-F.col("id") % 4 - 1.0).alias("q"))
+    plan = lm.grow(nexts)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Range \(", plan)) == 1 and "Join" not in plan, plan
+    assert {n: lm.grow(nexts).where(f"{n} is not null").count() for n in ("left", "lp")} == {"left": 3000, "lp": 3000}
+
+    gen = np.random.default_rng(5)
+    keys, others = (gen.integers(0, 1 << 64, 50_000, dtype=np.uint64) for _ in range(2))
+    bloom = lm.Bloom(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)[:5000]], "g long").repartition(3), "g")
+    assert bloom.may_hold(keys[:5000]).all() and bloom.may_hold(others).mean() < 0.001
+    for some in (np.sort(keys), np.sort(keys[:3]), keys[:0]):
+        held = lm.Sorted(some)
+        assert (some[held.find(some)] == some).all() and not (held.keys[held.find(others)] == others).any()
+
+    rows = [(i, f"the red fox runs {i % 7} times {i}") for i in range(80)] + [(99, None)]
+    want, _, _, _ = naive_tree(rows, 3)
+    for first in (0, 3, 1 << 16):
+        monkeypatch.setattr(lm, "FIRST", first)
+        got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert np.allclose([(got[i].base_score, got[i].score) for i, _ in rows], want, rtol=1e-7)
+
+
 def test_lm_keeps_ties(spark):
     """However many strings have one count, all of them are in the tree."""
     rows = [(i, " ".join(f"a{k} b{k}" for k in range(300))) for i in range(40)]
