@@ -11,6 +11,7 @@ from quarry.operators.retrieval import rank_by
 # An article in a folded label, clauses in a reference, a date, and the states of a document.
 ARTICLE = r"art\.?\s*(\d+)(?:-([a-z])(?![a-z]))?"
 CLAUSES = r"\b(?:inciso\s+)?([ivxl]+)\b"
+LAST_CLAUSE, OPENING_CLAUSES = r"\s([IVXL]+)\z", r"(?:^|\n)([IVXL]+)\s*[-–—]"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 STATES = ("vigente", "revisar", "substituido")
 #: Articles of infractions, and what their scores are multiplied with.
@@ -49,22 +50,24 @@ def by_reference(questions: DataFrame, rows: DataFrame) -> DataFrame:
 
     questions(qid, text), rows(id, label, text, place). Rows must name the very article, ``art. 16`` isn't ``art. 165``. A clause
     of the reference is worth 10 points in a label that ends with it, 5 in a text with a line that it opens; ties go by reading
-    order. References without an article find nothing.
+    order. References without an article find nothing. Rows meet each article with its clauses once, however many questions
+    ask for it.
     """
     low = F.regexp_replace(F.lower("text"), r"\bdo ctb\b", "")
     asked = questions.select("qid", article_of(F.col("text")).alias("article"), F.transform(F.regexp_extract_all(low, F.lit(CLAUSES), F.lit(1)), F.upper).alias("clauses"))
-    named = rows.withColumn("article", article_of(F.col("label"))).where(F.contains(F.lower("label"), F.col("article")))
-    hits = asked.join(named, "article")
+    asked = asked.where("article IS NOT NULL")
+    ends, opens = F.regexp_extract("label", LAST_CLAUSE, 1), F.regexp_extract_all("text", F.lit(OPENING_CLAUSES), F.lit(1))
+    named = rows.withColumns({"article": article_of(F.col("label")), "ends": ends, "opens": opens}).where(F.contains(F.lower("label"), F.col("article")))
+    hits = asked.select("article", "clauses").distinct().join(named, "article")
 
     def worth(clause: Column) -> Column:
-        label = F.rlike(F.col("label"), F.concat(F.lit(r"\s"), clause, F.lit(r"\z")))
-        opens = F.rlike(F.coalesce("text", F.lit("")), F.concat(F.lit(r"(^|\n)"), clause, F.lit(r"\s*[-–—]")))
-        return F.when(label, 10).when(opens, 5).otherwise(0)
+        return F.when(F.col("ends") == clause, 10).when(F.array_contains("opens", clause), 5).otherwise(0)
 
     points = F.aggregate(F.transform("clauses", worth), F.lit(0), lambda a, x: a + x)
-    hits = hits.withColumn("points", points)
-    order = [F.col("points").desc(), *reading_order(F.col("label"), F.col("place"), F.col("id"))]
-    return rank_by(hits, "qid", *order, k=1).select("qid", "id", "points")
+    place = F.struct(F.col("place").isNull().alias("none"), "place", article_key(F.col("label")).alias("key"))  # as reading_order()
+    best = hits.groupBy("article", "clauses").agg(F.min(F.struct((-points).alias("less"), place.alias("place"), "id")).alias("best"))
+    found = asked.join(best, ["article", "clauses"]).groupBy("qid").agg(F.min("best").alias("best"))
+    return found.select("qid", "best.id", (-F.col("best.less")).alias("points"))
 
 
 def iso_date(text: Column) -> Column:
