@@ -239,7 +239,10 @@ def t02(t: Tables) -> DataFrame:
     "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS used FROM events",
 )
 def t01(t: Tables) -> DataFrame:
-    return _stream(t, "rolling_counts", "append")
+    from quarry.plans.streams import kept, stream_dir
+    from quarry.streaming import usage as S
+
+    return kept(S.rolling_counts(S.read_events(t.spark, t.sf_dir)), stream_dir(t))
 
 
 def _stream(t: Tables, what: str, mode: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import pytest
 
+from quarry import registry
 from quarry.operators import lookups as L
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture()
 def counted(spark):
@@ -40,3 +43,7 @@ def test_reference_meets_rows_once(spark, counted):
     got, joined, _ = counted(L.by_reference(asked, rows))
     assert {(r.qid % 2, r.id, r.points) for r in got} == {(0, 70, 10), (1, 201, 5)} and len(got) == 400
     assert joined <= 600  # two references by 300 rows, then a row a question; 120,000 if every question met every row
+
+
+def test_rolling_stream_stays_out_of_the_driver(spark):
+    assert registry.QUERIES["t01_stream_rolling"](spark, SF).inputFiles()  # files that tasks wrote; a memory table has none
