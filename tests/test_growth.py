@@ -1,9 +1,15 @@
 """How work grows: rows that joins make and rows that exchanges carry, as Spark counts them."""
 
+import random
+from types import SimpleNamespace
+
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import registry
 from quarry.operators import lookups as L
+from quarry.operators import retrieval as R
+from quarry.plans import search
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +53,35 @@ def test_reference_meets_rows_once(spark, counted):
 
 def test_rolling_stream_stays_out_of_the_driver(spark):
     assert registry.QUERIES["t01_stream_rolling"](spark, SF).inputFiles()  # files that tasks wrote; a memory table has none
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """3,000 documents of a few common words in 4 tasks, asked for by 20 questions of five words."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("carro", "moto", "placa", "multa") for b in ("", "s", "zinho", "nova", "velha")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(k, text(rng.randrange(1, 30)) if k % 7 else "carro multa placa", "en") for k in range(3000)]
+    made = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4).persist()
+    made.count()
+    return SimpleNamespace(spark=spark, documents=made, benchmark=spark.createDataFrame([(k, text(5)) for k in range(20)], "item_id long, text string"))
+
+
+#: What exchanges may carry there: the best ten of 20 questions from 4 tasks, and what is asked. Questions by documents are 60,000.
+LEAST = 4000
+
+
+def test_search_exchanges_the_best_only(counted, tables):
+    got, joined, written = counted(search.r06(tables))
+    assert len(got) == 200 and joined <= LEAST and written <= LEAST
+    asked = search.questions(tables)
+    want = R.lexical_topk(asked, R.positions(tables.documents, "doc_id", "text")).collect()
+    assert {(r.qid, r["rank"], r.id, r.coverage) for r in got} == {(r.qid, r["rank"], r.id, r.coverage) for r in want}
+
+
+def test_repeated_ids_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "placa nova"), (1, "carro multa carro"), (2, "carro multa placa"), (3, None)], "id int, text string")
+    asked = spark.createDataFrame([(5, w) for w in ("placa", "carro", "multa")], "qid int, term string")
+    a = R.lexical_search(asked, docs, "id", "text").collect()
+    b = R.lexical_topk(asked, R.positions(docs, "id", "text")).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and {(r.id, r.coverage) for r in a} == {(1, 3), (2, 3)}
