@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry import registry
 from quarry.operators import lookups as L
 from quarry.operators import retrieval as R
-from quarry.plans import search
+from quarry.plans import search, structure
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,7 +64,8 @@ def tables(spark):
     docs = [(k, text(rng.randrange(1, 30)) if k % 7 else "carro multa placa", "en") for k in range(3000)]
     made = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4).persist()
     made.count()
-    return SimpleNamespace(spark=spark, documents=made, benchmark=spark.createDataFrame([(k, text(5)) for k in range(20)], "item_id long, text string"))
+    vectors = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(60)], "vec_id long, embedding array<double>")
+    return SimpleNamespace(spark=spark, documents=made, embeddings=vectors, benchmark=spark.createDataFrame([(k, text(5)) for k in range(20)], "item_id long, text string"))
 
 
 #: What exchanges may carry there: the best ten of 20 questions from 4 tasks, and what is asked. Questions by documents are 60,000.
@@ -85,3 +86,9 @@ def test_repeated_ids_are_one_document(spark):
     a = R.lexical_search(asked, docs, "id", "text").collect()
     b = R.lexical_topk(asked, R.positions(docs, "id", "text")).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and {(r.id, r.coverage) for r in a} == {(1, 3), (2, 3)}
+
+
+@pytest.mark.parametrize("run", [search.k04])
+def test_queries_on_the_lists_exchange_the_best_only(counted, tables, run):
+    _, joined, written = counted(run(tables))
+    assert joined <= 2 * LEAST and written <= 3 * LEAST  # the 3,000 documents are read for signals and passages
