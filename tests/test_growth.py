@@ -88,7 +88,7 @@ def test_repeated_ids_are_one_document(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and {(r.id, r.coverage) for r in a} == {(1, 3), (2, 3)}
 
 
-@pytest.mark.parametrize("run", [search.k04, search.k06, search.a09, structure.a10])
+@pytest.mark.parametrize("run", [search.k04, search.k06, search.a09, structure.a10, search.k02])
 def test_queries_on_the_lists_exchange_the_best_only(counted, tables, run):
     _, joined, written = counted(run(tables))
     assert joined <= 2 * LEAST and written <= 3 * LEAST  # the 3,000 documents are read for signals and passages
