@@ -92,3 +92,8 @@ def test_repeated_ids_are_one_document(spark):
 def test_queries_on_the_lists_exchange_the_best_only(counted, tables, run):
     _, joined, written = counted(run(tables))
     assert joined <= 2 * LEAST and written <= 3 * LEAST  # the 3,000 documents are read for signals and passages
+
+
+def test_fuzzy_search_exchanges_the_best_only(counted, tables):
+    got, joined, written = counted(search.k10(tables))
+    assert {r.qid for r in got} == set(range(20)) and joined <= LEAST and written <= LEAST
