@@ -97,3 +97,12 @@ def test_queries_on_the_lists_exchange_the_best_only(counted, tables, run):
 def test_fuzzy_search_exchanges_the_best_only(counted, tables):
     got, joined, written = counted(search.k10(tables))
     assert {r.qid for r in got} == set(range(20)) and joined <= LEAST and written <= LEAST
+
+
+def test_titles_meet_questions_in_the_rarest_word(spark, counted):
+    titles = spark.range(2000).selectExpr("id", "concat('lei federal ', CASE WHEN id % 100 = 0 THEN 'rara' ELSE 'comum' END, ' ', id) AS title")
+    asked = spark.range(20).selectExpr("id AS qid", "CASE WHEN id % 2 = 0 THEN 'rara federal lei' ELSE 'LEI FEDERAL RARA 500' END AS text")
+    none = spark.createDataFrame([], "qid bigint, id bigint, score double")
+    got, joined, _ = counted(R.catalogue_topk(asked, titles, none))
+    assert {(r.id, r.score) for r in got if r.qid == 1} == {(500, 300.0)} and len([r for r in got if r.qid == 0]) == 20
+    assert joined <= 2000  # 40,000 where every title with a word of a question meets it
